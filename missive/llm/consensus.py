@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import math
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from missive.functions.ids import packed
@@ -41,59 +42,72 @@ def usable(reviews: DataFrame) -> DataFrame:
     return last.select("source_id", "user", F.col("last.mask").alias("mask")).where("mask > 0")
 
 
-def _digamma(x: Column) -> Column:
+def _digamma(x: np.ndarray) -> np.ndarray:
     y = x + 6
-    return F.log(y) - 1 / (2 * y) - 1 / (12 * y * y) + 1 / (120 * y * y * y * y) - sum((1 / (x + k) for k in range(6)), F.lit(0.0))
+    return np.log(y) - 1 / (2 * y) - 1 / (12 * y**2) + 1 / (120 * y**4) - sum(1 / (x + k) for k in range(6))
 
 
-def _posterior(rows: DataFrame, prior: list[float]) -> DataFrame:
-    """Adds q0..: the probability of each label of the source, of rows (source_id, mask, on0.., off0..)."""
-    w = W.partitionBy("source_id")
-    for k in range(N):
-        told = F.when(F.col("mask").bitwiseAND(1 << k) > 0, F.col(f"on{k}")).otherwise(F.col(f"off{k}"))
-        rows = rows.withColumn(f"q{k}", 1 / (1 + F.exp(-F.greatest(F.lit(-500.0), F.least(F.lit(500.0), math.log(prior[k] / (1 - prior[k])) + F.sum(told).over(w))))))
-    return rows
+def _types_of(counts: np.ndarray, types: np.ndarray, shares: np.ndarray) -> np.ndarray:
+    """The probability of each community, of users' counts (users, labels, truth, said)."""
+    logs = np.log(types / types.sum(-1, keepdims=True))
+    scores = np.log(shares) + np.einsum("ults,mlts->um", counts, logs)
+    scores = np.exp(scores - scores.max(1, keepdims=True))
+    return scores / scores.sum(1, keepdims=True)
 
 
-def _counts(rows: DataFrame) -> DataFrame:
-    """Expected confusion counts of each user: hit, miss, false alarm and true rejection of each label."""
-    said = [F.col("mask").bitwiseAND(1 << k) > 0 for k in range(N)]
-    aggs = []
-    for k in range(N):
-        q = F.col(f"q{k}")
-        aggs += [F.sum(F.when(said[k], q).otherwise(0.0)), F.sum(F.when(said[k], 0.0).otherwise(q)), F.sum(F.when(said[k], 1 - q).otherwise(0.0)), F.sum(F.when(said[k], 0.0).otherwise(1 - q))]
-    return rows.groupBy("user").agg(F.count("*").alias("n_reviews"), *[a.alias(f"c{i}") for i, a in enumerate(aggs)])
-
-
-def _join_types(counts: DataFrame, types: list[list[float]], shares: list[float]) -> DataFrame:
-    """Adds r0..: the probability of each community, from the user's counts and the communities' matrices."""
-    logs = []
-    for t, share in zip(types, shares, strict=True):
-        score = F.lit(math.log(share))
-        for k in range(N):
-            a, b, c, d = t[4 * k : 4 * k + 4]
-            for i, p in enumerate((a / (a + b), b / (a + b), c / (c + d), d / (c + d))):
-                score = score + F.col(f"c{4 * k + i}") * math.log(p)
-        logs.append(score)
-    counts = counts.withColumn("_s", F.array(*logs)).withColumn("_m", F.array_max("_s"))
-    counts = counts.withColumn("_e", F.transform("_s", lambda x: F.exp(x - F.col("_m")))).withColumn("_z", F.aggregate("_e", F.lit(0.0), lambda x, y: x + y))
-    return counts.withColumns({f"r{m}": F.col("_e")[m] / F.col("_z") for m in range(len(types))}).drop("_s", "_m", "_e", "_z")
-
-
-def _weights(counts: DataFrame, types: list[list[float]]) -> DataFrame:
-    """(user, on0.., off0..): expected log odds that a label applies, given that the user set it or didn't.
+def _stack(column: pd.Series) -> np.ndarray:
+    return np.array(column.tolist(), dtype=float).reshape(-1, N, 2, 2)
+
+
+def _sums(counts: DataFrame, types: np.ndarray, shares: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """Expected counts of each community, its users, the labels' expected numbers and all reviews: fixed in size."""
+
+    def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(COMMUNITIES * N * 4 + COMMUNITIES + N + 1)
+        for b in batches:
+            if len(b):
+                c = _stack(b["counts"])
+                r = _types_of(c, types, shares)
+                total += np.concatenate([np.einsum("um,ults->mlts", r, c).ravel(), r.sum(0), c[:, :, 0].sum((0, 2)), [b["n_reviews"].sum()]])
+        yield pd.DataFrame({"i": range(len(total)), "x": total})
+
+    got = counts.select("counts", "n_reviews").mapInPandas(part, "i int, x double").groupBy("i").agg(F.sum("x").alias("x")).orderBy("i").collect()
+    x = np.array([row["x"] for row in got]) if got else np.zeros(COMMUNITIES * N * 4 + COMMUNITIES + N + 1)
+    k = COMMUNITIES * N * 4
+    return x[:k].reshape(COMMUNITIES, N, 2, 2), x[k : k + COMMUNITIES], x[k + COMMUNITIES : -1], x[-1]
+
+
+def _weights(counts: DataFrame, types: np.ndarray, shares: np.ndarray) -> DataFrame:
+    """(user, w): expected log odds that a label applies, given that the user set it (N numbers) or didn't (N more).
 
     A user's Dirichlet parameters are its own counts and STRENGTH reviews spread as its communities' matrices say.
     """
-    out = []
-    for k in range(N):
-        own = []
-        for i, (x, y) in enumerate(((0, 1), (0, 1), (2, 3), (2, 3))):
-            share = sum((F.col(f"r{m}") * (t[4 * k + i] / (t[4 * k + x] + t[4 * k + y])) for m, t in enumerate(types)), F.lit(0.0))
-            own.append(F.col(f"c{4 * k + i}") + STRENGTH * share)
-        yes, no, alarm, calm = own
-        out += [(_digamma(yes) - _digamma(yes + no) - _digamma(alarm) + _digamma(alarm + calm)).alias(f"on{k}"), (_digamma(no) - _digamma(yes + no) - _digamma(calm) + _digamma(alarm + calm)).alias(f"off{k}")]
-    return counts.select("user", *out)
+
+    def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if len(b):
+                c = _stack(b["counts"])
+                own = c + STRENGTH * np.einsum("um,mlts->ults", _types_of(c, types, shares), types / types.sum(-1, keepdims=True))
+                logs = _digamma(own) - _digamma(own.sum(-1, keepdims=True))
+                odds = logs[:, :, 0] - logs[:, :, 1]
+                yield pd.DataFrame({"user": b["user"], "w": np.concatenate([odds[:, :, 0], odds[:, :, 1]], axis=1).tolist()})
+
+    return counts.select("user", "counts").mapInPandas(part, "user string, w array<double>")
+
+
+def _posterior(rows: DataFrame, prior: np.ndarray) -> DataFrame:
+    """Adds q0..: the probability of each label of the source, of rows (source_id, mask, w)."""
+    told = [f"sum(if(mask & {1 << k} > 0, w[{k}], w[{N + k}])) over (partition by source_id)" for k in range(N)]
+    odds = np.log(prior / (1 - prior))
+    return rows.selectExpr("source_id", "user", "mask", *[f"{s} + {float(o)!r}D as s{k}" for k, (s, o) in enumerate(zip(told, odds, strict=True))]).selectExpr(
+        "source_id", "user", "mask", *[f"1 / (1 + exp(-greatest(-500, least(500, s{k})))) as q{k}" for k in range(N)]
+    )
+
+
+def _counts(rows: DataFrame) -> DataFrame:
+    """(user, n_reviews, counts): expected hits, misses, false alarms and true rejections of each label."""
+    sums = [f"sum(if({'' if said else 'not '}(mask & {1 << k} > 0), {q}, 0D))" for k in range(N) for q in (f"q{k}", f"1 - q{k}") for said in (1, 0)]
+    return rows.groupBy("user").agg(F.expr("count(*) as n_reviews"), F.expr(f"array({', '.join(sums)}) as counts"))
 
 
 def infer(reviews: DataFrame, cut: Cut) -> tuple[DataFrame, DataFrame]:
@@ -101,42 +115,39 @@ def infer(reviews: DataFrame, cut: Cut) -> tuple[DataFrame, DataFrame]:
 
     Each reviewer belongs to one of COMMUNITIES types that share a confusion matrix per label; truth, types and
     matrices are updated in turn until no matrix entry moves by TOLERANCE or more (ROUNDS at most). Returns the
-    reviews with their sources' label probabilities q0.., and the reviewers (user, n_reviews, counts c0.., type
-    probabilities r0..). Only the communities' matrices, of a fixed size, come to the driver. The sums of a source
-    run over its distinct reviewers; a reviewer's counts are pre-aggregated before the shuffle. An empty table gives
-    empty results.
+    reviews with their sources' label probabilities q0.., and the reviewers (user, n_reviews, counts, types). Only
+    the communities' matrices, of a fixed size, come to the driver. The sums of a source run over its distinct
+    reviewers; a reviewer's counts are pre-aggregated before the shuffle. An empty table gives empty results.
     """
     reviews = cut.keep(reviews)
-    w = W.partitionBy("source_id")
-    start = reviews.withColumns({f"q{k}": (F.sum((F.col("mask").bitwiseAND(1 << k) > 0).cast("double")).over(w) + 0.2) / (F.count("*").over(w) + 1.0) for k in range(N)})
-    counts = cut.keep(_counts(start))
+    votes = [f"(sum(if(mask & {1 << k} > 0, 1D, 0D)) over (partition by source_id) + 0.2D) / (count(*) over (partition by source_id) + 1D) as q{k}" for k in range(N)]
+    posterior = reviews.selectExpr("source_id", "user", "mask", *votes)
+    counts = cut.keep(_counts(posterior))
     # Communities begin as steps from random guessing to full agreement with the votes.
-    types = []
-    for m in range(COMMUNITIES):
-        hit = 0.25 + 0.7 * m / (COMMUNITIES - 1)
-        types.append([x for _ in range(N) for x in (hit, 1 - hit, 0.22 - 0.2 * m / (COMMUNITIES - 1), 0.78 + 0.2 * m / (COMMUNITIES - 1))])
-    shares, prior, posterior = [1 / COMMUNITIES] * COMMUNITIES, [0.15] * N, start
+    step = np.linspace(0, 1, COMMUNITIES)[:, None] * np.ones(N)
+    hit, alarm = 0.25 + 0.7 * step, 0.22 - 0.2 * step
+    types, shares = np.stack([hit, 1 - hit, alarm, 1 - alarm], -1).reshape(COMMUNITIES, N, 2, 2), np.full(COMMUNITIES, 1 / COMMUNITIES)
     for _ in range(ROUNDS):
-        users = _join_types(counts, types, shares)
-        sums = users.agg(
-            F.sum("n_reviews").alias("n"), *[F.sum(f"r{m}").alias(f"r{m}") for m in range(COMMUNITIES)],
-            *[F.sum(F.col(f"r{m}") * F.col(f"c{i}")).alias(f"t{m}_{i}") for m in range(COMMUNITIES) for i in range(4 * N)],
-            *[F.sum(F.col(f"c{4 * k}") + F.col(f"c{4 * k + 1}")).alias(f"p{k}") for k in range(N)],
-        ).collect()[0]
-        if not sums["n"]:
+        found, members, applied, n = _sums(counts, types, shares)
+        if not n:
             break
-        before, total = types, sum(sums[f"r{m}"] for m in range(COMMUNITIES))
-        types = [[sums[f"t{m}_{i}"] + (2.0, 1.0, 0.5, 4.5)[i % 4] for i in range(4 * N)] for m in range(COMMUNITIES)]
-        shares = [(sums[f"r{m}"] + 0.5) / (total + 0.5 * COMMUNITIES) for m in range(COMMUNITIES)]
-        prior = [min(0.9, max(0.01, (sums[f"p{k}"] + 1) / (sums["n"] + 8))) for k in range(N)]
-        weights = cut.keep(_weights(users, types))
+        before = types / types.sum(-1, keepdims=True)
+        types = found + np.array([[2.0, 1.0], [0.5, 4.5]])
+        shares = (members + 0.5) / (members.sum() + 0.5 * COMMUNITIES)
+        prior = np.clip((applied + 1) / (n + 8), 0.01, 0.9)
+        weights = cut.keep(_weights(counts, types, shares))
         posterior = _posterior(reviews.join(weights, "user"), prior)
         old, counts = counts, cut.keep(_counts(posterior))
         cut.drop(old)
-        rate = lambda t: [t[4 * k + i] / (t[4 * k + i] + t[4 * k + i + 1]) for k in range(N) for i in (0, 2)]
-        if max(abs(x - y) for s, t in zip(before, types, strict=True) for x, y in zip(rate(s), rate(t), strict=True)) < TOLERANCE:
+        if np.abs(types / types.sum(-1, keepdims=True) - before).max() < TOLERANCE:
             break
-    return posterior, _join_types(counts, types, shares)
+
+    def label(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if len(b):
+                yield b.assign(types=_types_of(_stack(b["counts"]), types, shares).tolist())
+
+    return posterior, counts.mapInPandas(label, "user string, n_reviews long, counts array<double>, types array<double>")
 
 
 def consensus(posterior: DataFrame) -> DataFrame:
@@ -178,10 +189,10 @@ def p4_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p4_reviewers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each reviewer's reliability: hit rate less false-alarm rate over all labels, and its likeliest community."""
     users = _run(spark, sf_dir)[1]
-    total = lambda i: sum((F.col(f"c{4 * k + i}") for k in range(N)), F.lit(0.0))
-    hits, alarms = total(0) / (total(0) + total(1)), total(2) / (total(2) + total(3))
-    kinds = F.array(*[F.col(f"r{m}") for m in range(COMMUNITIES)])
-    return users.select("user", "n_reviews", hits.alias("hit_rate"), alarms.alias("false_alarm_rate"), (hits - alarms).alias("reliability"), (F.array_position(kinds, F.array_max(kinds)) - 1).alias("community"))
+    total = [F.expr(f"aggregate(sequence(0, {N - 1}), 0D, (x, k) -> x + counts[4 * k + {i}])") for i in range(4)]
+    hits, alarms = total[0] / (total[0] + total[1]), total[2] / (total[2] + total[3])
+    community = F.array_position("types", F.array_max("types")) - 1
+    return users.select("user", "n_reviews", hits.alias("hit_rate"), alarms.alias("false_alarm_rate"), (hits - alarms).alias("reliability"), community.alias("community"))
 
 
 def oracle_sql() -> dict[str, str]:
