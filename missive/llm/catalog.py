@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("consensus", "groups", "leakage", "splits")
+MODULES = ("consensus", "groups", "language", "leakage", "splits")
 
 
 def _modules() -> list:
