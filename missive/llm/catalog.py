@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("authored", "consensus", "groups", "language", "leakage", "splits")
+MODULES = ("authored", "consensus", "groups", "language", "leakage", "pii", "splits")
 
 
 def _modules() -> list:
