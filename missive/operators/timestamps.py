@@ -48,6 +48,8 @@ def zone_scores(times: DataFrame, candidates: list[str]) -> DataFrame:
     low, high = F.col("copy") - PRECISION, F.col("copy") + PRECISION
     checks = [naive.select("source_name", "wall", F.lit(None).cast("long").alias("low"), F.col("received").alias("high")).where("high is not null"), pairs.select("source_name", "wall", low.alias("low"), high.alias("high"))]
     checks = reduce(DataFrame.unionAll, checks)
+    if not candidates:
+        return checks.select("source_name", F.lit(None).cast("string").alias("zone"), F.lit(0).cast("long").alias("rows_compared"), F.lit(0).cast("long").alias("violations")).distinct()
     local = [at_zone(F.col("wall"), F.lit(z)) for z in candidates]
     wrong = [F.sum((F.coalesce(x < F.col("low"), F.lit(False)) | F.coalesce(x > F.col("high"), F.lit(False))).cast("long")) for x in local]
     wide = checks.groupBy("source_name").agg(F.count("*").alias("rows_compared"), F.array(*wrong).alias("_wrong"))
@@ -78,6 +80,17 @@ def normalise(times: DataFrame, zones: DataFrame) -> DataFrame:
     return df.select("origin", "row_id", utc.alias("utc_micros")).where("utc_micros is not null").distinct()
 
 
+def instants(rows: DataFrame, stated: DataFrame, cut: Cut) -> DataFrame:
+    """normalise() of rows as read_times() takes them, their zones chosen from the same rows."""
+    times = cut.keep(read_times(rows, stated)).where("instant is not null or wall is not null")
+    return normalise(times, cut.keep(choose_zones(zone_scores(times, _candidates(stated)), stated)))
+
+
+def _candidates(stated: DataFrame) -> list[str]:
+    """The zones that a source may have: those any source states, at most as many as there are zones."""
+    return sorted(r[0] for r in stated.select("home_zone").where("home_zone is not null").distinct().limit(600).collect())
+
+
 def mail_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     mails = table(spark, sf_dir, "emails").select(
         F.lit("emails").alias("origin"), F.col("source_id").alias("row_id"), "source_name", F.col("sent_timestamp").alias("text"),
@@ -94,8 +107,7 @@ def _estimate(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, D
     cut = Cut(spark)
     clocks = table(spark, sf_dir, "source_clocks")
     times = cut.keep(mail_times(spark, sf_dir)).where("instant is not null or wall is not null")
-    candidates = sorted(r[0] for r in clocks.select("home_zone").where("home_zone is not null").distinct().limit(600).collect())
-    return times, zone_scores(times, candidates), clocks
+    return times, zone_scores(times, _candidates(clocks)), clocks
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
