@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("authored", "consensus", "conversations", "groups", "language", "leakage", "pii", "splits")
+MODULES = ("authored", "consensus", "conversations", "groups", "language", "leakage", "packing", "pii", "splits")
 
 
 def _modules() -> list:
