@@ -2,20 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 
 from missive.operators import timestamps
+from missive.plans import text_queries  # noqa: F401
+from missive.plans.registry import QUERIES, SQL, Query
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return timestamps.p7_found(spark, sf_dir)
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p7_found": timestamps.p7_found, "p7_zones": timestamps.p7_zones}
+def queries() -> dict[str, Query]:
+    return {"p7_found": timestamps.p7_found, "p7_zones": timestamps.p7_zones, **QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
