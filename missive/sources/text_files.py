@@ -63,4 +63,4 @@ def read_token_columns(spark: SparkSession, path: str) -> DataFrame:
                         token += 1
             yield pd.DataFrame(out, columns=["document", "sentence_no", "token_no", "columns"])
 
-    return spark.read.option("wholetext", "true").text(path).mapInPandas(part, "document string, sentence_no int, token_no int, columns array<string>")
+    return spark.read.text(path, wholetext=True).mapInPandas(part, "document string, sentence_no int, token_no int, columns array<string>")
