@@ -51,7 +51,7 @@ def test_simhash_is_close_for_close_sentences():
     assert bin(a ^ b).count("1") < bin(a ^ c).count("1") and fingerprints([base])[0] == fingerprints([far, base])[1] and len(fingerprints([])) == 0
 
 
-LINES = "source_id string, line_no int, subject long, sender string, at long, print long, text string, last boolean"
+LINES = "source_id string, line_no int, subject long, sender string, people array<string>, at long, print long, text string, last boolean"
 
 
 def test_inherited(spark):
@@ -61,9 +61,10 @@ def test_inherited(spark):
         ("m1", 1, 7, "a@x", 10, 0b1011, s, True), ("m2", 4, 7, "b@x", 20, near, s + " x", False), ("m3", 2, 8, "c@x", 30, 0b1011, s, False), ("m4", 1, 7, "a@x", 40, 0b1011, s, False),
         ("m5", 1, 7, "d@x", 50, ~0b1011, s, False), ("m6", 1, 7, "e@x", 60, 0b1011, "quite another text with the same print", False), ("m7", 3, 7, None, 5, 1 << 40, "alone", True),
     ]
-    rows += [(f"n{k}", 9, 100 + k, "z@x", k, 77, "our own motto at the end", True) for k in range(6)]
+    rows = [(*r[:4], ["b@x"] if r[0] == "m4" else ["a@x", "a@x"], *r[4:]) for r in rows] + [("m8", 5, 7, "h@x", ["b@x", "z@x"], 70, 0b1011, s, False), ("m9", 5, 7, "h@x", ["z@x"], 70, 0b1011, s, False)]
+    rows += [(f"n{k}", 9, 100 + k, "z@x", [], k, 77, "our own motto at the end", True) for k in range(6)]
     got = {(r["source_id"], r["why"]) for r in inherited(spark.createDataFrame(rows, LINES), Cut(spark)).collect()}
-    assert got == {("m2", "inherited"), *((f"n{k}", "boilerplate") for k in range(6))} and DISTANCE >= 1
+    assert got == {("m2", "inherited"), ("m4", "inherited"), ("m8", "inherited"), *((f"n{k}", "boilerplate") for k in range(6))} and DISTANCE >= 1
     assert inherited(spark.createDataFrame([], LINES), Cut(spark)).count() == 0
 
 
