@@ -67,9 +67,11 @@ def conversations(mails: DataFrame, times: DataFrame, written: DataFrame, cut: C
     late = replies.where("said is null or at is null or said >= at").select("source_id").distinct().withColumn("late", F.lit(True))
     sound = (F.col("speaker").isNotNull() & F.col("at").isNotNull() & (F.col("n_own") > 0) & F.col("late").isNull() & (~F.col("is_reply") | (F.size("replies") > 0))).alias("sound")
     judged = cut.keep(rows.join(late, "source_id", "left").select("source_id", "channel", "speaker", "at", sound))
+    cut.drop(one, rows)
     kept = judged.groupBy("channel").agg(F.min(F.coalesce("sound", F.lit(False))).alias("ok"), F.min("speaker").alias("x"), F.max("speaker").alias("y"), F.min("source_id").alias("conversation_id")).where("ok and x <> y")
     turns = numbered(judged.join(kept.select("channel", "conversation_id"), "channel").select("source_id", "conversation_id", "speaker", "at"), ["conversation_id"], ["at", "source_id"], "turn_no", cut)
     turns = cut.keep(turns)
+    cut.drop(judged)
     speakers = numbered(turns.groupBy("conversation_id", "speaker").agg(F.min("turn_no").alias("begin")), ["conversation_id"], ["begin"], "speaker_no", cut)
     return turns.join(speakers, ["conversation_id", "speaker"]).select("source_id", "conversation_id", "turn_no", "speaker_no")
 

@@ -63,9 +63,9 @@ def test_inherited(spark):
     ]
     rows = [(*r[:4], ["b@x"] if r[0] == "m4" else ["a@x", "a@x"], *r[4:]) for r in rows] + [("m8", 5, 7, "h@x", ["b@x", "z@x"], 70, 0b1011, s, False), ("m9", 5, 7, "h@x", ["z@x"], 70, 0b1011, s, False)]
     rows += [(f"n{k}", 9, 100 + k, "z@x", [], k, 77, "our own motto at the end", True) for k in range(6)]
-    got = {(r["source_id"], r["why"]) for r in inherited(spark.createDataFrame(rows, LINES), Cut(spark)).collect()}
+    got = {(r["source_id"], r["why"]) for r in inherited(*[spark.createDataFrame(rows, LINES)] * 2, Cut(spark)).collect()}
     assert got == {("m2", "inherited"), ("m4", "inherited"), ("m8", "inherited"), *((f"n{k}", "boilerplate") for k in range(6))} and DISTANCE >= 1
-    assert inherited(spark.createDataFrame([], LINES), Cut(spark)).count() == 0
+    assert inherited(*[spark.createDataFrame([], LINES)] * 2, Cut(spark)).count() == 0
 
 
 MAILS = "source_id string, thread_id string, message_id string, in_reply_to string, references_json string, sender string, imported_at long"
