@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 import zlib
 from collections.abc import Iterator
@@ -12,20 +13,22 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from missive.functions.clock import with_instant
-from missive.llm.mailparts import LINE, OWN, QUOTED, parts
+from missive.llm.mailparts import _GREETING, LINE, OWN, QUOTED, parts
 from missive.session import Cut, table
 
-#: Words that a line needs to be told by its fingerprint: shorter ones recur by chance.
+#: Words that a sentence needs to be told by its fingerprint: shorter ones are told by their exact words.
 LONG = 12
-#: Bits in which two fingerprints may differ; one band of 64 / (DISTANCE + 1) bits is then the same.
-DISTANCE = 3
+#: Bits in which two fingerprints may differ: within EDITS, sentences of LONG words differ in up to about so many.
+DISTANCE = 24
 #: Edits, as a share of the longer text, within which a near-match is the same sentence.
 EDITS = 0.1
 #: Mails of one sender that must end in a sentence for it to be the sender's boilerplate.
 BOILERPLATE = 5
 
 _WORD = re.compile(r"[^\W_]+")
-PARSED = "source_id string, imported_at long, told array<int>, n_own int, own_line array<int>, own_print array<long>, own_text array<string>, body_hash int"
+_STOP = re.compile(r"(?<!\bDr)(?<!\bMr)(?<!\bMs)(?<!\bSr)(?<!\bSt)(?<!\bMrs)(?<!\bNo)(?<!\bNr)(?<!\b[A-ZÀ-Þ])[.!?]+[\"')\]’”»]*\s+")
+_ITEM = re.compile(r"(?:[-*•·+–]|\(?\w{1,2}[.)])\s")
+PARSED = "source_id string, imported_at long, told array<int>, n_own int, own_first array<int>, own_last array<int>, own_long array<boolean>, own_print array<long>, own_text array<string>, body_hash int"
 
 
 def fingerprints(lines: list[list[str]]) -> np.ndarray:
@@ -46,30 +49,65 @@ def fingerprints(lines: list[list[str]]) -> np.ndarray:
     return np.packbits(votes > size[:, None], axis=1).view(np.int64).ravel()
 
 
+def sentences(own: list[tuple[int, str]]) -> list[tuple[int, int, str]]:
+    """(first line, last line, text) of the sentences in own lines (number, text), joined across line ends.
+
+    Blank and other lines between, list marks, and a salutation or other short line that ends in a comma, colon or
+    dash end a sentence.
+    """
+    out: list[tuple[int, int, str]] = []
+    k = 0
+    while k < len(own):
+        run = [own[k]]
+        k += 1
+        while k < len(own) and own[k][0] == run[-1][0] + 1 and not _ITEM.match(own[k][1]) and not (len(run[-1][1]) < 40 and run[-1][1][-1] in ",:;-–—"):
+            run.append(own[k])
+            k += 1
+        text = " ".join(x for _, x in run)
+        ends = np.cumsum([len(x) + 1 for _, x in run])
+        at = 0
+        for stop in [*(m.end() for m in _STOP.finditer(text)), len(text)]:
+            if s := text[at:stop].rstrip():
+                first, last = np.searchsorted(ends, (at, at + len(s) - 1), "right")
+                out.append((run[first][0], run[last][0], s))
+            at = stop
+    return out
+
+
+def _salutes(w: list[str], s: str) -> bool:
+    return (w[0] in _GREETING and len(w) <= 6) or (len(w) <= 3 and s[-1] in ",:-–—")
+
+
 def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
-        rows, words, where = [], [], []
-        for k, body in enumerate(b["body_raw"]):
-            told, n_own, line, text = [], 0, [], []
+        rows, words, prints = [], [], []
+        for body in b["body_raw"]:
+            told, own, first, last, long, text = [], [], [], [], [], []
             raw = LINE.split(body or "")
             for i, (s, kind) in enumerate(parts(body), 1):
                 if kind != OWN:
                     if s or raw[i - 1].strip():
                         told.append(i)
                 elif s:
-                    n_own += 1
-                    if len(s) > 40:
-                        w = _WORD.findall(s.lower())
-                        if len(w) >= LONG:
-                            line.append(i)
-                            text.append(s)
-                            words.append(w)
-            where.append(len(line))
-            rows.append((told, n_own, line, text, 0 if body is None else zlib.crc32(body.encode(errors="replace")) - 2**31))
-        prints = np.split(fingerprints(words), np.cumsum(where)[:-1]) if rows else []
+                    own.append((i, s))
+            for i, j, s in sentences(own):
+                w = _WORD.findall(s.lower())
+                if not w or (len(w) < LONG and _salutes(w, s)):
+                    w = None  # never inherited, but its lines are the sender's own
+                first.append(i)
+                last.append(j)
+                text.append(s)
+                long.append(None if w is None else len(w) >= LONG)
+                if long[-1]:
+                    words.append(w)
+                prints.append(None if w is None else -1 if long[-1] else int.from_bytes(hashlib.blake2b(" ".join(w).encode(errors="replace"), digest_size=8).digest(), "big", signed=True))
+            rows.append((told, len(own), first, last, long, text, 0 if body is None else zlib.crc32(body.encode(errors="replace")) - 2**31))
+        hashed = iter(fingerprints(words).tolist())
+        flat = [next(hashed) if is_long else p for is_long, p in zip((x for r in rows for x in r[4]), prints, strict=True)]
+        at = np.cumsum([0] + [len(r[2]) for r in rows])
         yield pd.DataFrame({
-            "source_id": b["source_id"], "imported_at": b["imported_at"], "told": [r[0] for r in rows], "n_own": [r[1] for r in rows], "own_line": [r[2] for r in rows],
-            "own_print": [list(p) for p in prints], "own_text": [r[3] for r in rows], "body_hash": [r[4] for r in rows],
+            "source_id": b["source_id"], "imported_at": b["imported_at"], "told": [r[0] for r in rows], "n_own": [r[1] for r in rows], "own_first": [r[2] for r in rows], "own_last": [r[3] for r in rows],
+            "own_long": [r[4] for r in rows], "own_print": [flat[x:y] for x, y in zip(at, at[1:], strict=False)], "own_text": [r[5] for r in rows], "body_hash": [r[6] for r in rows],
         })
 
 
@@ -93,24 +131,24 @@ def _base(c: Column) -> Column:
 def inherited(lines: DataFrame, texts: DataFrame, cut: Cut) -> DataFrame:
     """(source_id, line_no, why) of lines(source_id, subject, sender, people, at, line_no, print, last) not newly written.
 
-    'inherited': an earlier mail of the same base subject, by another sender whom this mail is addressed to (people),
-    has the sentence, within DISTANCE bits of its SimHash and EDITS of its text, which texts(source_id, line_no, text)
-    has and only candidates are joined to. Near prints are retrieved by tables of
-    their bands, over distinct prints with the earliest line of each sender, so that repeated sentences are met once.
+    A line is a sentence, line_no its number in the mail. 'inherited': an earlier mail of the same base subject, by
+    another sender whom this mail is addressed to (people), has the sentence, within DISTANCE bits of its SimHash and
+    EDITS of its text, which texts(source_id, line_no, text) has and only candidates are joined to. Where a column
+    long says that a sentence is not, its print must be the same. DISTANCE is too wide for bands to choose by, so prints
+    are compared within a subject and author, over distinct prints with the earliest line of each sender, so that
+    repeated sentences are met once.
     'boilerplate': BOILERPLATE mails or more of one sender end in it. Null senders inherit, but nothing is inherited
     from them.
     """
-    slim = lines.select("source_id", "line_no", "subject", "sender", "people", "at", "print")
-    once = cut.keep(slim.where("sender is not null").groupBy("subject", "print", "sender").agg(F.min(F.struct("at", "source_id", "line_no")).alias("first")))
-    width = 64 // (DISTANCE + 1)
-    bands = F.array(*[F.shiftrightunsigned("print", width * k).bitwiseAND((1 << width) - 1) + (k << width) for k in range(DISTANCE + 1)])
-    banded = slim.select("subject", "print").distinct().withColumn("band", F.explode(bands))
-    other = banded.select("subject", "band", F.col("print").alias("print2"))
-    pairs = banded.join(other, ["subject", "band"]).where((F.col("print") != F.col("print2")) & (F.bit_count(F.col("print").bitwiseXOR(F.col("print2"))) <= DISTANCE))
-    pairs = cut.keep(pairs.select("subject", "print", "print2").distinct())
-    wanted = slim.select("source_id", "line_no", "subject", "sender", "at", "print", F.explode(F.array_distinct("people")).alias("author")).where("sender is null or sender <> author").drop("sender")
-    near = wanted.join(pairs, ["subject", "print"]).drop("print").withColumnRenamed("print2", "print")
-    hit = wanted.select(*near.columns).unionAll(near).join(once.withColumnRenamed("sender", "author"), ["subject", "print", "author"])
+    long = (F.col("long") if "long" in lines.columns else F.lit(True)).alias("long")
+    slim = lines.select("source_id", "line_no", "subject", "sender", "people", "at", "print", long).where("print is not null")
+    once = cut.keep(slim.where("sender is not null").groupBy("subject", "print", "sender", "long").agg(F.min(F.struct("at", "source_id", "line_no")).alias("first")))
+    once = once.withColumnRenamed("sender", "author")
+    wanted = slim.select("source_id", "line_no", "subject", "sender", "at", "print", "long", F.explode(F.array_distinct("people")).alias("author")).where("sender is null or sender <> author").drop("sender")
+    asked, known = wanted.where("long").select("subject", "author", "print").distinct(), once.where("long").select("subject", "author", F.col("print").alias("print2"))
+    pairs = asked.join(known, ["subject", "author"]).where((F.col("print") != F.col("print2")) & (F.bit_count(F.col("print").bitwiseXOR(F.col("print2"))) <= DISTANCE))
+    near = wanted.where("long").join(cut.keep(pairs), ["subject", "author", "print"]).drop("print").withColumnRenamed("print2", "print")
+    hit = wanted.unionByName(near).join(once, ["subject", "author", "print", "long"])
     hit = hit.where("first.at < at and first.source_id <> source_id")
     hit = cut.keep(hit.select("source_id", "line_no", F.col("first.source_id").alias("source_id2"), F.col("first.line_no").alias("line_no2")).distinct())
     texts = texts.select("source_id", "line_no", "text")
@@ -137,11 +175,15 @@ def authored(mails: DataFrame, clocks: DataFrame, cut: Cut) -> DataFrame:
     about = about.groupBy("source_id").agg(F.min_by(F.struct("subject", F.nullif("sender", F.lit("")).alias("sender"), "people", F.coalesce("instant", "imported_at").alias("at")), "imported_at").alias("m"))
     one = raw.groupBy("source_id").agg(F.min_by(F.struct("told", "n_own"), F.struct("imported_at", "body_hash")).alias("p"))
     one = one.select("source_id", "p.told", "p.n_own")
-    own = raw.where("size(own_line) > 0").select("source_id", F.explode(F.arrays_zip("own_line", "own_print")).alias("o"), F.element_at("own_line", -1).alias("end"))
-    own = own.select("source_id", F.col("o.own_line").alias("line_no"), F.col("o.own_print").alias("print"), (F.col("o.own_line") == F.col("end")).alias("last"))
-    lines = cut.keep(own.join(about, "source_id").select("source_id", "m.subject", "m.sender", "m.people", "m.at", "line_no", "print", "last").distinct())
-    texts = raw.select("source_id", F.explode(F.arrays_zip("own_line", "own_text")).alias("o")).select("source_id", F.col("o.own_line").alias("line_no"), F.col("o.own_text").alias("text"))
-    more = inherited(lines, texts, cut).groupBy("source_id").agg(F.collect_set("line_no").alias("more"))
+    own = raw.where("size(own_first) > 0").select("source_id", F.posexplode(F.arrays_zip("own_first", "own_last", "own_long", "own_print")).alias("line_no", "o"), F.array_position(F.reverse("own_long"), True).alias("n"), F.size("own_first").alias("m"))
+    own = own.select("source_id", "line_no", F.col("o.own_first").alias("begin"), F.col("o.own_last").alias("end"), F.col("o.own_long").alias("long"), F.col("o.own_print").alias("print"), (F.col("line_no") == F.col("m") - F.col("n")).alias("last"))
+    lines = cut.keep(own.join(about, "source_id").select("source_id", "m.subject", "m.sender", "m.people", "m.at", "line_no", "begin", "end", "long", "print", "last").distinct())
+    texts = raw.select("source_id", F.posexplode("own_text").alias("line_no", "text"))
+    # A line is not newly written if none of its sentences is.
+    hits = cut.keep(inherited(lines, texts, cut).select("source_id", "line_no").distinct().withColumn("hit", F.lit(True)))
+    marked = lines.join(hits.select("source_id").distinct(), "source_id", "left_semi").join(hits, ["source_id", "line_no"], "left")
+    marked = marked.select("source_id", F.explode(F.sequence("begin", "end")).alias("line_no"), F.coalesce("hit", F.lit(False)).alias("hit"))
+    more = marked.groupBy("source_id", "line_no").agg(F.min("hit").alias("hit")).where("hit").groupBy("source_id").agg(F.collect_set("line_no").alias("more"))
     out = one.join(more, "source_id", "left")
     extra = F.array_except("more", "told")
     done = cut.keep(out.select("source_id", F.when(F.col("more").isNull(), F.col("told")).otherwise(F.array_union("told", "more")).alias("told"), (F.col("n_own") - F.coalesce(F.when(F.col("more").isNotNull(), F.size(extra)), F.lit(0))).alias("n_own")))

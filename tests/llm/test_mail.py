@@ -1,9 +1,10 @@
 import random
+from datetime import datetime
 
 import numpy as np
 import pytest
 
-from missive.llm.authored import DISTANCE, fingerprints, inherited
+from missive.llm.authored import DISTANCE, authored, fingerprints, inherited, sentences
 from missive.llm.conversations import conversations
 from missive.llm.mailparts import parts
 from missive.llm.pii import Finder, found
@@ -123,3 +124,40 @@ def test_parts_never_lose_lines():
     for _ in range(300):
         lines = [rnd.choice(pool) for _ in range(rnd.randint(0, 14))]
         assert len(parts("\n".join(lines))) == max(1, len(lines))
+
+
+EMAILS = "source_id string, source_name string, thread_id string, message_id string, in_reply_to string, references_json string, subject string, sender string, recipients_json string, sent_timestamp string, body_raw string, imported_at timestamp_ntz"
+CLOCKS = "source_name string, home_zone string, day_first boolean"
+
+
+def told_of(spark, rows):
+    """rows: (source_id, fields that differ from those of a plain mail of day n)."""
+    plain = {"source_name": "s", "subject": "Plan", "sender": "a@x.example", "recipients_json": '["b@x.example"]'}
+    names = [f.split()[0] for f in EMAILS.split(", ")]
+    data = [tuple({**plain, "sent_timestamp": f"2020-01-{n:02d} 10:00", "imported_at": datetime(2020, 2, n), **r, "source_id": i}.get(k) for k in names) for n, (i, r) in enumerate(rows, 1)]
+    done = authored(spark.createDataFrame(data, EMAILS), spark.createDataFrame([("s", "UTC", True)], CLOCKS), Cut(spark))
+    return {r["source_id"]: (sorted(r["told"]), r["n_own"]) for r in done.collect()}
+
+
+PASSED = "The crane permit covers the north yard until the end of the second week. Ask at the gate for the two spare keys before noon."
+B = {"sender": "b@x.example", "recipients_json": '["a@x.example"]', "subject": "Re: Plan"}
+
+
+def test_sentences_are_inherited_across_line_ends(spark):
+    assert sentences([(1, "Hi Ann,"), (2, "One two"), (3, "three. Dr. Four"), (5, "five"), (6, "- six")]) == [(1, 1, "Hi Ann,"), (2, 3, "One two three."), (3, 3, "Dr. Four"), (5, 5, "five"), (6, 6, "- six")]
+    wrapped = "Hi Ann,\nThe crane permit covers the north yard until\nthe end of the first week. Ask at the gate for the two spare\nkeys before noon.\nThis is mine."
+    got = told_of(spark, [("m1", {"body_raw": PASSED + "\nHi Ann,\nNo drums."}), ("m2", {**B, "body_raw": wrapped}), ("m3", {**B, "body_raw": "Hi Ann,\nNo drums.\nNo drums here."})])
+    assert got == {"m1": ([], 3), "m2": ([2, 3, 4], 2), "m3": ([2], 2)}
+
+
+def test_prints_reach_the_edit_bound():
+    rnd = random.Random(5)
+    word = lambda: "".join(rnd.choice("abcdefghijklmnop") for _ in range(rnd.randint(3, 8)))
+    far = []
+    for n in (12, 15, 20, 30) * 100:
+        a = [word() for _ in range(n)]
+        b = list(a)
+        b[rnd.randrange(n)] = word()
+        x, y = fingerprints([a, b]).view(np.uint64)
+        far.append(int(x ^ y).bit_count())
+    assert np.mean(np.array(far) <= DISTANCE) > 0.99
