@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from missive.functions.clock import with_instant
+from missive.llm.channels import tied
 from missive.llm.mailparts import _GREETING, LINE, OWN, QUOTED, parts
 from missive.session import Cut, table
 
@@ -128,28 +129,34 @@ def _base(c: Column) -> Column:
     return F.xxhash64(F.lower(F.regexp_replace(F.coalesce(c, F.lit("")), r"(?i)^(?:\s*(?:re|fwd?|aw|wg|sv|tr|rv|enc|antw)\s*:)+\s*", "")))
 
 
-def inherited(lines: DataFrame, texts: DataFrame, cut: Cut) -> DataFrame:
+def inherited(lines: DataFrame, texts: DataFrame, cut: Cut, ties: DataFrame | None = None) -> DataFrame:
     """(source_id, line_no, why) of lines(source_id, subject, sender, people, at, line_no, print, last) not newly written.
 
-    A line is a sentence, line_no its number in the mail. 'inherited': an earlier mail of the same base subject, by
-    another sender whom this mail is addressed to (people), has the sentence, within DISTANCE bits of its SimHash and
-    EDITS of its text, which texts(source_id, line_no, text) has and only candidates are joined to. Where a column
+    A line is a sentence, line_no its number in the mail. 'inherited': an earlier mail by another sender has the
+    sentence, within DISTANCE bits of its SimHash and EDITS of its text, which texts(source_id, line_no, text) has and
+    only candidates are joined to. That mail has the same channel in ties(source_id, channel), or the same base subject
+    and a sender whom this mail is addressed to (people), or any if it names no address. Where a column
     long says that a sentence is not, its print must be the same. DISTANCE is too wide for bands to choose by, so prints
-    are compared within a subject and author, over distinct prints with the earliest line of each sender, so that
+    are compared within such a place, over distinct prints with the earliest line of each sender, so that
     repeated sentences are met once.
     'boilerplate': BOILERPLATE mails or more of one sender end in it. Null senders inherit, but nothing is inherited
     from them.
     """
     long = (F.col("long") if "long" in lines.columns else F.lit(True)).alias("long")
     slim = lines.select("source_id", "line_no", "subject", "sender", "people", "at", "print", long).where("print is not null")
-    once = cut.keep(slim.where("sender is not null").groupBy("subject", "print", "sender", "long").agg(F.min(F.struct("at", "source_id", "line_no")).alias("first")))
-    once = once.withColumnRenamed("sender", "author")
-    wanted = slim.select("source_id", "line_no", "subject", "sender", "at", "print", "long", F.explode(F.array_distinct("people")).alias("author")).where("sender is null or sender <> author").drop("sender")
-    asked, known = wanted.where("long").select("subject", "author", "print").distinct(), once.where("long").select("subject", "author", F.col("print").alias("print2"))
-    pairs = asked.join(known, ["subject", "author"]).where((F.col("print") != F.col("print2")) & (F.bit_count(F.col("print").bitwiseXOR(F.col("print2"))) <= DISTANCE))
-    near = wanted.where("long").join(cut.keep(pairs), ["subject", "author", "print"]).drop("print").withColumnRenamed("print2", "print")
-    hit = wanted.unionByName(near).join(once, ["subject", "author", "print", "long"])
-    hit = hit.where("first.at < at and first.source_id <> source_id")
+    slim = slim.withColumn("channel", F.lit(None).cast("long")) if ties is None else slim.join(ties.select("source_id", "channel"), "source_id", "left")
+    by_channel = F.when(F.col("channel").isNotNull(), F.array(F.xxhash64(F.lit("channel"), "channel"))).otherwise(F.array().cast("array<bigint>"))
+    by_subject = F.xxhash64(F.lit("subject"), "subject")
+    named = F.transform(F.array_distinct("people"), lambda x: F.xxhash64(F.lit("author"), F.col("subject"), x))
+    wanted = slim.select("source_id", "line_no", "sender", "at", "print", "long", F.explode(F.concat(F.when(F.size("people") > 0, named).otherwise(F.array(by_subject)), by_channel)).alias("place"))
+    author = F.xxhash64(F.lit("author"), "subject", "sender")
+    known = slim.where("sender is not null").select("source_id", "line_no", F.col("sender").alias("author"), "at", "print", "long", F.explode(F.concat(F.array(author, by_subject), by_channel)).alias("place"))
+    once = cut.keep(known.groupBy("place", "print", "author", "long").agg(F.min(F.struct("at", "source_id", "line_no")).alias("first")))
+    asked, others = wanted.where("long").select("place", "print").distinct(), once.where("long").select("place", F.col("print").alias("print2")).distinct()
+    pairs = asked.join(others, "place").where((F.col("print") != F.col("print2")) & (F.bit_count(F.col("print").bitwiseXOR(F.col("print2"))) <= DISTANCE))
+    near = wanted.where("long").join(cut.keep(pairs), ["place", "print"]).drop("print").withColumnRenamed("print2", "print")
+    hit = wanted.unionByName(near).join(once, ["place", "print", "long"])
+    hit = hit.where("first.at < at and first.source_id <> source_id and (sender is null or sender <> author)")
     hit = cut.keep(hit.select("source_id", "line_no", F.col("first.source_id").alias("source_id2"), F.col("first.line_no").alias("line_no2")).distinct())
     texts = texts.select("source_id", "line_no", "text")
     both = hit.join(texts, ["source_id", "line_no"]).join(texts.toDF("source_id2", "line_no2", "text2"), ["source_id2", "line_no2"])
@@ -160,10 +167,11 @@ def inherited(lines: DataFrame, texts: DataFrame, cut: Cut) -> DataFrame:
     return found.unionAll(ends.join(common, ["sender", "print"]).select("source_id", "line_no", F.lit("boilerplate"))).distinct()
 
 
-def authored(mails: DataFrame, clocks: DataFrame, cut: Cut) -> DataFrame:
+def authored(mails: DataFrame, clocks: DataFrame, cut: Cut, ties: DataFrame | None = None) -> DataFrame:
     """(source_id, told, n_own) of each source_id of mails, cut: the lines that are not newly written, and how many are.
 
-    mails(source_id, source_name, subject, sender, recipients_json, sent_timestamp, body_raw, imported_at). Lines are told by form
+    mails(source_id, source_name, thread_id, message_id, in_reply_to, references_json, subject, sender, recipients_json,
+    sent_timestamp, body_raw, imported_at); ties is tied() of them where it is known already. Lines are told by form
     first (quote marks, headers, introductions, signatures, notices); what is left is held against earlier mails and
     the sender's other mails (inherited()). Of rows with one source_id the first imported counts. Null and empty
     bodies have no lines; null subjects count as one, null senders as different ones.
@@ -180,7 +188,7 @@ def authored(mails: DataFrame, clocks: DataFrame, cut: Cut) -> DataFrame:
     lines = cut.keep(own.join(about, "source_id").select("source_id", "m.subject", "m.sender", "m.people", "m.at", "line_no", "begin", "end", "long", "print", "last").distinct())
     texts = raw.select("source_id", F.posexplode("own_text").alias("line_no", "text"))
     # A line is not newly written if none of its sentences is.
-    hits = cut.keep(inherited(lines, texts, cut).select("source_id", "line_no").distinct().withColumn("hit", F.lit(True)))
+    hits = cut.keep(inherited(lines, texts, cut, tied(mails, cut) if ties is None else ties).select("source_id", "line_no").distinct().withColumn("hit", F.lit(True)))
     marked = lines.join(hits.select("source_id").distinct(), "source_id", "left_semi").join(hits, ["source_id", "line_no"], "left")
     marked = marked.select("source_id", F.explode(F.sequence("begin", "end")).alias("line_no"), F.coalesce("hit", F.lit(False)).alias("hit"))
     more = marked.groupBy("source_id", "line_no").agg(F.min("hit").alias("hit")).where("hit").groupBy("source_id").agg(F.collect_set("line_no").alias("more"))

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from missive.functions.ids import bare, message_ids, valued
+from missive.functions.ids import bare
 from missive.llm.authored import authored
-from missive.operators.graph import components
+from missive.llm.channels import address, channels, stated, tied
 from missive.operators.ordering import numbered, sessions
 from missive.operators.timestamps import instants
 from missive.session import Cut, table
@@ -16,34 +16,7 @@ from missive.session import Cut, table
 WITHIN = 0.95
 
 
-def address(c: Column) -> Column:
-    """The mail address in a sender in lower case, else the whole text; null if it stands for no value."""
-    found = F.regexp_extract(F.lower(c), r"([\w.+'-]+@[\w-]+(?:\.[\w-]+)+)", 1)
-    return F.coalesce(F.when(found != "", found), valued(c))
-
-
-def channels(mails: DataFrame, cut: Cut) -> DataFrame:
-    """(source_id, channel) of mails(source_id, thread, message, named): mails tied by a thread or by naming messages.
-
-    Each thread and each named message is a hub tied to its mails once, so that no pairs within it are made. A mail
-    that nothing ties to another has no channel.
-    """
-    nodes = cut.keep(mails.withColumn("node", F.monotonically_increasing_id()))
-    hubs = nodes.where("thread is not null").groupBy("thread").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1")
-    by_thread = nodes.join(hubs, "thread").select(F.col("node").alias("a"), F.col("hub").alias("b"))
-    names = nodes.select("node", F.explode("named").alias("message")).distinct()
-    owners = nodes.where("message is not null").select("message", F.col("node").alias("owner"))
-    first = owners.groupBy("message").agg(F.min("owner").alias("hub"))
-    namers = names.join(first, "message").select("message", "node", "hub")
-    named = namers.groupBy("message").agg(F.min("node").alias("low"), F.max("node").alias("high"))
-    # Owners of one id are tied through a mail that names it, unless that is the owner itself and alone.
-    same = owners.join(named, "message").where("low <> high or low <> owner").join(first, "message").select(F.col("owner").alias("a"), F.col("hub").alias("b"))
-    edges = by_thread.unionAll(namers.select("node", "hub")).unionAll(same).where("a <> b")
-    found = cut.keep(components(edges, cut))
-    return nodes.join(found, "node").select("source_id", F.col("component").alias("channel"))
-
-
-def conversations(mails: DataFrame, times: DataFrame, written: DataFrame, cut: Cut) -> DataFrame:
+def conversations(mails: DataFrame, times: DataFrame, written: DataFrame, cut: Cut, placed: DataFrame | None = None) -> DataFrame:
     """(source_id, conversation_id, turn_no, speaker_no) of every mail of each kept conversation.
 
     mails(source_id, thread_id, message_id, in_reply_to, references_json, sender, imported_at), times(row_id,
@@ -51,16 +24,13 @@ def conversations(mails: DataFrame, times: DataFrame, written: DataFrame, cut: C
     session however long it rests, since its ties are stated. A session is kept if two or more senders write in it,
     every mail has a sender, an instant and newly written text, and every in_reply_to names a mail of the table with
     an earlier instant. Turns are numbered by instant (ties by source_id), speakers by first appearance. Of rows with
-    one source_id the first imported counts; null and empty ids tie nothing; empty tables give an empty result.
+    one source_id the first imported counts; null and empty ids tie nothing; empty tables give an empty result. placed
+    is channels() of these mails where it is known already.
     """
-    fields = F.struct(
-        valued(F.col("thread_id")).alias("thread"), bare(F.col("message_id")).alias("message"), message_ids(F.col("in_reply_to")).alias("replies"), valued(F.col("in_reply_to")).isNotNull().alias("is_reply"),
-        F.array_union(message_ids(F.col("in_reply_to")), message_ids(F.col("references_json"))).alias("named"), address(F.col("sender")).alias("speaker"),
-    )
-    one = mails.where("source_id is not null").select("source_id", "imported_at", fields.alias("m")).groupBy("source_id").agg(F.min_by("m", F.struct("imported_at", F.xxhash64("m"))).alias("m")).select("source_id", "m.*")
+    one = stated(mails)
     one = one.join(times.select(F.col("row_id").alias("source_id"), F.col("utc_micros").alias("at")), "source_id", "left").join(written.select("source_id", "n_own"), "source_id", "left")
     one = cut.keep(one)
-    placed = channels(one.select("source_id", "thread", "message", "named"), cut)
+    placed = channels(one.select("source_id", "thread", "message", "named"), cut) if placed is None else placed
     rows = cut.keep(one.join(placed, "source_id"))
     known = one.where("message is not null").groupBy("message").agg(F.min("at").alias("said"))
     replies = rows.select("source_id", "at", F.explode("replies").alias("message")).join(known, "message", "left")
@@ -85,7 +55,8 @@ def _times(mails: DataFrame, clocks: DataFrame, cut: Cut) -> DataFrame:
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per mail of each kept conversation: source_id, conversation_id, turn_no, speaker_no."""
     cut, mails, clocks = Cut(spark), table(spark, sf_dir, "emails"), table(spark, sf_dir, "source_clocks")
-    return conversations(mails, _times(mails, clocks, cut), authored(mails, clocks, cut), cut)
+    placed = cut.keep(tied(mails, cut))
+    return conversations(mails, _times(mails, clocks, cut), authored(mails, clocks, cut, placed), cut, placed)
 
 
 def p5_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:

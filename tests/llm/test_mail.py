@@ -161,3 +161,12 @@ def test_prints_reach_the_edit_bound():
         x, y = fingerprints([a, b]).view(np.uint64)
         far.append(int(x ^ y).bit_count())
     assert np.mean(np.array(far) <= DISTANCE) > 0.99
+
+
+def test_sentences_are_inherited_within_a_conversation(spark):
+    to_c = {"sender": "b@x.example", "recipients_json": '["c@x.example"]', "body_raw": PASSED + "\nMine."}
+    got = told_of(spark, [
+        ("m1", {"body_raw": PASSED, "thread_id": "t1", "message_id": "<1@x>"}), ("m2", {**to_c, "subject": "Other", "thread_id": " T1"}), ("m3", {**to_c, "subject": "Other", "references_json": '["<1@x>"]'}),
+        ("m4", {**to_c, "recipients_json": '["Ann Elm"]'}), ("m5", {**to_c, "recipients_json": None}), ("m6", {**to_c, "subject": "Other"}),
+    ])
+    assert got == {"m1": ([], 1), **{m: ([1], 1) for m in ("m2", "m3", "m4", "m5")}, "m6": ([], 2)}
