@@ -23,7 +23,9 @@ LONG = 12
 DISTANCE = 24
 #: Edits, as a share of the longer text, within which a near-match is the same sentence.
 EDITS = 0.1
-#: Mails of one sender that must end in a sentence for it to be the sender's boilerplate.
+#: Bits in which the prints of one sender's sentences may differ: what a changed word of LONG moves.
+ALIKE = 20
+#: Mails of one sender that must have a sentence, wherever it stands, for it to be the sender's boilerplate.
 BOILERPLATE = 5
 
 _WORD = re.compile(r"[^\W_]+")
@@ -130,7 +132,7 @@ def _base(c: Column) -> Column:
 
 
 def inherited(lines: DataFrame, texts: DataFrame, cut: Cut, ties: DataFrame | None = None) -> DataFrame:
-    """(source_id, line_no, why) of lines(source_id, subject, sender, people, at, line_no, print, last) not newly written.
+    """(source_id, line_no, why) of lines(source_id, subject, sender, people, at, line_no, print) not newly written.
 
     A line is a sentence, line_no its number in the mail. 'inherited': an earlier mail by another sender has the
     sentence, within DISTANCE bits of its SimHash and EDITS of its text, which texts(source_id, line_no, text) has and
@@ -139,7 +141,7 @@ def inherited(lines: DataFrame, texts: DataFrame, cut: Cut, ties: DataFrame | No
     long says that a sentence is not, its print must be the same. DISTANCE is too wide for bands to choose by, so prints
     are compared within such a place, over distinct prints with the earliest line of each sender, so that
     repeated sentences are met once.
-    'boilerplate': BOILERPLATE mails or more of one sender end in it. Null senders inherit, but nothing is inherited
+    'boilerplate': boilerplate() has it. Null senders inherit, but nothing is inherited
     from them.
     """
     long = (F.col("long") if "long" in lines.columns else F.lit(True)).alias("long")
@@ -162,9 +164,33 @@ def inherited(lines: DataFrame, texts: DataFrame, cut: Cut, ties: DataFrame | No
     both = hit.join(texts, ["source_id", "line_no"]).join(texts.toDF("source_id2", "line_no2", "text2"), ["source_id2", "line_no2"])
     most = (F.greatest(F.length("text"), F.length("text2")) * EDITS).cast("int")
     found = both.where(F.levenshtein("text", "text2") <= most).select("source_id", "line_no", F.lit("inherited").alias("why"))
-    ends = lines.where("last and sender is not null")
-    common = ends.groupBy("sender", "print").agg(F.approx_count_distinct("source_id").alias("mails")).where(f"mails >= {BOILERPLATE}")
-    return found.unionAll(ends.join(common, ["sender", "print"]).select("source_id", "line_no", F.lit("boilerplate"))).distinct()
+    return found.unionAll(boilerplate(lines, texts, cut).select("source_id", "line_no", F.lit("boilerplate"))).distinct()
+
+
+def boilerplate(lines: DataFrame, texts: DataFrame, cut: Cut) -> DataFrame:
+    """(source_id, line_no) of the sentences of lines (as inherited() has them) that BOILERPLATE mails of their sender have.
+
+    A mail has a sentence if one of its own is within ALIKE bits of its print and EDITS of its text. Mails are counted
+    exactly; only texts of sentences that might reach BOILERPLATE are compared. Sentences that are not long and null
+    senders have none.
+    """
+    said = lines.where("sender is not null and print is not null").where("long" if "long" in lines.columns else "true").select("sender", "print", "source_id", "line_no")
+    each = cut.keep(said.groupBy("sender", "print", "source_id").agg(F.min("line_no").alias("line_no")))
+    counted = cut.keep(each.groupBy("sender", "print").agg(F.count("*").alias("n"), F.min(F.struct("source_id", "line_no")).alias("one")))
+    other = counted.toDF("sender", "print2", "n2", "two")
+    near = (F.col("print") != F.col("print2")) & (F.bit_count(F.col("print").bitwiseXOR(F.col("print2"))) <= ALIKE)
+    alike = cut.keep(counted.where(f"n < {BOILERPLATE}").join(other, "sender").where(near))
+    enough = alike.groupBy("sender", "print").agg((F.sum("n2") + F.first("n")).alias("most")).where(f"most >= {BOILERPLATE}")
+    alike = alike.join(enough.select("sender", "print"), ["sender", "print"], "left_semi")
+    alike = alike.select("sender", "print", "print2", F.col("one.source_id"), F.col("one.line_no"), F.col("two.source_id").alias("source_id2"), F.col("two.line_no").alias("line_no2"))
+    texts = texts.select("source_id", "line_no", "text")
+    both = alike.join(texts, ["source_id", "line_no"]).join(texts.toDF("source_id2", "line_no2", "text2"), ["source_id2", "line_no2"])
+    most = (F.greatest(F.length("text"), F.length("text2")) * EDITS).cast("int")
+    same = cut.keep(both.where(F.levenshtein("text", "text2") <= most).select("sender", "print", "print2"))
+    same = same.unionAll(same.select("sender", "print", "print").distinct())
+    reached = same.join(each.select("sender", F.col("print").alias("print2"), "source_id"), ["sender", "print2"]).groupBy("sender", "print").agg(F.count_distinct("source_id").alias("n"))
+    common = counted.select("sender", "print", "n").unionByName(reached).where(f"n >= {BOILERPLATE}").select("sender", "print").distinct()
+    return said.join(common, ["sender", "print"]).select("source_id", "line_no")
 
 
 def authored(mails: DataFrame, clocks: DataFrame, cut: Cut, ties: DataFrame | None = None) -> DataFrame:
@@ -183,9 +209,9 @@ def authored(mails: DataFrame, clocks: DataFrame, cut: Cut, ties: DataFrame | No
     about = about.groupBy("source_id").agg(F.min_by(F.struct("subject", F.nullif("sender", F.lit("")).alias("sender"), "people", F.coalesce("instant", "imported_at").alias("at")), "imported_at").alias("m"))
     one = raw.groupBy("source_id").agg(F.min_by(F.struct("told", "n_own"), F.struct("imported_at", "body_hash")).alias("p"))
     one = one.select("source_id", "p.told", "p.n_own")
-    own = raw.where("size(own_first) > 0").select("source_id", F.posexplode(F.arrays_zip("own_first", "own_last", "own_long", "own_print")).alias("line_no", "o"), F.array_position(F.reverse("own_long"), True).alias("n"), F.size("own_first").alias("m"))
-    own = own.select("source_id", "line_no", F.col("o.own_first").alias("begin"), F.col("o.own_last").alias("end"), F.col("o.own_long").alias("long"), F.col("o.own_print").alias("print"), (F.col("line_no") == F.col("m") - F.col("n")).alias("last"))
-    lines = cut.keep(own.join(about, "source_id").select("source_id", "m.subject", "m.sender", "m.people", "m.at", "line_no", "begin", "end", "long", "print", "last").distinct())
+    own = raw.where("size(own_first) > 0").select("source_id", F.posexplode(F.arrays_zip("own_first", "own_last", "own_long", "own_print")).alias("line_no", "o"))
+    own = own.select("source_id", "line_no", F.col("o.own_first").alias("begin"), F.col("o.own_last").alias("end"), F.col("o.own_long").alias("long"), F.col("o.own_print").alias("print"))
+    lines = cut.keep(own.join(about, "source_id").select("source_id", "m.subject", "m.sender", "m.people", "m.at", "line_no", "begin", "end", "long", "print").distinct())
     texts = raw.select("source_id", F.posexplode("own_text").alias("line_no", "text"))
     # A line is not newly written if none of its sentences is.
     hits = cut.keep(inherited(lines, texts, cut, tied(mails, cut) if ties is None else ties).select("source_id", "line_no").distinct().withColumn("hit", F.lit(True)))

@@ -170,3 +170,12 @@ def test_sentences_are_inherited_within_a_conversation(spark):
         ("m4", {**to_c, "recipients_json": '["Ann Elm"]'}), ("m5", {**to_c, "recipients_json": None}), ("m6", {**to_c, "subject": "Other"}),
     ])
     assert got == {"m1": ([], 1), **{m: ([1], 1) for m in ("m2", "m3", "m4", "m5")}, "m6": ([], 2)}
+
+
+def test_boilerplate_stands_anywhere_and_varies(spark):
+    body = "The harbour office answers letters on working days between nine and four.\n{} is what I wrote.\nOur offices in the old mill stay closed for visitors until the {} of May this year.\nBye now, that is all of it."
+    ordinals = ["first", "third", "fifth", "sixth", "ninth", "tenth"]
+    got = told_of(spark, [(f"m{k}", {"subject": f"S{k}", "body_raw": body.format("x" * (k + 1), w)}) for k, w in enumerate(ordinals[:5])])
+    assert got == {f"m{k}": ([1, 3], 2) for k in range(5)}
+    got = told_of(spark, [(f"m{k}", {"subject": f"S{k}", "body_raw": body.format("x" * (k + 1), w)}) for k, w in enumerate(ordinals[:4])])
+    assert got == {f"m{k}": ([], 4) for k in range(4)}
