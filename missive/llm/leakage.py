@@ -22,10 +22,8 @@ SHARE = 0.4
 COVER = 0.25
 #: Words between two seeds of one stretch, and between two stretches of one passage.
 STEP, APART = 9, 80
-#: Matching words and their share that make a stretch.
+#: Matching words and their share that make a stretch, alone or as one of two.
 STRETCH, DENSE = 6, 0.6
-#: The same of each of two stretches that count together.
-PART, CLOSE = 10, 0.8
 
 
 class Seeds:
@@ -134,9 +132,8 @@ def contained(doc: np.ndarray, passage: np.ndarray, pairs: set[tuple[int, int]])
     best = max((s[4] for s in found), default=0)
     if best >= need:
         return True
-    parts = [s for s in found if s[4] >= PART and s[4] >= CLOSE * (max(s[1] - s[0], s[3] - s[2]) + 1)]
-    for a in parts:
-        for b in parts:
+    for a in found:
+        for b in found:
             if b[0] > a[1] - 3 and b[0] - a[1] <= APART and b[2] > a[3] - 3 and a[4] + b[4] - max(0, a[3] - b[2] + 1) >= need:
                 return True
     return False

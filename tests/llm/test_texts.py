@@ -31,6 +31,17 @@ def test_leaked(spark):
     assert leaked(spark.createDataFrame(rows, "doc_id long, text string"), items.limit(0)).count() == 0
 
 
+def test_two_stretches_need_no_more_than_one(spark):
+    rnd = random.Random(6)
+    passage = [f"word{k}" for k in range(54)]
+    noise = lambda n: [rnd.choice(VOCABULARY) for _ in range(n)]
+    changed = [w if k % 5 != 2 else "else" for k, w in enumerate(passage)]
+    docs = {1: noise(9) + passage[:15] + noise(30) + passage[30:37], 2: noise(9) + passage[:13] + noise(30) + passage[30:39], 3: changed[:16] + noise(20) + changed[30:46], 4: passage[30:39] + noise(30) + passage[:13], 5: passage[:9] + noise(30) + passage[30:39]}
+    items = spark.createDataFrame([(1, " ".join(passage))], "item_id long, passage string")
+    got = leaked(spark.createDataFrame([(k, " ".join(v)) for k, v in docs.items()], "doc_id long, text string"), items).collect()
+    assert sorted(r["doc_id"] for r in got) == [1, 2, 3]
+
+
 def test_leaked_in_blocks(spark, monkeypatch):
     monkeypatch.setattr("missive.llm.leakage.BLOCK", 2)
     rnd = random.Random(3)
