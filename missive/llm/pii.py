@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import ahocorasick
 import pandas as pd
@@ -210,41 +210,53 @@ def name_words(mails: DataFrame) -> DataFrame:
     return rows.groupBy("n.word").agg(F.max(F.col("n.role") == 1).alias("given"), F.max(F.col("n.role") == 0).alias("family"))
 
 
-def found(mails: DataFrame, column: str = "body_raw") -> DataFrame:
-    """(source_id, starts, ends, types) of each row of mails: every item in the column, types counted from 0 in TYPES.
+def _searched(mails: DataFrame, rows: DataFrame, columns: list[str], each: Callable, kind: str) -> DataFrame:
+    """each(batch, items) of the batches of rows, where items(i, text) are those of a text in row i of the batch.
 
-    Names are those of the mails' correspondents, and what follows a title or an initial. Null texts have no items.
+    Names are those of the mails' correspondents: sent to all up to MAX_NAMES, with more joined to the rows whose
+    columns have them.
     """
     names = name_words(mails)
     bounded = names.limit(MAX_NAMES + 1).collect()
-    kind = "source_id string, starts array<int>, ends array<int>, types array<int>"
-    rows = mails.select("source_id", F.col(column).alias("text"))
     if len(bounded) <= MAX_NAMES:
         given, family = {r["word"] for r in bounded if r["given"]}, {r["word"] for r in bounded if r["family"]}
         own = None
     else:
-        given = family = own = True
+        given, family, own = set(), set(), True
         rows = rows.withColumn("row", F.monotonically_increasing_id())
-        caps = rows.select("row", F.explode(F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(r"([A-ZÀ-Þ][\w'’-]*)")), F.lower))).alias("word"))
+        caps = rows.select("row", F.explode(F.array_distinct(F.transform(F.regexp_extract_all(F.concat_ws("\n", *columns), F.lit(r"([A-ZÀ-Þ][\w'’-]*)")), F.lower))).alias("word"))
         roles = caps.join(names, "word").groupBy("row").agg(F.collect_set(F.when(F.col("given"), F.col("word"))).alias("given"), F.collect_set(F.when(F.col("family"), F.col("word"))).alias("family"))
         rows = rows.join(roles, "row", "left").drop("row")
 
     def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shared = None if own else Finder(given, family)
-        if own:
-            shared = Finder(set(), set())
+        shared = Finder(given, family)
         for b in batches:
-            got = []
-            for i, text in enumerate(b["text"]):
+
+            def items(i: int, text: str | None) -> list[tuple[int, int, str]]:
                 if own:
-                    g, f = b["given"].iloc[i], b["family"].iloc[i]
+                    g, f = b["given"].iloc[i], b["family"].iloc[i]  # noqa: B023
                     shared.given, shared.family = set(g) if g is not None else set(), set(f) if f is not None else set()
-                got.append(shared.items(text))
-            yield pd.DataFrame({"source_id": b["source_id"], "starts": [[s for s, _, _ in x] for x in got], "ends": [[e for _, e, _ in x] for x in got], "types": [[TYPES.index(t) for _, _, t in x] for x in got]})
+                return shared.items(text)
+
+            yield each(b, items)
 
     return rows.mapInPandas(part, kind)
 
 
+def found(mails: DataFrame, column: str = "body_raw") -> DataFrame:
+    """(source_id, starts, ends, types) of each row of mails: every item in the column, types counted from 0 in TYPES.
+
+    Names are those of the mails' correspondents, and what follows a title or an initial. Null texts have no items.
+    """
+
+    def each(b: pd.DataFrame, items: Callable) -> pd.DataFrame:
+        got = [items(i, text) for i, text in enumerate(b["text"])]
+        return pd.DataFrame({"source_id": b["source_id"], "starts": [[s for s, _, _ in x] for x in got], "ends": [[e for _, e, _ in x] for x in got], "types": [[TYPES.index(t) for _, _, t in x] for x in got]})
+
+    rows = mails.select("source_id", F.col(column).alias("text"))
+    return _searched(mails, rows, ["text"], each, "source_id string, starts array<int>, ends array<int>, types array<int>")
+
+
 def _exploded(items: DataFrame) -> DataFrame:
     rows = items.select("source_id", F.explode(F.arrays_zip("starts", "ends", "types")).alias("i"))
     types = F.array(*map(F.lit, TYPES))
@@ -257,26 +269,25 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _exploded(items.select("source_id", "i.starts", "i.ends", "i.types"))
 
 
-def p6_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """body_raw, sender and recipients_json of each mail with a placeholder such as [EMAIL] for each item."""
-    mails = table(spark, sf_dir, "emails").dropDuplicates(["source_id"])
-    words = {r["word"]: r for r in name_words(mails).limit(MAX_NAMES).collect()}
-    given, family = {w for w, r in words.items() if r["given"]}, {w for w, r in words.items() if r["family"]}
+def masked(mails: DataFrame) -> DataFrame:
+    """source_id, body_raw, sender and recipients_json of each row of mails with a placeholder such as [EMAIL] for each item."""
     columns = ["body_raw", "sender", "recipients_json"]
 
-    def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        finder = Finder(given, family)
-
-        def mask(text: str | None) -> str | None:
+    def each(b: pd.DataFrame, items: Callable) -> pd.DataFrame:
+        def mask(i: int, text: str | None) -> str | None:
             if text is None:
                 return None
             out, at = [], 0
-            for a, b, kind in finder.items(text):
+            for a, z, kind in items(i, text):
                 out += [text[at:a], f"[{kind}]"]
-                at = b
+                at = z
             return "".join([*out, text[at:]])
 
-        for b in batches:
-            yield b.assign(**{c: [mask(x) for x in b[c]] for c in columns})
+        return pd.DataFrame({"source_id": b["source_id"], **{c: [mask(i, x) for i, x in enumerate(b[c])] for c in columns}})
+
+    return _searched(mails, mails.select("source_id", *columns), columns, each, "source_id string, body_raw string, sender string, recipients_json string")
 
-    return mails.select("source_id", *columns).mapInPandas(part, "source_id string, body_raw string, sender string, recipients_json string")
+
+def p6_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """body_raw, sender and recipients_json of each mail with a placeholder such as [EMAIL] for each item."""
+    return masked(table(spark, sf_dir, "emails").dropDuplicates(["source_id"]))

@@ -7,7 +7,7 @@ import pytest
 from missive.llm.authored import DISTANCE, authored, fingerprints, inherited, sentences
 from missive.llm.conversations import conversations
 from missive.llm.mailparts import parts
-from missive.llm.pii import Finder, found
+from missive.llm.pii import Finder, found, p6_masked
 from missive.session import Cut
 
 BODY = """Hi Ann,
@@ -179,3 +179,12 @@ def test_boilerplate_stands_anywhere_and_varies(spark):
     assert got == {f"m{k}": ([1, 3], 2) for k in range(5)}
     got = told_of(spark, [(f"m{k}", {"subject": f"S{k}", "body_raw": body.format("x" * (k + 1), w)}) for k, w in enumerate(ordinals[:4])])
     assert got == {f"m{k}": ([], 4) for k in range(4)}
+
+
+def test_masked_with_more_names_than_are_sent(spark, monkeypatch, tmp_path):
+    rows = [("1", "Ann Oakby <a@x.example>", '["\\"Elmstead, Will\\" <w@x.example>"]', "Ann and Will Elmstead"), ("2", None, None, None)]
+    spark.createDataFrame(rows, "source_id string, sender string, recipients_json string, body_raw string").write.parquet(f"{tmp_path}/emails.parquet")
+    first = sorted(map(str, p6_masked(spark, str(tmp_path)).collect()))
+    assert "body_raw='[NAME] and [NAME]'" in first[0]
+    monkeypatch.setattr("missive.llm.pii.MAX_NAMES", 0)
+    assert sorted(map(str, p6_masked(spark, str(tmp_path)).collect())) == first
