@@ -150,9 +150,17 @@ def inherited(lines: DataFrame, texts: DataFrame, cut: Cut, ties: DataFrame | No
     by_channel = F.when(F.col("channel").isNotNull(), F.array(F.xxhash64(F.lit("channel"), "channel"))).otherwise(F.array().cast("array<bigint>"))
     by_subject = F.xxhash64(F.lit("subject"), "subject")
     named = F.transform(F.array_distinct("people"), lambda x: F.xxhash64(F.lit("author"), F.col("subject"), x))
-    wanted = slim.select("source_id", "line_no", "sender", "at", "print", "long", F.explode(F.concat(F.when(F.size("people") > 0, named).otherwise(F.array(by_subject)), by_channel)).alias("place"))
     author = F.xxhash64(F.lit("author"), "subject", "sender")
-    known = slim.where("sender is not null").select("source_id", "line_no", F.col("sender").alias("author"), "at", "print", "long", F.explode(F.concat(F.array(author, by_subject), by_channel)).alias("place"))
+    # Places are chosen by mails first: sentences only go to those where another sender's earlier mail may be met.
+    mails = slim.select("source_id", "subject", "sender", "people", "at", "channel").distinct()
+    asks = mails.select("source_id", "sender", "at", F.explode(F.concat(F.when(F.size("people") > 0, named).otherwise(F.array(by_subject)), by_channel)).alias("place"))
+    has = mails.where("sender is not null").select("source_id", "sender", "at", F.explode(F.concat(F.array(author, by_subject), by_channel)).alias("place"))
+    met = has.groupBy("place").agg(F.min("at").alias("oldest"), F.min("sender").alias("x"), F.max("sender").alias("y")).join(asks.groupBy("place").agg(F.max("at").alias("newest")), "place").where("oldest < newest")
+    met = cut.keep(met)
+    asks = cut.keep(asks.join(met, "place").where("oldest < at and (sender is null or x <> sender or y <> sender)").select("source_id", "place").distinct())
+    has = cut.keep(has.join(met.join(asks.select("place").distinct(), "place", "left_semi"), "place").where("at < newest").select("source_id", "place").distinct())
+    wanted = slim.select("source_id", "line_no", "sender", "at", "print", "long").join(asks, "source_id")
+    known = slim.select("source_id", "line_no", F.col("sender").alias("author"), "at", "print", "long").join(has, "source_id")
     once = cut.keep(known.groupBy("place", "print", "author", "long").agg(F.min(F.struct("at", "source_id", "line_no")).alias("first")))
     asked, others = wanted.where("long").select("place", "print").distinct(), once.where("long").select("place", F.col("print").alias("print2")).distinct()
     pairs = asked.join(others, "place").where((F.col("print") != F.col("print2")) & (F.bit_count(F.col("print").bitwiseXOR(F.col("print2"))) <= DISTANCE))
@@ -163,7 +171,7 @@ def inherited(lines: DataFrame, texts: DataFrame, cut: Cut, ties: DataFrame | No
     texts = texts.select("source_id", "line_no", "text")
     both = hit.join(texts, ["source_id", "line_no"]).join(texts.toDF("source_id2", "line_no2", "text2"), ["source_id2", "line_no2"])
     most = (F.greatest(F.length("text"), F.length("text2")) * EDITS).cast("int")
-    found = both.where(F.levenshtein("text", "text2") <= most).select("source_id", "line_no", F.lit("inherited").alias("why"))
+    found = both.where(F.abs(F.length("text") - F.length("text2")) <= most).withColumn("most", most).where("levenshtein(text, text2, most) >= 0").select("source_id", "line_no", F.lit("inherited").alias("why"))
     return found.unionAll(boilerplate(lines, texts, cut).select("source_id", "line_no", F.lit("boilerplate"))).distinct()
 
 
@@ -186,7 +194,7 @@ def boilerplate(lines: DataFrame, texts: DataFrame, cut: Cut) -> DataFrame:
     texts = texts.select("source_id", "line_no", "text")
     both = alike.join(texts, ["source_id", "line_no"]).join(texts.toDF("source_id2", "line_no2", "text2"), ["source_id2", "line_no2"])
     most = (F.greatest(F.length("text"), F.length("text2")) * EDITS).cast("int")
-    same = cut.keep(both.where(F.levenshtein("text", "text2") <= most).select("sender", "print", "print2"))
+    same = cut.keep(both.where(F.abs(F.length("text") - F.length("text2")) <= most).withColumn("most", most).where("levenshtein(text, text2, most) >= 0").select("sender", "print", "print2"))
     same = same.unionAll(same.select("sender", "print", "print").distinct())
     reached = same.join(each.select("sender", F.col("print").alias("print2"), "source_id"), ["sender", "print2"]).groupBy("sender", "print").agg(F.count_distinct("source_id").alias("n"))
     common = counted.select("sender", "print", "n").unionByName(reached).where(f"n >= {BOILERPLATE}").select("sender", "print").distinct()
@@ -202,6 +210,7 @@ def authored(mails: DataFrame, clocks: DataFrame, cut: Cut, ties: DataFrame | No
     the sender's other mails (inherited()). Of rows with one source_id the first imported counts. Null and empty
     bodies have no lines; null subjects count as one, null senders as different ones.
     """
+    ties = tied(mails, cut) if ties is None else ties
     raw = cut.keep(parsed(mails.where("source_id is not null")))
     zones = clocks.groupBy("source_name").agg(F.max("home_zone").alias("_zone"), F.max("day_first").alias("_first"))
     about = mails.select("source_id", F.unix_micros(F.col("imported_at").cast("timestamp")).alias("imported_at"), _base(F.col("subject")).alias("subject"), _sender(F.col("sender")).alias("sender"), _people(F.col("recipients_json")).alias("people"), "source_name", F.col("sent_timestamp").alias("_text"))
@@ -214,7 +223,7 @@ def authored(mails: DataFrame, clocks: DataFrame, cut: Cut, ties: DataFrame | No
     lines = cut.keep(own.join(about, "source_id").select("source_id", "m.subject", "m.sender", "m.people", "m.at", "line_no", "begin", "end", "long", "print").distinct())
     texts = raw.select("source_id", F.posexplode("own_text").alias("line_no", "text"))
     # A line is not newly written if none of its sentences is.
-    hits = cut.keep(inherited(lines, texts, cut, tied(mails, cut) if ties is None else ties).select("source_id", "line_no").distinct().withColumn("hit", F.lit(True)))
+    hits = cut.keep(inherited(lines, texts, cut, ties).select("source_id", "line_no").distinct().withColumn("hit", F.lit(True)))
     marked = lines.join(hits.select("source_id").distinct(), "source_id", "left_semi").join(hits, ["source_id", "line_no"], "left")
     marked = marked.select("source_id", F.explode(F.sequence("begin", "end")).alias("line_no"), F.coalesce("hit", F.lit(False)).alias("hit"))
     more = marked.groupBy("source_id", "line_no").agg(F.min("hit").alias("hit")).where("hit").groupBy("source_id").agg(F.collect_set("line_no").alias("more"))

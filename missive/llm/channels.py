@@ -34,7 +34,9 @@ def channels(mails: DataFrame, cut: Cut) -> DataFrame:
     same = owners.join(named, "message").where("low <> high or low <> owner").join(first, "message").select(F.col("owner").alias("a"), F.col("hub").alias("b"))
     edges = by_thread.unionAll(namers.select("node", "hub")).unionAll(same).where("a <> b")
     found = cut.keep(components(edges, cut))
-    return nodes.join(found, "node").select("source_id", F.col("component").alias("channel"))
+    placed = cut.keep(nodes.join(found, "node").select("source_id", F.col("component").alias("channel")))
+    cut.drop(nodes, found)
+    return placed
 
 
 def stated(mails: DataFrame) -> DataFrame:
@@ -48,4 +50,4 @@ def stated(mails: DataFrame) -> DataFrame:
 
 def tied(mails: DataFrame, cut: Cut) -> DataFrame:
     """channels() of mail rows: (source_id, channel) of every mail that thread_id, in_reply_to or references_json tie to another."""
-    return channels(cut.keep(stated(mails).select("source_id", "thread", "message", "named")), cut)
+    return channels(stated(mails).select("source_id", "thread", "message", "named"), cut)

@@ -55,7 +55,7 @@ def _times(mails: DataFrame, clocks: DataFrame, cut: Cut) -> DataFrame:
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per mail of each kept conversation: source_id, conversation_id, turn_no, speaker_no."""
     cut, mails, clocks = Cut(spark), table(spark, sf_dir, "emails"), table(spark, sf_dir, "source_clocks")
-    placed = cut.keep(tied(mails, cut))
+    placed = tied(mails, cut)
     return conversations(mails, _times(mails, clocks, cut), authored(mails, clocks, cut, placed), cut, placed)
 
 
