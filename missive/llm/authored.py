@@ -27,29 +27,31 @@ EDITS = 0.1
 ALIKE = 20
 #: Mails of one sender that must have a sentence, wherever it stands, for it to be the sender's boilerplate.
 BOILERPLATE = 5
+#: Tables that a print is partitioned into: near-matches have one part of 64 / TABLES bits in common.
+TABLES = 8
+#: Prints of one part beyond which it is split over tasks, and representatives that its prints are held against first.
+HOT, FIRST = 1000, 8
 
 _WORD = re.compile(r"[^\W_]+")
 _STOP = re.compile(r"(?<!\bDr)(?<!\bMr)(?<!\bMs)(?<!\bSr)(?<!\bSt)(?<!\bMrs)(?<!\bNo)(?<!\bNr)(?<!\b[A-ZÀ-Þ])[.!?]+[\"')\]’”»]*\s+")
 _ITEM = re.compile(r"(?:[-*•·+–]|\(?\w{1,2}[.)])\s")
-PARSED = "source_id string, imported_at long, told array<int>, n_own int, own_first array<int>, own_last array<int>, own_long array<boolean>, own_print array<long>, own_text array<string>, body_hash int"
+PARSED = "source_id string, imported_at long, told array<int>, n_own int, own_first array<int>, own_last array<int>, own_long array<boolean>, own_print array<long>, own_exact array<long>, own_size array<int>, own_text array<string>, body_hash int"
 
 
 def fingerprints(lines: list[list[str]]) -> np.ndarray:
-    """64-bit SimHash of each list of words, over its words and pairs of neighbours."""
+    """64-bit SimHash of each list of words."""
     if not lines:
         return np.zeros(0, dtype=np.int64)
-    ids = np.array([zlib.crc32(w.encode()) for words in lines for w in words], dtype=np.uint64)
+    x = np.array([zlib.crc32(w.encode()) for words in lines for w in words], dtype=np.uint64)
     size = np.array([len(w) for w in lines])
     start = np.concatenate([[0], size.cumsum()[:-1]])
-    before = np.roll(ids, 1)
-    before[start] = 0
-    x = np.concatenate([ids, ids * np.uint64(31) + before * np.uint64(0x9E3779B1) + np.uint64(7)])
     for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
         x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
     x ^= x >> np.uint64(31)
     bits = np.unpackbits(x.view(np.uint8).reshape(-1, 8), axis=1)
-    votes = np.add.reduceat(bits[: len(ids)], start, axis=0, dtype=np.int32) + np.add.reduceat(bits[len(ids) :], start, axis=0, dtype=np.int32)
-    return np.packbits(votes > size[:, None], axis=1).view(np.int64).ravel()
+    votes = 2 * np.add.reduceat(bits, start, axis=0, dtype=np.int32)
+    tie = bits[start]  # of as many votes for a bit as against it, the first word's
+    return np.packbits((votes > size[:, None]) | ((votes == size[:, None]) & (tie == 1)), axis=1).view(np.int64).ravel()
 
 
 def sentences(own: list[tuple[int, str]]) -> list[tuple[int, int, str]]:
@@ -81,11 +83,15 @@ def _salutes(w: list[str], s: str) -> bool:
     return (w[0] in _GREETING and len(w) <= 6) or (len(w) <= 3 and s[-1] in ",:-–—")
 
 
+def _digest(w: list[str]) -> int:
+    return int.from_bytes(hashlib.blake2b(" ".join(w).encode(errors="replace"), digest_size=8).digest(), "big", signed=True)
+
+
 def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
-        rows, words, prints = [], [], []
+        rows, words = [], []
         for body in b["body_raw"]:
-            told, own, first, last, long, text = [], [], [], [], [], []
+            told, own, first, last, long, exact, text = [], [], [], [], [], [], []
             raw = LINE.split(body or "")
             for i, (s, kind) in enumerate(parts(body), 1):
                 if kind != OWN:
@@ -103,14 +109,13 @@ def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 long.append(None if w is None else len(w) >= LONG)
                 if long[-1]:
                     words.append(w)
-                prints.append(None if w is None else -1 if long[-1] else int.from_bytes(hashlib.blake2b(" ".join(w).encode(errors="replace"), digest_size=8).digest(), "big", signed=True))
-            rows.append((told, len(own), first, last, long, text, 0 if body is None else zlib.crc32(body.encode(errors="replace")) - 2**31))
+                exact.append(None if w is None else _digest(w))
+            rows.append((told, len(own), first, last, long, exact, text, 0 if body is None else zlib.crc32(body.encode(errors="replace")) - 2**31))
         hashed = iter(fingerprints(words).tolist())
-        flat = [next(hashed) if is_long else p for is_long, p in zip((x for r in rows for x in r[4]), prints, strict=True)]
-        at = np.cumsum([0] + [len(r[2]) for r in rows])
+        prints = [[next(hashed) if is_long else x for is_long, x in zip(r[4], r[5], strict=True)] for r in rows]
         yield pd.DataFrame({
             "source_id": b["source_id"], "imported_at": b["imported_at"], "told": [r[0] for r in rows], "n_own": [r[1] for r in rows], "own_first": [r[2] for r in rows], "own_last": [r[3] for r in rows],
-            "own_long": [r[4] for r in rows], "own_print": [flat[x:y] for x, y in zip(at, at[1:], strict=False)], "own_text": [r[5] for r in rows], "body_hash": [r[6] for r in rows],
+            "own_long": [r[4] for r in rows], "own_print": prints, "own_exact": [r[5] for r in rows], "own_size": [[len(t) for t in r[6]] for r in rows], "own_text": [r[6] for r in rows], "body_hash": [r[7] for r in rows],
         })
 
 
@@ -131,84 +136,169 @@ def _base(c: Column) -> Column:
     return F.xxhash64(F.lower(F.regexp_replace(F.coalesce(c, F.lit("")), r"(?i)^(?:\s*(?:re|fwd?|aw|wg|sv|tr|rv|enc|antw)\s*:)+\s*", "")))
 
 
-def inherited(lines: DataFrame, texts: DataFrame, cut: Cut, ties: DataFrame | None = None) -> DataFrame:
+def _keyed(rows: DataFrame) -> DataFrame:
+    """rows(place, node, print, size) once for each of the print's TABLES parts: (key, node, print, size)."""
+    bits = 64 // TABLES
+    parts = F.explode(F.array(*[F.xxhash64("place", F.lit(k), F.shiftrightunsigned("print", k * bits).bitwiseAND((1 << bits) - 1)) for k in range(TABLES)]))
+    return rows.select(parts.alias("key"), *[c for c in rows.columns if c != "place"])
+
+
+def _near(bits: int) -> Column:
+    """Whether the two prints of a pair are within so many bits and their texts' lengths within EDITS."""
+    close = F.bit_count(F.col("print").bitwiseXOR(F.col("print2"))) <= bits
+    return close & (F.abs(F.col("size") - F.col("size2")) <= F.greatest("size", "size2") * EDITS)
+
+
+def _split(asked: DataFrame, others: DataFrame, cut: Cut) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """asked and others with the salt that splits the keys of which others has more than HOT rows; those keys, if any.
+
+    Every row of asked meets each row of others with its key once, in tasks of at most HOT of the latter.
+    """
+    hot = cut.keep(others.groupBy("key").agg(F.count("*").alias("n")).where(f"n > {HOT}").select("key", F.ceil(F.col("n") / HOT).cast("int").alias("shares")))
+    if hot.isEmpty():
+        return asked.withColumn("salt", F.lit(0)), others.withColumn("salt", F.lit(0)), None
+    shares = F.coalesce("shares", F.lit(1))
+    asked = asked.join(hot, "key", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), shares - 1))).drop("shares")
+    others = others.join(hot, "key", "left").withColumn("salt", F.pmod(F.xxhash64("node2"), shares).cast("int")).drop("shares")
+    return asked, others, hot
+
+
+def near_matches(asked: DataFrame, others: DataFrame, bits: int, cut: Cut) -> DataFrame:
+    """(node, node2), distinct: of asked and others(place, node, print, size), prints of one place within ``bits``.
+
+    Hamming partition tables: prints are cut into TABLES parts, and those with a part in common are compared. That
+    finds every pair within TABLES - 1 bits, 99 % of those that differ in 9 and 91 % of those in 12, the most that a
+    changed word of LONG usually moves. Keys that many prints share are split (_split()); no print is left out.
+    """
+    b = _keyed(others.select("place", F.col("node").alias("node2"), "print", F.col("size").alias("size2"))).withColumnRenamed("print", "print2")
+    a, b, _ = _split(_keyed(asked), b, cut)
+    return a.join(b, ["key", "salt"]).where(_near(bits)).select("node", "node2").distinct()
+
+
+def _same(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The rows of pairs(source_id, line_no, source_id2, line_no2, ...) whose texts are within EDITS; only theirs move."""
+    ends = pairs.select("source_id", "line_no").unionAll(pairs.select("source_id2", "line_no2")).distinct()
+    texts = texts.join(ends, ["source_id", "line_no"], "left_semi").select("source_id", "line_no", "text")
+    both = pairs.join(texts, ["source_id", "line_no"]).join(texts.toDF("source_id2", "line_no2", "text2"), ["source_id2", "line_no2"])
+    both = both.withColumn("most", (F.greatest(F.length("text"), F.length("text2")) * EDITS).cast("int"))
+    return both.where(F.abs(F.length("text") - F.length("text2")) <= F.col("most")).where("levenshtein(text, text2, most) >= 0").select(*pairs.columns)
+
+
+def _filled(lines: DataFrame) -> DataFrame:
+    """lines with the columns long, size and exact, where they have none: long, of one size, and told by prints alone."""
+    for name, value in (("long", F.lit(True)), ("size", F.lit(0)), ("exact", F.lit(None).cast("long"))):
+        lines = lines if name in lines.columns else lines.withColumn(name, value)
+    return lines
+
+
+def inherited(lines: DataFrame, texts: DataFrame, cut: Cut, ties: DataFrame | None = None, only: DataFrame | None = None) -> DataFrame:
     """(source_id, line_no, why) of lines(source_id, subject, sender, people, at, line_no, print) not newly written.
 
     A line is a sentence, line_no its number in the mail. 'inherited': an earlier mail by another sender has the
-    sentence, within DISTANCE bits of its SimHash and EDITS of its text, which texts(source_id, line_no, text) has and
-    only candidates are joined to. That mail has the same channel in ties(source_id, channel), or the same base subject
+    sentence, in the same words (column exact, their digest, if there) or within DISTANCE bits of its SimHash
+    (near_matches()) and EDITS of its text, which texts(source_id, line_no, text) has and only candidates are joined to.
+    That mail has the same channel in ties(source_id, channel), or the same base subject
     and a sender whom this mail is addressed to (people), or any if it names no address. Where a column
-    long says that a sentence is not, its print must be the same. DISTANCE is too wide for bands to choose by, so prints
-    are compared within such a place, over distinct prints with the earliest line of each sender, so that
-    repeated sentences are met once.
+    long says that a sentence is not, its words must be the same. Repeated sentences are met once: prints are made
+    distinct within such a place, with the earliest line of each sender.
     'boilerplate': boilerplate() has it. Null senders inherit, but nothing is inherited
-    from them.
+    from them. only(source_id) names the mails that are asked about, null all.
     """
-    long = (F.col("long") if "long" in lines.columns else F.lit(True)).alias("long")
-    slim = lines.select("source_id", "line_no", "subject", "sender", "people", "at", "print", long).where("print is not null")
+    slim = _filled(lines).select("source_id", "line_no", "subject", "sender", "people", "at", "print", "long", "size", "exact").where("print is not null")
     slim = slim.withColumn("channel", F.lit(None).cast("long")) if ties is None else slim.join(ties.select("source_id", "channel"), "source_id", "left")
     by_channel = F.when(F.col("channel").isNotNull(), F.array(F.xxhash64(F.lit("channel"), "channel"))).otherwise(F.array().cast("array<bigint>"))
     by_subject = F.xxhash64(F.lit("subject"), "subject")
     named = F.transform(F.array_distinct("people"), lambda x: F.xxhash64(F.lit("author"), F.col("subject"), x))
     author = F.xxhash64(F.lit("author"), "subject", "sender")
     # Places are chosen by mails first: sentences only go to those where another sender's earlier mail may be met.
-    mails = slim.select("source_id", "subject", "sender", "people", "at", "channel").distinct()
-    asks = mails.select("source_id", "sender", "at", F.explode(F.concat(F.when(F.size("people") > 0, named).otherwise(F.array(by_subject)), by_channel)).alias("place"))
+    mails = cut.keep(slim.select("source_id", "subject", "sender", "people", "at", "channel").distinct())
+    asking = mails if only is None else mails.join(only.select("source_id"), "source_id", "left_semi")
+    asks = asking.select("source_id", "sender", "at", F.explode(F.concat(F.when(F.size("people") > 0, named).otherwise(F.array(by_subject)), by_channel)).alias("place"))
     has = mails.where("sender is not null").select("source_id", "sender", "at", F.explode(F.concat(F.array(author, by_subject), by_channel)).alias("place"))
     met = has.groupBy("place").agg(F.min("at").alias("oldest"), F.min("sender").alias("x"), F.max("sender").alias("y")).join(asks.groupBy("place").agg(F.max("at").alias("newest")), "place").where("oldest < newest")
     met = cut.keep(met)
     asks = cut.keep(asks.join(met, "place").where("oldest < at and (sender is null or x <> sender or y <> sender)").select("source_id", "place").distinct())
     has = cut.keep(has.join(met.join(asks.select("place").distinct(), "place", "left_semi"), "place").where("at < newest").select("source_id", "place").distinct())
-    wanted = slim.select("source_id", "line_no", "sender", "at", "print", "long").join(asks, "source_id")
-    known = slim.select("source_id", "line_no", F.col("sender").alias("author"), "at", "print", "long").join(has, "source_id")
-    once = cut.keep(known.groupBy("place", "print", "author", "long").agg(F.min(F.struct("at", "source_id", "line_no")).alias("first")))
-    asked, others = wanted.where("long").select("place", "print").distinct(), once.where("long").select("place", F.col("print").alias("print2")).distinct()
-    pairs = asked.join(others, "place").where((F.col("print") != F.col("print2")) & (F.bit_count(F.col("print").bitwiseXOR(F.col("print2"))) <= DISTANCE))
-    near = wanted.where("long").join(cut.keep(pairs), ["place", "print"]).drop("print").withColumnRenamed("print2", "print")
-    hit = wanted.unionByName(near).join(once, ["place", "print", "long"])
-    hit = hit.where("first.at < at and first.source_id <> source_id and (sender is null or sender <> author)")
+    wanted = cut.keep(slim.select("source_id", "line_no", "sender", "at", "print", "long", "size", "exact").join(asks, "source_id"))
+    known = cut.keep(slim.where("sender is not null").select("source_id", "line_no", F.col("sender").alias("author"), "at", "print", "long", "size", "exact").join(has, "source_id"))
+    cut.drop(mails, met, asks, has)
+    before = "first.at < at and first.source_id <> source_id and (sender is null or sender <> author)"
+    # The same words first: the earliest line of each author is one row a place and sentence.
+    told = F.when(F.col("long") & F.col("exact").isNull(), F.lit(None)).otherwise(F.coalesce("exact", "print"))
+    words = known.withColumn("told", told).where("told is not null").groupBy("place", "told", "author").agg(F.min(F.struct("at", "source_id")).alias("first"))
+    same = cut.keep(wanted.withColumn("told", told).join(words, ["place", "told"]).where(before).select("source_id", "line_no").distinct())
+    # Then near-matches of the long ones.
+    once = cut.keep(known.where("long").groupBy("place", "print", "author").agg(F.min(F.struct("at", "source_id", "line_no", "size")).alias("first")))
+    left = wanted.where("long").join(same, ["source_id", "line_no"], "left_anti")
+    asked = cut.keep(left.groupBy("place", "print").agg(F.min("size").alias("size")).withColumn("node", F.monotonically_increasing_id()))
+    others = cut.keep(once.groupBy("place", "print").agg(F.min("first.size").alias("size")).withColumn("node", F.monotonically_increasing_id()))
+    pairs = cut.keep(near_matches(asked, others, DISTANCE, cut))
+    pairs = pairs.join(asked.select("node", "place", "print"), "node").join(others.select(F.col("node").alias("node2"), F.col("print").alias("print2")), "node2")
+    hit = left.join(pairs, ["place", "print"]).join(once.withColumnRenamed("print", "print2"), ["place", "print2"]).where(before)
     hit = cut.keep(hit.select("source_id", "line_no", F.col("first.source_id").alias("source_id2"), F.col("first.line_no").alias("line_no2")).distinct())
-    texts = texts.select("source_id", "line_no", "text")
-    both = hit.join(texts, ["source_id", "line_no"]).join(texts.toDF("source_id2", "line_no2", "text2"), ["source_id2", "line_no2"])
-    most = (F.greatest(F.length("text"), F.length("text2")) * EDITS).cast("int")
-    found = both.where(F.abs(F.length("text") - F.length("text2")) <= most).withColumn("most", most).where("levenshtein(text, text2, most) >= 0").select("source_id", "line_no", F.lit("inherited").alias("why"))
-    return found.unionAll(boilerplate(lines, texts, cut).select("source_id", "line_no", F.lit("boilerplate"))).distinct()
+    cut.drop(wanted, known, once)
+    found = cut.keep(same.unionAll(_same(hit, texts).select("source_id", "line_no")).withColumn("why", F.lit("inherited")))
+    cut.drop(same, asked, others, hit)
+    return found.unionAll(boilerplate(lines, texts, cut, only).select("source_id", "line_no", F.lit("boilerplate"))).distinct()
 
 
-def boilerplate(lines: DataFrame, texts: DataFrame, cut: Cut) -> DataFrame:
+def boilerplate(lines: DataFrame, texts: DataFrame, cut: Cut, only: DataFrame | None = None) -> DataFrame:
     """(source_id, line_no) of the sentences of lines (as inherited() has them) that BOILERPLATE mails of their sender have.
 
-    A mail has a sentence if one of its own is within ALIKE bits of its print and EDITS of its text. Mails are counted
-    exactly; only texts of sentences that might reach BOILERPLATE are compared. Sentences that are not long and null
-    senders have none.
+    A mail has a sentence if one of its own has its print, or is a near-match within ALIKE bits and EDITS of its text.
+    Mails are counted exactly; only texts of sentences that might reach BOILERPLATE are compared. Where more than HOT
+    of a sender's prints share a part, each is held against FIRST of them and settled if those reach BOILERPLATE, as
+    in a family of one template; the others then meet all. Sentences that are not long and null senders have none.
+    only(source_id) names the mails that are asked about, null all.
     """
-    said = lines.where("sender is not null and print is not null").where("long" if "long" in lines.columns else "true").select("sender", "print", "source_id", "line_no")
-    each = cut.keep(said.groupBy("sender", "print", "source_id").agg(F.min("line_no").alias("line_no")))
-    counted = cut.keep(each.groupBy("sender", "print").agg(F.count("*").alias("n"), F.min(F.struct("source_id", "line_no")).alias("one")))
-    other = counted.toDF("sender", "print2", "n2", "two")
-    near = (F.col("print") != F.col("print2")) & (F.bit_count(F.col("print").bitwiseXOR(F.col("print2"))) <= ALIKE)
-    alike = cut.keep(counted.where(f"n < {BOILERPLATE}").join(other, "sender").where(near))
-    enough = alike.groupBy("sender", "print").agg((F.sum("n2") + F.first("n")).alias("most")).where(f"most >= {BOILERPLATE}")
-    alike = alike.join(enough.select("sender", "print"), ["sender", "print"], "left_semi")
-    alike = alike.select("sender", "print", "print2", F.col("one.source_id"), F.col("one.line_no"), F.col("two.source_id").alias("source_id2"), F.col("two.line_no").alias("line_no2"))
-    texts = texts.select("source_id", "line_no", "text")
-    both = alike.join(texts, ["source_id", "line_no"]).join(texts.toDF("source_id2", "line_no2", "text2"), ["source_id2", "line_no2"])
-    most = (F.greatest(F.length("text"), F.length("text2")) * EDITS).cast("int")
-    same = cut.keep(both.where(F.abs(F.length("text") - F.length("text2")) <= most).withColumn("most", most).where("levenshtein(text, text2, most) >= 0").select("sender", "print", "print2"))
-    same = same.unionAll(same.select("sender", "print", "print").distinct())
-    reached = same.join(each.select("sender", F.col("print").alias("print2"), "source_id"), ["sender", "print2"]).groupBy("sender", "print").agg(F.count_distinct("source_id").alias("n"))
-    common = counted.select("sender", "print", "n").unionByName(reached).where(f"n >= {BOILERPLATE}").select("sender", "print").distinct()
+    said = _filled(lines).where("sender is not null and print is not null and long").select("sender", "print", "size", "source_id", "line_no")
+    each = cut.keep(said.groupBy("sender", "print", "source_id").agg(F.min("line_no").alias("line_no"), F.min("size").alias("size")))
+    counted = each.groupBy("sender", "print").agg(F.count("*").alias("n"), F.min(F.struct("source_id", "line_no")).alias("one"), F.min("size").alias("size"))
+    counted = cut.keep(counted.withColumn("node", F.monotonically_increasing_id()))
+    rows = counted.select(F.xxhash64("sender").alias("place"), "node", "print", "size")
+    few = counted.where(f"n < {BOILERPLATE}").select("node")
+    if only is not None:
+        few = few.join(counted.join(each.join(only.select("source_id"), "source_id", "left_semi").select("sender", "print").distinct(), ["sender", "print"]).select("node"), "node", "left_semi")
+    small = counted.select("node", "n", "one")
+
+    def reached(pairs: DataFrame) -> DataFrame:
+        """The nodes that BOILERPLATE mails have, by the near-matches in pairs(node, node2)."""
+        other = small.select(F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("one").alias("two"))
+        alike = cut.keep(pairs.join(small, "node").join(other, "node2"))
+        enough = alike.groupBy("node").agg((F.sum("n2") + F.first("n")).alias("most")).where(f"most >= {BOILERPLATE}")
+        alike = alike.join(enough.select("node"), "node", "left_semi")
+        alike = alike.select("node", "node2", F.col("one.source_id"), F.col("one.line_no"), F.col("two.source_id").alias("source_id2"), F.col("two.line_no").alias("line_no2"))
+        same = cut.keep(_same(alike, texts).select("node", "node2"))
+        same = same.unionAll(same.select("node", "node").distinct())
+        mails = each.join(counted.select("sender", "print", F.col("node").alias("node2")), ["sender", "print"]).select("node2", "source_id")
+        mails = same.join(mails.join(same.select("node2").distinct(), "node2", "left_semi"), "node2")
+        return cut.keep(mails.groupBy("node").agg(F.count_distinct("source_id").alias("n")).where(f"n >= {BOILERPLATE}").select("node"))
+
+    others = cut.keep(_keyed(rows).select("key", F.col("node").alias("node2"), F.col("print").alias("print2"), F.col("size").alias("size2")))
+    asked, salted, hot = _split(_keyed(rows.join(few, "node", "left_semi")), others, cut)
+    settled = None
+    if hot is not None:
+        ranked = [F.min(F.struct(F.xxhash64("node2", F.lit(k)).alias("h"), "node2", "print2", "size2")) for k in range(FIRST)]
+        first = others.join(hot, "key", "left_semi").groupBy("key").agg(F.array(*ranked).alias("f")).select("key", F.explode("f").alias("f")).select("key", "f.node2", "f.print2", "f.size2")
+        settled = reached(_keyed(rows.join(few, "node", "left_semi")).join(first, "key").where("node <> node2").where(_near(ALIKE)).select("node", "node2").distinct())
+        asked = asked.join(settled, "node", "left_anti")
+    pairs = cut.keep(asked.join(salted, ["key", "salt"]).where("node <> node2").where(_near(ALIKE)).select("node", "node2").distinct())
+    cut.drop(others)
+    common = counted.where(f"n >= {BOILERPLATE}").select("node").unionAll(reached(pairs))
+    common = common if settled is None else common.unionAll(settled)
+    common = cut.keep(counted.join(common.distinct(), "node", "left_semi").select("sender", "print"))
     return said.join(common, ["sender", "print"]).select("source_id", "line_no")
 
 
-def authored(mails: DataFrame, clocks: DataFrame, cut: Cut, ties: DataFrame | None = None) -> DataFrame:
+def authored(mails: DataFrame, clocks: DataFrame, cut: Cut, ties: DataFrame | None = None, only: DataFrame | None = None) -> DataFrame:
     """(source_id, told, n_own) of each source_id of mails, cut: the lines that are not newly written, and how many are.
 
     mails(source_id, source_name, thread_id, message_id, in_reply_to, references_json, subject, sender, recipients_json,
     sent_timestamp, body_raw, imported_at); ties is tied() of them where it is known already. Lines are told by form
     first (quote marks, headers, introductions, signatures, notices); what is left is held against earlier mails and
     the sender's other mails (inherited()). Of rows with one source_id the first imported counts. Null and empty
-    bodies have no lines; null subjects count as one, null senders as different ones.
+    bodies have no lines; null subjects count as one, null senders as different ones. With only(source_id), sentences
+    of its mails alone are held against others, and those of the rest are told by form.
     """
     ties = tied(mails, cut) if ties is None else ties
     raw = cut.keep(parsed(mails.where("source_id is not null")))
@@ -218,12 +308,12 @@ def authored(mails: DataFrame, clocks: DataFrame, cut: Cut, ties: DataFrame | No
     about = about.groupBy("source_id").agg(F.min_by(F.struct("subject", F.nullif("sender", F.lit("")).alias("sender"), "people", F.coalesce("instant", "imported_at").alias("at")), "imported_at").alias("m"))
     one = raw.groupBy("source_id").agg(F.min_by(F.struct("told", "n_own"), F.struct("imported_at", "body_hash")).alias("p"))
     one = one.select("source_id", "p.told", "p.n_own")
-    own = raw.where("size(own_first) > 0").select("source_id", F.posexplode(F.arrays_zip("own_first", "own_last", "own_long", "own_print")).alias("line_no", "o"))
-    own = own.select("source_id", "line_no", F.col("o.own_first").alias("begin"), F.col("o.own_last").alias("end"), F.col("o.own_long").alias("long"), F.col("o.own_print").alias("print"))
-    lines = cut.keep(own.join(about, "source_id").select("source_id", "m.subject", "m.sender", "m.people", "m.at", "line_no", "begin", "end", "long", "print").distinct())
+    own = raw.where("size(own_first) > 0").select("source_id", F.posexplode(F.arrays_zip("own_first", "own_last", "own_long", "own_print", "own_exact", "own_size")).alias("line_no", "o"))
+    own = own.select("source_id", "line_no", F.col("o.own_first").alias("begin"), F.col("o.own_last").alias("end"), F.col("o.own_long").alias("long"), F.col("o.own_print").alias("print"), F.col("o.own_exact").alias("exact"), F.col("o.own_size").alias("size"))
+    lines = cut.keep(own.join(about, "source_id").select("source_id", "m.subject", "m.sender", "m.people", "m.at", "line_no", "begin", "end", "long", "print", "exact", "size").distinct())
     texts = raw.select("source_id", F.posexplode("own_text").alias("line_no", "text"))
     # A line is not newly written if none of its sentences is.
-    hits = cut.keep(inherited(lines, texts, cut, ties).select("source_id", "line_no").distinct().withColumn("hit", F.lit(True)))
+    hits = cut.keep(inherited(lines, texts, cut, ties, only).select("source_id", "line_no").distinct().withColumn("hit", F.lit(True)))
     marked = lines.join(hits.select("source_id").distinct(), "source_id", "left_semi").join(hits, ["source_id", "line_no"], "left")
     marked = marked.select("source_id", F.explode(F.sequence("begin", "end")).alias("line_no"), F.coalesce("hit", F.lit(False)).alias("hit"))
     more = marked.groupBy("source_id", "line_no").agg(F.min("hit").alias("hit")).where("hit").groupBy("source_id").agg(F.collect_set("line_no").alias("more"))
