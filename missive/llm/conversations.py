@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,32 +18,36 @@ from missive.session import Cut, table
 WITHIN = 0.95
 
 
-def conversations(mails: DataFrame, times: DataFrame, written: DataFrame, cut: Cut, placed: DataFrame | None = None) -> DataFrame:
+def conversations(mails: DataFrame, times: DataFrame, written: DataFrame | Callable[[DataFrame], DataFrame], cut: Cut, placed: DataFrame | None = None) -> DataFrame:
     """(source_id, conversation_id, turn_no, speaker_no) of every mail of each kept conversation.
 
     mails(source_id, thread_id, message_id, in_reply_to, references_json, sender, imported_at), times(row_id,
-    utc_micros) and written(source_id, n_own). Rows are put in sessions by channel (channels()): a channel is one
+    utc_micros) and written(source_id, n_own), or a function that gives it for the mails(source_id) it is asked about:
+    those of conversations that all else lets stand. Rows are put in sessions by channel (channels()): a channel is one
     session however long it rests, since its ties are stated. A session is kept if two or more senders write in it,
     every mail has a sender, an instant and newly written text, and every in_reply_to names a mail of the table with
     an earlier instant. Turns are numbered by instant (ties by source_id), speakers by first appearance. Of rows with
     one source_id the first imported counts; null and empty ids tie nothing; empty tables give an empty result. placed
     is channels() of these mails where it is known already.
     """
-    one = stated(mails)
-    one = one.join(times.select(F.col("row_id").alias("source_id"), F.col("utc_micros").alias("at")), "source_id", "left").join(written.select("source_id", "n_own"), "source_id", "left")
-    one = cut.keep(one)
+    one = cut.keep(stated(mails).join(times.select(F.col("row_id").alias("source_id"), F.col("utc_micros").alias("at")), "source_id", "left"))
     placed = channels(one.select("source_id", "thread", "message", "named"), cut) if placed is None else placed
-    rows = cut.keep(one.join(placed, "source_id"))
+    rows = cut.keep(one.join(placed, "source_id").select("source_id", "channel", "speaker", "at", "replies", "is_reply"))
     known = one.where("message is not null").groupBy("message").agg(F.min("at").alias("said"))
     replies = rows.select("source_id", "at", F.explode("replies").alias("message")).join(known, "message", "left")
     late = replies.where("said is null or at is null or said >= at").select("source_id").distinct().withColumn("late", F.lit(True))
-    sound = (F.col("speaker").isNotNull() & F.col("at").isNotNull() & (F.col("n_own") > 0) & F.col("late").isNull() & (~F.col("is_reply") | (F.size("replies") > 0))).alias("sound")
+    sound = (F.col("speaker").isNotNull() & F.col("at").isNotNull() & F.col("late").isNull() & (~F.col("is_reply") | (F.size("replies") > 0))).alias("sound")
     judged = cut.keep(rows.join(late, "source_id", "left").select("source_id", "channel", "speaker", "at", sound))
     cut.drop(one, rows)
-    kept = judged.groupBy("channel").agg(F.min(F.coalesce("sound", F.lit(False))).alias("ok"), F.min("speaker").alias("x"), F.max("speaker").alias("y"), F.min("source_id").alias("conversation_id")).where("ok and x <> y")
-    turns = numbered(judged.join(kept.select("channel", "conversation_id"), "channel").select("source_id", "conversation_id", "speaker", "at"), ["conversation_id"], ["at", "source_id"], "turn_no", cut)
-    turns = cut.keep(turns)
+    kept = judged.groupBy("channel").agg(F.min("sound").alias("ok"), F.min("speaker").alias("x"), F.max("speaker").alias("y"), F.min("source_id").alias("conversation_id")).where("ok and x <> y")
+    open_ = cut.keep(judged.join(kept.select("channel", "conversation_id"), "channel").select("source_id", "conversation_id", "speaker", "at"))
     cut.drop(judged)
+    written = written(open_.select("source_id")) if callable(written) else written
+    said = open_.join(written.select("source_id", "n_own"), "source_id", "left")
+    empty = said.where("coalesce(n_own, 0) = 0").select("conversation_id").distinct()
+    turns = open_.join(empty, "conversation_id", "left_anti")
+    turns = cut.keep(numbered(turns, ["conversation_id"], ["at", "source_id"], "turn_no", cut))
+    cut.drop(open_)
     speakers = numbered(turns.groupBy("conversation_id", "speaker").agg(F.min("turn_no").alias("begin")), ["conversation_id"], ["begin"], "speaker_no", cut)
     return turns.join(speakers, ["conversation_id", "speaker"]).select("source_id", "conversation_id", "turn_no", "speaker_no")
 
@@ -56,20 +62,33 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per mail of each kept conversation: source_id, conversation_id, turn_no, speaker_no."""
     cut, mails, clocks = Cut(spark), table(spark, sf_dir, "emails"), table(spark, sf_dir, "source_clocks")
     placed = tied(mails, cut)
-    return conversations(mails, _times(mails, clocks, cut), authored(mails, clocks, cut, placed), cut, placed)
+    return conversations(mails, _times(mails, clocks, cut), lambda asked: authored(mails, clocks, cut, placed, asked), cut, placed)
 
 
-def p5_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mails in sessions by participants: (source_id, participants, session_no), split at a calibrated inactivity gap.
+def sessionized(mails: DataFrame, times: DataFrame, cut: Cut) -> DataFrame:
+    """(source_id, participants, session_no, role) of mails by participants: split at a calibrated inactivity gap, with roles, without monologues.
 
-    The gap is the WITHIN quantile of the delays between mails and the mails they reply to. Mails without an instant
-    or a sender belong to no session.
+    participants is a digest of the addresses in sender and recipients. Mails are sorted by instant and split at the
+    WITHIN quantile of the delays between mails and the mails they reply to; where no mail replies to another nothing
+    is split. A session's first sender opens it, its other senders answer; a session is
+    kept if the opener is answered. Mails without
+    an instant or a sender belong to no session. Of rows with one source_id the first imported counts.
     """
-    cut, mails, clocks = Cut(spark), table(spark, sf_dir, "emails"), table(spark, sf_dir, "source_clocks")
     people = F.array_sort(F.array_distinct(F.concat(F.array(address(F.col("sender"))), F.regexp_extract_all(F.lower(F.coalesce("recipients_json", F.lit(""))), F.lit(r"([\w.+'-]+@[\w-]+(?:\.[\w-]+)+)")))))
-    rows = mails.where(address(F.col("sender")).isNotNull()).groupBy("source_id").agg(F.min_by(F.struct(bare(F.col("message_id")).alias("message"), bare(F.col("in_reply_to")).alias("parent"), F.sha2(F.concat_ws("|", people), 256).alias("participants")), "imported_at").alias("m")).select("source_id", "m.*")
-    rows = cut.keep(rows.join(_times(mails, clocks, cut).toDF("source_id", "at"), "source_id"))
+    fields = F.struct(bare(F.col("message_id")).alias("message"), bare(F.col("in_reply_to")).alias("parent"), address(F.col("sender")).alias("speaker"), F.sha2(F.concat_ws("|", people), 256).alias("participants"))
+    rows = mails.where(address(F.col("sender")).isNotNull()).select("source_id", "imported_at", fields.alias("m")).groupBy("source_id").agg(F.min_by("m", F.struct("imported_at", F.xxhash64("m"))).alias("m")).select("source_id", "m.*")
+    rows = cut.keep(rows.join(times.select(F.col("row_id").alias("source_id"), F.col("utc_micros").alias("at")), "source_id"))
     said = rows.groupBy("message").agg(F.min("at").alias("said"))
     delays = rows.join(said.withColumnRenamed("message", "parent"), "parent").where("at > said").select((F.col("at") - F.col("said")).alias("delay"))
-    gap = delays.agg(F.percentile_approx("delay", WITHIN)).collect()[0][0] or 0
-    return sessions(rows.select("source_id", "participants", "at"), ["participants"], "at", ["source_id"], gap, "session_no", cut).select("source_id", "participants", "session_no")
+    gap = delays.agg(F.percentile_approx("delay", WITHIN)).collect()[0][0]
+    gap = (1 << 62) if gap is None else gap
+    found = cut.keep(sessions(rows.select("source_id", "participants", "speaker", "at"), ["participants"], "at", ["source_id"], gap, "session_no", cut))
+    kept = found.groupBy("participants", "session_no").agg(F.min_by("speaker", F.struct("at", "source_id")).alias("opener"), F.min("speaker").alias("x"), F.max("speaker").alias("y")).where("x <> y")
+    role = F.when(F.col("speaker") == F.col("opener"), "opener").otherwise("respondent").alias("role")
+    return found.join(kept, ["participants", "session_no"]).select("source_id", "participants", "session_no", role)
+
+
+def p5_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mails in sessions by participants, with roles: source_id, participants, session_no, role (sessionized())."""
+    cut, mails, clocks = Cut(spark), table(spark, sf_dir, "emails"), table(spark, sf_dir, "source_clocks")
+    return sessionized(mails, _times(mails, clocks, cut), cut)

@@ -4,8 +4,10 @@ from datetime import datetime
 import numpy as np
 import pytest
 
-from missive.llm.authored import DISTANCE, authored, fingerprints, inherited, sentences
-from missive.llm.conversations import conversations
+from pyspark.sql import functions as F
+
+from missive.llm.authored import DISTANCE, authored, boilerplate, fingerprints, inherited, near_matches, sentences
+from missive.llm.conversations import conversations, sessionized
 from missive.llm.mailparts import parts
 from missive.llm.pii import Finder, found, p6_masked
 from missive.session import Cut
@@ -130,12 +132,12 @@ EMAILS = "source_id string, source_name string, thread_id string, message_id str
 CLOCKS = "source_name string, home_zone string, day_first boolean"
 
 
-def told_of(spark, rows):
+def told_of(spark, rows, only=None):
     """rows: (source_id, fields that differ from those of a plain mail of day n)."""
     plain = {"source_name": "s", "subject": "Plan", "sender": "a@x.example", "recipients_json": '["b@x.example"]'}
     names = [f.split()[0] for f in EMAILS.split(", ")]
     data = [tuple({**plain, "sent_timestamp": f"2020-01-{n:02d} 10:00", "imported_at": datetime(2020, 2, n), **r, "source_id": i}.get(k) for k in names) for n, (i, r) in enumerate(rows, 1)]
-    done = authored(spark.createDataFrame(data, EMAILS), spark.createDataFrame([("s", "UTC", True)], CLOCKS), Cut(spark))
+    done = authored(spark.createDataFrame(data, EMAILS), spark.createDataFrame([("s", "UTC", True)], CLOCKS), Cut(spark), only=only)
     return {r["source_id"]: (sorted(r["told"]), r["n_own"]) for r in done.collect()}
 
 
@@ -188,3 +190,52 @@ def test_masked_with_more_names_than_are_sent(spark, monkeypatch, tmp_path):
     assert "body_raw='[NAME] and [NAME]'" in first[0]
     monkeypatch.setattr("missive.llm.pii.MAX_NAMES", 0)
     assert sorted(map(str, p6_masked(spark, str(tmp_path)).collect())) == first
+
+
+def test_hot_parts_are_split_and_lose_nothing(spark, monkeypatch):
+    rnd = random.Random(3)
+    words = [["".join(rnd.choice("abcdefghijk") for _ in range(6)) for _ in range(14)] for _ in range(4)]
+    rows = []
+    for k in range(40):  # families of sentences that differ in a word, and some that stand alone
+        w = list(words[k % 4]) if k < 32 else ["".join(rnd.choice("lmnopqr") for _ in range(6)) for _ in range(14)]
+        w[k % 4] = f"number{k:02d}"
+        rows.append((f"m{k:02d}", 1, 7, "a@x", [], k, int(fingerprints([w])[0]), " ".join(w), True))
+    df = spark.createDataFrame(rows, LINES)
+    plain = sorted(map(tuple, boilerplate(df, df, Cut(spark)).collect()))
+    asked = df.select(F.lit(1).cast("long").alias("place"), F.col("at").alias("node"), "print", F.length("text").alias("size"))
+    pairs = sorted(map(tuple, near_matches(asked, asked, DISTANCE, Cut(spark)).collect()))
+    monkeypatch.setattr("missive.llm.authored.HOT", 3)
+    assert sorted(map(tuple, boilerplate(df, df, Cut(spark)).collect())) == plain and len(plain) >= 28 and all(i < "m32" for i, _ in plain)
+    assert sorted(map(tuple, near_matches(asked, asked, DISTANCE, Cut(spark)).collect())) == pairs
+
+
+def test_tables_find_what_differs_in_a_word():
+    rnd = random.Random(6)
+    word = lambda: "".join(rnd.choice("abcdefghijklmnop") for _ in range(rnd.randint(3, 8)))
+    met = []
+    for n in (12, 15, 20, 30) * 100:
+        a = [word() for _ in range(n)]
+        b = list(a)
+        b[rnd.randrange(n)] = word()
+        x, y = fingerprints([a, b]).view(np.uint64)
+        met.append(any(int(x ^ y) >> k & 0xFF == 0 for k in range(0, 64, 8)))
+    assert np.mean(met) > 0.95
+
+
+def test_mails_that_are_not_asked_about_are_told_by_form(spark):
+    rows = [("m1", {"body_raw": PASSED}), ("m2", {**B, "body_raw": PASSED}), ("m3", {**B, "body_raw": PASSED})]
+    assert told_of(spark, rows) == {"m1": ([], 1), "m2": ([1], 0), "m3": ([1], 0)}
+    only = spark.createDataFrame([("m3",)], "source_id string")
+    assert told_of(spark, rows, only=only) == {"m1": ([], 1), "m2": ([], 1), "m3": ([1], 0)}
+
+
+def test_sessions_have_roles_and_replies(spark):
+    kind = MAILS.replace("imported_at", "recipients_json string, imported_at")
+    to = lambda *x: str(list(x)).replace("'", '"')
+    rows = [("a1", None, "<1@x>", None, None, "Ann <a@x.example>", to("b@x.example"), 1), ("a2", None, "<2@x>", "<1@x>", None, "b@x.example", to("A@x.example"), 1), ("a3", None, "<3@x>", "<2@x>", None, "a@x.example", to("b@x.example"), 1), ("a4", None, "<4@x>", None, None, "a@x.example", to("b@x.example"), 1), ("b1", None, "<5@x>", None, None, None, None, 1)]
+    times = spark.createDataFrame([("a1", 0), ("a2", 100), ("a3", 200), ("a4", 5000), ("b1", 0)], "row_id string, utc_micros long")
+    mails = spark.createDataFrame(rows, kind)
+    got = sorted((r["source_id"], r["session_no"], r["role"]) for r in sessionized(mails, times, Cut(spark)).collect())
+    assert got == [("a1", 1, "opener"), ("a2", 1, "respondent"), ("a3", 1, "opener")]
+    alone = sessionized(mails.withColumn("in_reply_to", F.lit(None).cast("string")), times, Cut(spark))
+    assert {r["session_no"] for r in alone.collect()} == {1} and sessionized(mails.limit(0), times, Cut(spark)).count() == 0
