@@ -19,18 +19,18 @@ from missive.session import Cut, table
 
 #: Words that a sentence needs to be told by its fingerprint: shorter ones are told by their exact words.
 LONG = 12
-#: Bits in which two fingerprints may differ: within EDITS, sentences of LONG words differ in up to about so many.
-DISTANCE = 24
+#: Bits in which two fingerprints may differ: a changed word of LONG, about what EDITS allow, moves 8 and seldom 20.
+DISTANCE = 20
 #: Edits, as a share of the longer text, within which a near-match is the same sentence.
 EDITS = 0.1
-#: Bits in which the prints of one sender's sentences may differ: what a changed word of LONG moves.
-ALIKE = 20
 #: Mails of one sender that must have a sentence, wherever it stands, for it to be the sender's boilerplate.
 BOILERPLATE = 5
 #: Tables that a print is partitioned into: near-matches have one part of 64 / TABLES bits in common.
 TABLES = 8
-#: Prints of one part beyond which it is split over tasks, and representatives that its prints are held against first.
-HOT, FIRST = 1000, 8
+#: Prints of one place that are compared in one task; more are split.
+HOT = 50_000
+#: Near-matches of a print that are verified at first; those that these don't settle are verified against all.
+FIRST = 32
 
 _WORD = re.compile(r"[^\W_]+")
 _STOP = re.compile(r"(?<!\bDr)(?<!\bMr)(?<!\bMs)(?<!\bSr)(?<!\bSt)(?<!\bMrs)(?<!\bNo)(?<!\bNr)(?<!\b[A-ZÀ-Þ])[.!?]+[\"')\]’”»]*\s+")
@@ -136,43 +136,99 @@ def _base(c: Column) -> Column:
     return F.xxhash64(F.lower(F.regexp_replace(F.coalesce(c, F.lit("")), r"(?i)^(?:\s*(?:re|fwd?|aw|wg|sv|tr|rv|enc|antw)\s*:)+\s*", "")))
 
 
-def _keyed(rows: DataFrame) -> DataFrame:
-    """rows(place, node, print, size) once for each of the print's TABLES parts: (key, node, print, size)."""
-    bits = 64 // TABLES
-    parts = F.explode(F.array(*[F.xxhash64("place", F.lit(k), F.shiftrightunsigned("print", k * bits).bitwiseAND((1 << bits) - 1)) for k in range(TABLES)]))
-    return rows.select(parts.alias("key"), *[c for c in rows.columns if c != "place"])
+_BITS = 64 // TABLES
+_PAIRS = "node long, node2 long, more boolean"
 
 
-def _near(bits: int) -> Column:
-    """Whether the two prints of a pair are within so many bits and their texts' lengths within EDITS."""
-    close = F.bit_count(F.col("print").bitwiseXOR(F.col("print2"))) <= bits
-    return close & (F.abs(F.col("size") - F.col("size2")) <= F.greatest("size", "size2") * EDITS)
+def _grouped(rows: DataFrame, cut: Cut) -> DataFrame:
+    """rows(place, other, node, print, size) with the group they are compared in, and its table (-1: in all of them).
 
+    A group is a place. Of a place with more than HOT rows it is a part of the prints in one table, and of a part with
+    more than HOT rows a pair of shares, so that none is larger and every two rows that may match meet.
+    """
 
-def _split(asked: DataFrame, others: DataFrame, cut: Cut) -> tuple[DataFrame, DataFrame, DataFrame | None]:
-    """asked and others with the salt that splits the keys of which others has more than HOT rows; those keys, if any.
+    def crowded(rows: DataFrame) -> DataFrame:
+        return cut.keep(rows.groupBy("group").agg(F.count("*").alias("n")).where(f"n > {HOT}").select("group", F.ceil(F.col("n") / HOT).cast("int").alias("shares")))
 
-    Every row of asked meets each row of others with its key once, in tasks of at most HOT of the latter.
-    """
-    hot = cut.keep(others.groupBy("key").agg(F.count("*").alias("n")).where(f"n > {HOT}").select("key", F.ceil(F.col("n") / HOT).cast("int").alias("shares")))
+    rows = rows.withColumnRenamed("place", "group").withColumn("table", F.lit(-1))
+    hot = crowded(rows)
     if hot.isEmpty():
-        return asked.withColumn("salt", F.lit(0)), others.withColumn("salt", F.lit(0)), None
+        return rows
+    rest = rows.join(hot, "group", "left_anti")
+    parts = F.array(*[F.struct(F.xxhash64("group", F.lit(k), F.shiftrightunsigned("print", k * _BITS).bitwiseAND((1 << _BITS) - 1)).alias("group"), F.lit(k).alias("table")) for k in range(TABLES)])
+    split = rows.join(hot.select("group"), "group", "left_semi").select("other", "node", "print", "size", F.explode(parts).alias("p")).select("p.group", "other", "node", "print", "size", "p.table")
     shares = F.coalesce("shares", F.lit(1))
-    asked = asked.join(hot, "key", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), shares - 1))).drop("shares")
-    others = others.join(hot, "key", "left").withColumn("salt", F.pmod(F.xxhash64("node2"), shares).cast("int")).drop("shares")
-    return asked, others, hot
-
-
-def near_matches(asked: DataFrame, others: DataFrame, bits: int, cut: Cut) -> DataFrame:
-    """(node, node2), distinct: of asked and others(place, node, print, size), prints of one place within ``bits``.
+    split = split.join(crowded(split), "group", "left").withColumn("_own", F.pmod(F.xxhash64("node"), shares)).withColumn("_any", F.explode(F.sequence(F.lit(0), shares - 1)))
+    pair = F.when(F.col("shares").isNull(), F.col("group")).when(F.col("other"), F.xxhash64("group", "_any", "_own")).otherwise(F.xxhash64("group", F.col("_own").cast("int"), F.col("_any").cast("long")))
+    return rest.unionByName(split.select(pair.alias("group"), "other", "node", "print", "size", "table"))
+
+
+def _pairs(rows: pd.DataFrame, bits: int, most: int | None) -> Iterator[pd.DataFrame]:
+    """The near-matches (node, node2, more) of whole groups of _grouped() rows: at most ``most`` of a row, if given."""
+    group, other = np.unique(rows["group"].to_numpy(), return_inverse=True)[1], rows["other"].to_numpy(dtype=bool)
+    prints, node, size, table = rows["print"].to_numpy().view(np.uint64), rows["node"].to_numpy(), rows["size"].to_numpy(), rows["table"].to_numpy()
+    got: list[tuple[np.ndarray, np.ndarray]] = []
+    part = lambda x, k: (x >> np.uint64(k * _BITS)) & np.uint64((1 << _BITS) - 1)
+    for k in range(TABLES):
+        key = (group.astype(np.uint64) << np.uint64(_BITS)) | part(prints, k)
+        use = (table == k) | (table < 0)
+        left, right = np.nonzero(use & ~other)[0], np.nonzero(use & other)[0]
+        right = right[np.argsort(key[right], kind="stable")]
+        low, high = np.searchsorted(key[right], key[left], "left"), np.searchsorted(key[right], key[left], "right")
+        total = np.cumsum(high - low)
+        at = 0
+        while at < len(left):  # about four million candidates at a time
+            to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + 4_000_000, "right")))
+            n = (high - low)[at:to]
+            i = np.repeat(left[at:to], n)
+            j = right[np.repeat(low[at:to] - np.concatenate([[0], n.cumsum()[:-1]]), n) + np.arange(n.sum())]
+            x = prints[i] ^ prints[j]
+            near = (np.bitwise_count(x) <= bits) & (np.abs(size[i] - size[j]) <= np.maximum(size[i], size[j]) * EDITS) & (node[i] != node[j])
+            i, j, x = i[near], j[near], x[near]
+            for before in range(k):  # found in an earlier table
+                new = part(x, before) != 0
+                i, j, x = i[new], j[new], x[new]
+            got.append((i, j))
+            at = to
+    i, j = (np.concatenate([g[c] for g in got]) for c in (0, 1))
+    if most is not None:
+        order = np.argsort(i, kind="stable")
+        i, j = i[order], j[order]
+        rank = np.arange(len(i)) - np.searchsorted(i, i, "left")
+        many = np.searchsorted(i, i, "right") - np.searchsorted(i, i, "left") > most
+        i, j, many = i[rank < most], j[rank < most], many[rank < most]
+    else:
+        many = np.zeros(len(i), dtype=bool)
+    for at in range(0, len(i), 100_000):
+        x, y = i[at : at + 100_000], j[at : at + 100_000]
+        yield pd.DataFrame({"node": node[x], "node2": node[y], "more": many[at : at + 100_000]})
+
+
+def near_matches(asked: DataFrame, others: DataFrame, bits: int, cut: Cut, most: int | None = None) -> DataFrame:
+    """(node, node2, more), distinct but for more: of asked and others(place, node, print, size), prints of one place within ``bits``.
 
     Hamming partition tables: prints are cut into TABLES parts, and those with a part in common are compared. That
     finds every pair within TABLES - 1 bits, 99 % of those that differ in 9 and 91 % of those in 12, the most that a
-    changed word of LONG usually moves. Keys that many prints share are split (_split()); no print is left out.
+    changed word of LONG usually moves. Rows move once, to the task of their place, where the tables stand; places of
+    more than HOT rows are split (_grouped()), and no print is left out. With ``most``, about so many matches of an
+    asked row are given, and more says whether it has others. A row doesn't match itself (equal nodes).
     """
-    b = _keyed(others.select("place", F.col("node").alias("node2"), "print", F.col("size").alias("size2"))).withColumnRenamed("print", "print2")
-    a, b, _ = _split(_keyed(asked), b, cut)
-    return a.join(b, ["key", "salt"]).where(_near(bits)).select("node", "node2").distinct()
+    rows = asked.select("place", F.lit(False).alias("other"), "node", "print", "size").unionAll(others.select("place", F.lit(True), "node", "print", "size"))
+
+    def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        for b in batches:
+            if held and sum(map(len, held)) > HOT and len(b) and b["group"].iloc[-1] != held[0]["group"].iloc[0]:
+                rows = pd.concat([*held, b])
+                done = (rows["group"] != rows["group"].iloc[-1]).to_numpy()
+                yield from _pairs(rows[done], bits, most)
+                held = [rows[~done]]
+            elif len(b):
+                held.append(b)
+        if held:
+            yield from _pairs(pd.concat(held), bits, most)
+
+    return _grouped(rows, cut).repartition("group").sortWithinPartitions("group").mapInPandas(part, _PAIRS)
 
 
 def _same(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -229,27 +285,36 @@ def inherited(lines: DataFrame, texts: DataFrame, cut: Cut, ties: DataFrame | No
     same = cut.keep(wanted.withColumn("told", told).join(words, ["place", "told"]).where(before).select("source_id", "line_no").distinct())
     # Then near-matches of the long ones.
     once = cut.keep(known.where("long").groupBy("place", "print", "author").agg(F.min(F.struct("at", "source_id", "line_no", "size")).alias("first")))
-    left = wanted.where("long").join(same, ["source_id", "line_no"], "left_anti")
+    left = cut.keep(wanted.where("long").join(same, ["source_id", "line_no"], "left_anti"))
     asked = cut.keep(left.groupBy("place", "print").agg(F.min("size").alias("size")).withColumn("node", F.monotonically_increasing_id()))
-    others = cut.keep(once.groupBy("place", "print").agg(F.min("first.size").alias("size")).withColumn("node", F.monotonically_increasing_id()))
-    pairs = cut.keep(near_matches(asked, others, DISTANCE, cut))
-    pairs = pairs.join(asked.select("node", "place", "print"), "node").join(others.select(F.col("node").alias("node2"), F.col("print").alias("print2")), "node2")
-    hit = left.join(pairs, ["place", "print"]).join(once.withColumnRenamed("print", "print2"), ["place", "print2"]).where(before)
-    hit = cut.keep(hit.select("source_id", "line_no", F.col("first.source_id").alias("source_id2"), F.col("first.line_no").alias("line_no2")).distinct())
-    cut.drop(wanted, known, once)
-    found = cut.keep(same.unionAll(_same(hit, texts).select("source_id", "line_no")).withColumn("why", F.lit("inherited")))
-    cut.drop(same, asked, others, hit)
-    return found.unionAll(boilerplate(lines, texts, cut, only).select("source_id", "line_no", F.lit("boilerplate"))).distinct()
+    others = cut.keep(once.groupBy("place", "print").agg(F.min("first.size").alias("size")).withColumn("node", -1 - F.monotonically_increasing_id()))
+    cut.drop(wanted, known)
+
+    def found(left: DataFrame, pairs: DataFrame) -> DataFrame:
+        pairs = pairs.join(asked.select("node", "place", "print"), "node").join(others.select(F.col("node").alias("node2"), F.col("print").alias("print2")), "node2")
+        hit = left.join(pairs.select("place", "print", "print2"), ["place", "print"]).join(once.withColumnRenamed("print", "print2"), ["place", "print2"]).where(before)
+        hit = cut.keep(hit.select("source_id", "line_no", F.col("first.source_id").alias("source_id2"), F.col("first.line_no").alias("line_no2")).distinct())
+        return cut.keep(_same(hit, texts).select("source_id", "line_no").distinct())
+
+    first = cut.keep(near_matches(asked, others, DISTANCE, cut, FIRST))
+    near = found(left, first)
+    more = first.where("more").select("node").distinct()
+    if not more.isEmpty():
+        left = left.join(near, ["source_id", "line_no"], "left_anti")
+        again = asked.join(more, "node", "left_semi").join(left.select("place", "print").distinct(), ["place", "print"], "left_semi")
+        near = near.unionAll(found(left, cut.keep(near_matches(again, others, DISTANCE, cut))))
+    hits = cut.keep(same.unionAll(near).withColumn("why", F.lit("inherited")))
+    cut.drop(same, asked, others, left, once)
+    return hits.unionAll(boilerplate(lines, texts, cut, only).select("source_id", "line_no", F.lit("boilerplate"))).distinct()
 
 
 def boilerplate(lines: DataFrame, texts: DataFrame, cut: Cut, only: DataFrame | None = None) -> DataFrame:
     """(source_id, line_no) of the sentences of lines (as inherited() has them) that BOILERPLATE mails of their sender have.
 
-    A mail has a sentence if one of its own has its print, or is a near-match within ALIKE bits and EDITS of its text.
-    Mails are counted exactly; only texts of sentences that might reach BOILERPLATE are compared. Where more than HOT
-    of a sender's prints share a part, each is held against FIRST of them and settled if those reach BOILERPLATE, as
-    in a family of one template; the others then meet all. Sentences that are not long and null senders have none.
-    only(source_id) names the mails that are asked about, null all.
+    A mail has a sentence if one of its own has its print, or is a near-match within DISTANCE bits and EDITS of its text.
+    Mails are counted exactly; only texts of sentences that might reach BOILERPLATE are compared. A sentence that its
+    FIRST near-matches settle, as in a family of one template, needs no others. Sentences that are not long and null
+    senders have none. only(source_id) names the mails that are asked about, null all.
     """
     said = _filled(lines).where("sender is not null and print is not null and long").select("sender", "print", "size", "source_id", "line_no")
     each = cut.keep(said.groupBy("sender", "print", "source_id").agg(F.min("line_no").alias("line_no"), F.min("size").alias("size")))
@@ -274,18 +339,11 @@ def boilerplate(lines: DataFrame, texts: DataFrame, cut: Cut, only: DataFrame |
         mails = same.join(mails.join(same.select("node2").distinct(), "node2", "left_semi"), "node2")
         return cut.keep(mails.groupBy("node").agg(F.count_distinct("source_id").alias("n")).where(f"n >= {BOILERPLATE}").select("node"))
 
-    others = cut.keep(_keyed(rows).select("key", F.col("node").alias("node2"), F.col("print").alias("print2"), F.col("size").alias("size2")))
-    asked, salted, hot = _split(_keyed(rows.join(few, "node", "left_semi")), others, cut)
-    settled = None
-    if hot is not None:
-        ranked = [F.min(F.struct(F.xxhash64("node2", F.lit(k)).alias("h"), "node2", "print2", "size2")) for k in range(FIRST)]
-        first = others.join(hot, "key", "left_semi").groupBy("key").agg(F.array(*ranked).alias("f")).select("key", F.explode("f").alias("f")).select("key", "f.node2", "f.print2", "f.size2")
-        settled = reached(_keyed(rows.join(few, "node", "left_semi")).join(first, "key").where("node <> node2").where(_near(ALIKE)).select("node", "node2").distinct())
-        asked = asked.join(settled, "node", "left_anti")
-    pairs = cut.keep(asked.join(salted, ["key", "salt"]).where("node <> node2").where(_near(ALIKE)).select("node", "node2").distinct())
-    cut.drop(others)
-    common = counted.where(f"n >= {BOILERPLATE}").select("node").unionAll(reached(pairs))
-    common = common if settled is None else common.unionAll(settled)
+    first = cut.keep(near_matches(rows.join(few, "node", "left_semi"), rows, DISTANCE, cut, FIRST))
+    common = counted.where(f"n >= {BOILERPLATE}").select("node").unionAll(reached(first))
+    more = first.where("more").select("node").distinct().join(common, "node", "left_anti")
+    if not more.isEmpty():
+        common = common.unionAll(reached(cut.keep(near_matches(rows.join(more, "node", "left_semi"), rows, DISTANCE, cut))))
     common = cut.keep(counted.join(common.distinct(), "node", "left_semi").select("sender", "print"))
     return said.join(common, ["sender", "print"]).select("source_id", "line_no")
 
