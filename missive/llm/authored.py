@@ -190,6 +190,8 @@ def _pairs(rows: pd.DataFrame, bits: int, most: int | None) -> Iterator[pd.DataF
                 i, j, x = i[new], j[new], x[new]
             got.append((i, j))
             at = to
+    if not got:
+        return
     i, j = (np.concatenate([g[c] for g in got]) for c in (0, 1))
     if most is not None:
         order = np.argsort(i, kind="stable")
