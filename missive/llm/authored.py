@@ -35,7 +35,7 @@ FIRST = 32
 _WORD = re.compile(r"[^\W_]+")
 _STOP = re.compile(r"(?<!\bDr)(?<!\bMr)(?<!\bMs)(?<!\bSr)(?<!\bSt)(?<!\bMrs)(?<!\bNo)(?<!\bNr)(?<!\b[A-ZÀ-Þ])[.!?]+[\"')\]’”»]*\s+")
 _ITEM = re.compile(r"(?:[-*•·+–]|\(?\w{1,2}[.)])\s")
-PARSED = "source_id string, imported_at long, told array<int>, n_own int, own_first array<int>, own_last array<int>, own_long array<boolean>, own_print array<long>, own_exact array<long>, own_size array<int>, own_text array<string>, body_hash int"
+PARSED = "source_id string, imported_at long, told array<int>, n_own int, own_first array<int>, own_last array<int>, own_long array<boolean>, own_print array<long>, own_exact array<long>, own_size array<int>, own_low array<long>, own_high array<long>, own_text array<string>, body_hash int"
 
 
 def fingerprints(lines: list[list[str]]) -> np.ndarray:
@@ -54,6 +54,16 @@ def fingerprints(lines: list[list[str]]) -> np.ndarray:
     return np.packbits((votes > size[:, None]) | ((votes == size[:, None]) & (tie == 1)), axis=1).view(np.int64).ravel()
 
 
+def bags(texts: list[str]) -> np.ndarray:
+    """How many characters of each text fall in each of 16 classes, as two longs of eight bytes (up to 255)."""
+    if not texts:
+        return np.zeros((0, 2), dtype=np.int64)
+    codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32) & 15
+    at = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+    counts = np.bincount(at * 16 + codes, minlength=16 * len(texts))
+    return np.minimum(counts, 255).astype(np.uint8).reshape(-1, 16).view(np.int64)
+
+
 def sentences(own: list[tuple[int, str]]) -> list[tuple[int, int, str]]:
     """(first line, last line, text) of the sentences in own lines (number, text), joined across line ends.
 
@@ -112,10 +122,13 @@ def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 exact.append(None if w is None else _digest(w))
             rows.append((told, len(own), first, last, long, exact, text, 0 if body is None else zlib.crc32(body.encode(errors="replace")) - 2**31))
         hashed = iter(fingerprints(words).tolist())
+        low, high = bags([t for r in rows for t in r[6]]).T
+        at = np.cumsum([0] + [len(r[6]) for r in rows])
         prints = [[next(hashed) if is_long else x for is_long, x in zip(r[4], r[5], strict=True)] for r in rows]
         yield pd.DataFrame({
             "source_id": b["source_id"], "imported_at": b["imported_at"], "told": [r[0] for r in rows], "n_own": [r[1] for r in rows], "own_first": [r[2] for r in rows], "own_last": [r[3] for r in rows],
-            "own_long": [r[4] for r in rows], "own_print": prints, "own_exact": [r[5] for r in rows], "own_size": [[len(t) for t in r[6]] for r in rows], "own_text": [r[6] for r in rows], "body_hash": [r[7] for r in rows],
+            "own_long": [r[4] for r in rows], "own_print": prints, "own_exact": [r[5] for r in rows], "own_size": [[len(t) for t in r[6]] for r in rows],
+            "own_low": [low[x:y] for x, y in zip(at, at[1:], strict=False)], "own_high": [high[x:y] for x, y in zip(at, at[1:], strict=False)], "own_text": [r[6] for r in rows], "body_hash": [r[7] for r in rows],
         })
 
 
@@ -138,10 +151,12 @@ def _base(c: Column) -> Column:
 
 _BITS = 64 // TABLES
 _PAIRS = "node long, node2 long, more boolean"
+#: What a sentence is compared by: its print, its length and its bags().
+SKETCH = ("node", "print", "size", "low", "high")
 
 
 def _grouped(rows: DataFrame, cut: Cut) -> DataFrame:
-    """rows(place, other, node, print, size) with the group they are compared in, and its table (-1: in all of them).
+    """rows(place, other, *SKETCH) with the group they are compared in, and its table (-1: in all of them).
 
     A group is a place. Of a place with more than HOT rows it is a part of the prints in one table, and of a part with
     more than HOT rows a pair of shares, so that none is larger and every two rows that may match meet.
@@ -156,17 +171,18 @@ def _grouped(rows: DataFrame, cut: Cut) -> DataFrame:
         return rows
     rest = rows.join(hot, "group", "left_anti")
     parts = F.array(*[F.struct(F.xxhash64("group", F.lit(k), F.shiftrightunsigned("print", k * _BITS).bitwiseAND((1 << _BITS) - 1)).alias("group"), F.lit(k).alias("table")) for k in range(TABLES)])
-    split = rows.join(hot.select("group"), "group", "left_semi").select("other", "node", "print", "size", F.explode(parts).alias("p")).select("p.group", "other", "node", "print", "size", "p.table")
+    split = rows.join(hot.select("group"), "group", "left_semi").select("other", *SKETCH, F.explode(parts).alias("p")).select("p.group", "other", *SKETCH, "p.table")
     shares = F.coalesce("shares", F.lit(1))
     split = split.join(crowded(split), "group", "left").withColumn("_own", F.pmod(F.xxhash64("node"), shares)).withColumn("_any", F.explode(F.sequence(F.lit(0), shares - 1)))
     pair = F.when(F.col("shares").isNull(), F.col("group")).when(F.col("other"), F.xxhash64("group", "_any", "_own")).otherwise(F.xxhash64("group", F.col("_own").cast("int"), F.col("_any").cast("long")))
-    return rest.unionByName(split.select(pair.alias("group"), "other", "node", "print", "size", "table"))
+    return rest.unionByName(split.select(pair.alias("group"), "other", *SKETCH, "table"))
 
 
 def _pairs(rows: pd.DataFrame, bits: int, most: int | None) -> Iterator[pd.DataFrame]:
     """The near-matches (node, node2, more) of whole groups of _grouped() rows: at most ``most`` of a row, if given."""
     group, other = np.unique(rows["group"].to_numpy(), return_inverse=True)[1], rows["other"].to_numpy(dtype=bool)
     prints, node, size, table = rows["print"].to_numpy().view(np.uint64), rows["node"].to_numpy(), rows["size"].to_numpy(), rows["table"].to_numpy()
+    bag = np.stack([rows["low"].to_numpy(), rows["high"].to_numpy()], 1).view(np.uint8).astype(np.int16)
     got: list[tuple[np.ndarray, np.ndarray]] = []
     part = lambda x, k: (x >> np.uint64(k * _BITS)) & np.uint64((1 << _BITS) - 1)
     for k in range(TABLES):
@@ -188,7 +204,11 @@ def _pairs(rows: pd.DataFrame, bits: int, most: int | None) -> Iterator[pd.DataF
             for before in range(k):  # found in an earlier table
                 new = part(x, before) != 0
                 i, j, x = i[new], j[new], x[new]
-            got.append((i, j))
+            # Edits are no fewer than the characters of a class that one text has and the other has not.
+            more = bag[i] - bag[j]
+            lost = np.maximum(np.maximum(more, 0).sum(1), np.maximum(-more, 0).sum(1))
+            close = lost <= np.maximum(size[i], size[j]) * EDITS
+            got.append((i[close], j[close]))
             at = to
     if not got:
         return
@@ -207,15 +227,16 @@ def _pairs(rows: pd.DataFrame, bits: int, most: int | None) -> Iterator[pd.DataF
 
 
 def near_matches(asked: DataFrame, others: DataFrame, bits: int, cut: Cut, most: int | None = None) -> DataFrame:
-    """(node, node2, more), distinct but for more: of asked and others(place, node, print, size), prints of one place within ``bits``.
+    """(node, node2, more), distinct but for more: of asked and others(place, *SKETCH), prints of one place within ``bits``.
 
     Hamming partition tables: prints are cut into TABLES parts, and those with a part in common are compared. That
     finds every pair within TABLES - 1 bits, 99 % of those that differ in 9 and 91 % of those in 12, the most that a
     changed word of LONG usually moves. Rows move once, to the task of their place, where the tables stand; places of
     more than HOT rows are split (_grouped()), and no print is left out. With ``most``, about so many matches of an
-    asked row are given, and more says whether it has others. A row doesn't match itself (equal nodes).
+    asked row are given, and more says whether it has others. Pairs that can't be within EDITS by their lengths and bags
+    are left out. A row doesn't match itself (equal nodes).
     """
-    rows = asked.select("place", F.lit(False).alias("other"), "node", "print", "size").unionAll(others.select("place", F.lit(True), "node", "print", "size"))
+    rows = asked.select("place", F.lit(False).alias("other"), *SKETCH).unionAll(others.select("place", F.lit(True), *SKETCH))
 
     def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
@@ -243,8 +264,8 @@ def _same(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def _filled(lines: DataFrame) -> DataFrame:
-    """lines with the columns long, size and exact, where they have none: long, of one size, and told by prints alone."""
-    for name, value in (("long", F.lit(True)), ("size", F.lit(0)), ("exact", F.lit(None).cast("long"))):
+    """lines with the columns long, size, low, high and exact, where they have none: long, alike in size, and told by prints alone."""
+    for name, value in (("long", F.lit(True)), ("size", F.lit(0)), ("low", F.lit(0).cast("long")), ("high", F.lit(0).cast("long")), ("exact", F.lit(None).cast("long"))):
         lines = lines if name in lines.columns else lines.withColumn(name, value)
     return lines
 
@@ -262,7 +283,7 @@ def inherited(lines: DataFrame, texts: DataFrame, cut: Cut, ties: DataFrame | No
     'boilerplate': boilerplate() has it. Null senders inherit, but nothing is inherited
     from them. only(source_id) names the mails that are asked about, null all.
     """
-    slim = _filled(lines).select("source_id", "line_no", "subject", "sender", "people", "at", "print", "long", "size", "exact").where("print is not null")
+    slim = _filled(lines).select("source_id", "line_no", "subject", "sender", "people", "at", "print", "long", "size", "low", "high", "exact").where("print is not null")
     slim = slim.withColumn("channel", F.lit(None).cast("long")) if ties is None else slim.join(ties.select("source_id", "channel"), "source_id", "left")
     by_channel = F.when(F.col("channel").isNotNull(), F.array(F.xxhash64(F.lit("channel"), "channel"))).otherwise(F.array().cast("array<bigint>"))
     by_subject = F.xxhash64(F.lit("subject"), "subject")
@@ -277,8 +298,8 @@ def inherited(lines: DataFrame, texts: DataFrame, cut: Cut, ties: DataFrame | No
     met = cut.keep(met)
     asks = cut.keep(asks.join(met, "place").where("oldest < at and (sender is null or x <> sender or y <> sender)").select("source_id", "place").distinct())
     has = cut.keep(has.join(met.join(asks.select("place").distinct(), "place", "left_semi"), "place").where("at < newest").select("source_id", "place").distinct())
-    wanted = cut.keep(slim.select("source_id", "line_no", "sender", "at", "print", "long", "size", "exact").join(asks, "source_id"))
-    known = cut.keep(slim.where("sender is not null").select("source_id", "line_no", F.col("sender").alias("author"), "at", "print", "long", "size", "exact").join(has, "source_id"))
+    wanted = cut.keep(slim.select("source_id", "line_no", "sender", "at", "print", "long", "size", "low", "high", "exact").join(asks, "source_id"))
+    known = cut.keep(slim.where("sender is not null").select("source_id", "line_no", F.col("sender").alias("author"), "at", "print", "long", "size", "low", "high", "exact").join(has, "source_id"))
     cut.drop(mails, met, asks, has)
     before = "first.at < at and first.source_id <> source_id and (sender is null or sender <> author)"
     # The same words first: the earliest line of each author is one row a place and sentence.
@@ -286,10 +307,10 @@ def inherited(lines: DataFrame, texts: DataFrame, cut: Cut, ties: DataFrame | No
     words = known.withColumn("told", told).where("told is not null").groupBy("place", "told", "author").agg(F.min(F.struct("at", "source_id")).alias("first"))
     same = cut.keep(wanted.withColumn("told", told).join(words, ["place", "told"]).where(before).select("source_id", "line_no").distinct())
     # Then near-matches of the long ones.
-    once = cut.keep(known.where("long").groupBy("place", "print", "author").agg(F.min(F.struct("at", "source_id", "line_no", "size")).alias("first")))
+    once = cut.keep(known.where("long").groupBy("place", "print", "author").agg(F.min(F.struct("at", "source_id", "line_no", "size", "low", "high")).alias("first")))
     left = cut.keep(wanted.where("long").join(same, ["source_id", "line_no"], "left_anti"))
-    asked = cut.keep(left.groupBy("place", "print").agg(F.min("size").alias("size")).withColumn("node", F.monotonically_increasing_id()))
-    others = cut.keep(once.groupBy("place", "print").agg(F.min("first.size").alias("size")).withColumn("node", -1 - F.monotonically_increasing_id()))
+    asked = cut.keep(left.groupBy("place", "print", "size", "low", "high").agg(F.count("*").alias("n")).withColumn("node", F.monotonically_increasing_id()))
+    others = cut.keep(once.groupBy("place", "print", "first.size", "first.low", "first.high").agg(F.count("*").alias("n")).withColumn("node", -1 - F.monotonically_increasing_id()))
     cut.drop(wanted, known)
 
     def found(left: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -318,11 +339,12 @@ def boilerplate(lines: DataFrame, texts: DataFrame, cut: Cut, only: DataFrame |
     FIRST near-matches settle, as in a family of one template, needs no others. Sentences that are not long and null
     senders have none. only(source_id) names the mails that are asked about, null all.
     """
-    said = _filled(lines).where("sender is not null and print is not null and long").select("sender", "print", "size", "source_id", "line_no")
-    each = cut.keep(said.groupBy("sender", "print", "source_id").agg(F.min("line_no").alias("line_no"), F.min("size").alias("size")))
-    counted = each.groupBy("sender", "print").agg(F.count("*").alias("n"), F.min(F.struct("source_id", "line_no")).alias("one"), F.min("size").alias("size"))
+    said = _filled(lines).where("sender is not null and print is not null and long").select("sender", "print", "size", "low", "high", "source_id", "line_no")
+    each = cut.keep(said.groupBy("sender", "print", "source_id").agg(F.min(F.struct("line_no", "size", "low", "high")).alias("line")))
+    counted = each.groupBy("sender", "print").agg(F.count("*").alias("n"), F.min(F.struct("source_id", "line")).alias("one"))
+    counted = counted.select("sender", "print", "n", F.struct("one.source_id", "one.line.line_no").alias("one"), "one.line.size", "one.line.low", "one.line.high")
     counted = cut.keep(counted.withColumn("node", F.monotonically_increasing_id()))
-    rows = counted.select(F.xxhash64("sender").alias("place"), "node", "print", "size")
+    rows = counted.select(F.xxhash64("sender").alias("place"), *SKETCH)
     few = counted.where(f"n < {BOILERPLATE}").select("node")
     if only is not None:
         few = few.join(counted.join(each.join(only.select("source_id"), "source_id", "left_semi").select("sender", "print").distinct(), ["sender", "print"]).select("node"), "node", "left_semi")
@@ -368,9 +390,9 @@ def authored(mails: DataFrame, clocks: DataFrame, cut: Cut, ties: DataFrame | No
     about = about.groupBy("source_id").agg(F.min_by(F.struct("subject", F.nullif("sender", F.lit("")).alias("sender"), "people", F.coalesce("instant", "imported_at").alias("at")), "imported_at").alias("m"))
     one = raw.groupBy("source_id").agg(F.min_by(F.struct("told", "n_own"), F.struct("imported_at", "body_hash")).alias("p"))
     one = one.select("source_id", "p.told", "p.n_own")
-    own = raw.where("size(own_first) > 0").select("source_id", F.posexplode(F.arrays_zip("own_first", "own_last", "own_long", "own_print", "own_exact", "own_size")).alias("line_no", "o"))
-    own = own.select("source_id", "line_no", F.col("o.own_first").alias("begin"), F.col("o.own_last").alias("end"), F.col("o.own_long").alias("long"), F.col("o.own_print").alias("print"), F.col("o.own_exact").alias("exact"), F.col("o.own_size").alias("size"))
-    lines = cut.keep(own.join(about, "source_id").select("source_id", "m.subject", "m.sender", "m.people", "m.at", "line_no", "begin", "end", "long", "print", "exact", "size").distinct())
+    own = raw.where("size(own_first) > 0").select("source_id", F.posexplode(F.arrays_zip("own_first", "own_last", "own_long", "own_print", "own_exact", "own_size", "own_low", "own_high")).alias("line_no", "o"))
+    own = own.select("source_id", "line_no", F.col("o.own_first").alias("begin"), F.col("o.own_last").alias("end"), F.col("o.own_long").alias("long"), F.col("o.own_print").alias("print"), F.col("o.own_exact").alias("exact"), F.col("o.own_size").alias("size"), F.col("o.own_low").alias("low"), F.col("o.own_high").alias("high"))
+    lines = cut.keep(own.join(about, "source_id").select("source_id", "m.subject", "m.sender", "m.people", "m.at", "line_no", "begin", "end", "long", "print", "exact", "size", "low", "high").distinct())
     texts = raw.select("source_id", F.posexplode("own_text").alias("line_no", "text"))
     # A line is not newly written if none of its sentences is.
     hits = cut.keep(inherited(lines, texts, cut, ties, only).select("source_id", "line_no").distinct().withColumn("hit", F.lit(True)))

@@ -6,7 +6,7 @@ import pytest
 
 from pyspark.sql import functions as F
 
-from missive.llm.authored import DISTANCE, authored, boilerplate, fingerprints, inherited, near_matches, sentences
+from missive.llm.authored import DISTANCE, authored, bags, boilerplate, fingerprints, inherited, near_matches, sentences
 from missive.llm.conversations import conversations, sessionized
 from missive.llm.mailparts import parts
 from missive.llm.pii import Finder, found, p6_masked
@@ -202,7 +202,7 @@ def test_hot_parts_are_split_and_lose_nothing(spark, monkeypatch):
         rows.append((f"m{k:02d}", 1, 7, "a@x", [], k, int(fingerprints([w])[0]), " ".join(w), True))
     df = spark.createDataFrame(rows, LINES)
     plain = sorted(map(tuple, boilerplate(df, df, Cut(spark)).collect()))
-    asked = df.select(F.lit(1).cast("long").alias("place"), F.col("at").alias("node"), "print", F.length("text").alias("size"))
+    asked = df.select(F.lit(1).cast("long").alias("place"), F.col("at").alias("node"), "print", F.length("text").alias("size"), F.lit(0).cast("long").alias("low"), F.lit(0).cast("long").alias("high"))
     pairs = sorted(map(tuple, near_matches(asked, asked, DISTANCE, Cut(spark)).collect()))
     assert len(pairs) > 200 and len(set(pairs)) == len(pairs)
     monkeypatch.setattr("missive.llm.authored.HOT", 3)
@@ -241,3 +241,16 @@ def test_sessions_have_roles_and_replies(spark):
     assert got == [("a1", 1, "opener"), ("a2", 1, "respondent"), ("a3", 1, "opener")]
     alone = sessionized(mails.withColumn("in_reply_to", F.lit(None).cast("string")), times, Cut(spark))
     assert {r["session_no"] for r in alone.collect()} == {1} and sessionized(mails.limit(0), times, Cut(spark)).count() == 0
+
+
+def test_bags_bound_the_edits():
+    rnd = random.Random(8)
+    for _ in range(200):
+        a = [rnd.choice("abcxyz éß𝛼,") for _ in range(rnd.randint(1, 60))]
+        b = list(a)
+        n = rnd.randint(0, 6)
+        for _ in range(n):
+            b[rnd.randrange(len(b))] = rnd.choice("abcxyz éß𝛼,")
+        x, y = bags(["".join(a), "".join(b)]).view(np.uint8).astype(int)
+        assert np.maximum(x - y, 0).sum() <= n and np.maximum(y - x, 0).sum() <= n and x.sum() == len(a)
+    assert bags([]).shape == (0, 2)
