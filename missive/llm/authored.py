@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -30,7 +30,7 @@ TABLES = 8
 #: Prints of one place that are compared in one task; more are split.
 HOT = 50_000
 #: Near-matches of a print that are verified at first; those that these don't settle are verified against all.
-FIRST = 32
+FIRST = 1000
 
 _WORD = re.compile(r"[^\W_]+")
 _STOP = re.compile(r"(?<!\bDr)(?<!\bMr)(?<!\bMs)(?<!\bSr)(?<!\bSt)(?<!\bMrs)(?<!\bNo)(?<!\bNr)(?<!\b[A-ZÀ-Þ])[.!?]+[\"')\]’”»]*\s+")
@@ -156,7 +156,7 @@ SKETCH = ("node", "print", "size", "low", "high")
 
 
 def _grouped(rows: DataFrame, cut: Cut) -> DataFrame:
-    """rows(place, other, *SKETCH) with the group they are compared in, and its table (-1: in all of them).
+    """rows(place, other, node, print, ...) with the group they are compared in, and its table (-1: in all of them).
 
     A group is a place. Of a place with more than HOT rows it is a part of the prints in one table, and of a part with
     more than HOT rows a pair of shares, so that none is larger and every two rows that may match meet.
@@ -171,72 +171,115 @@ def _grouped(rows: DataFrame, cut: Cut) -> DataFrame:
         return rows
     rest = rows.join(hot, "group", "left_anti")
     parts = F.array(*[F.struct(F.xxhash64("group", F.lit(k), F.shiftrightunsigned("print", k * _BITS).bitwiseAND((1 << _BITS) - 1)).alias("group"), F.lit(k).alias("table")) for k in range(TABLES)])
-    split = rows.join(hot.select("group"), "group", "left_semi").select("other", *SKETCH, F.explode(parts).alias("p")).select("p.group", "other", *SKETCH, "p.table")
+    kept = [c for c in rows.columns if c not in ("group", "table")]
+    split = rows.join(hot.select("group"), "group", "left_semi").select(*kept, F.explode(parts).alias("p")).select("p.group", *kept, "p.table")
     shares = F.coalesce("shares", F.lit(1))
     split = split.join(crowded(split), "group", "left").withColumn("_own", F.pmod(F.xxhash64("node"), shares)).withColumn("_any", F.explode(F.sequence(F.lit(0), shares - 1)))
     pair = F.when(F.col("shares").isNull(), F.col("group")).when(F.col("other"), F.xxhash64("group", "_any", "_own")).otherwise(F.xxhash64("group", F.col("_own").cast("int"), F.col("_any").cast("long")))
-    return rest.unionByName(split.select(pair.alias("group"), "other", *SKETCH, "table"))
-
-
-def _pairs(rows: pd.DataFrame, bits: int, most: int | None) -> Iterator[pd.DataFrame]:
-    """The near-matches (node, node2, more) of whole groups of _grouped() rows: at most ``most`` of a row, if given."""
-    group, other = np.unique(rows["group"].to_numpy(), return_inverse=True)[1], rows["other"].to_numpy(dtype=bool)
-    prints, node, size, table = rows["print"].to_numpy().view(np.uint64), rows["node"].to_numpy(), rows["size"].to_numpy(), rows["table"].to_numpy()
-    bag = np.stack([rows["low"].to_numpy(), rows["high"].to_numpy()], 1).view(np.uint8).astype(np.int16)
-    got: list[tuple[np.ndarray, np.ndarray]] = []
-    part = lambda x, k: (x >> np.uint64(k * _BITS)) & np.uint64((1 << _BITS) - 1)
-    for k in range(TABLES):
-        key = (group.astype(np.uint64) << np.uint64(_BITS)) | part(prints, k)
-        use = (table == k) | (table < 0)
-        left, right = np.nonzero(use & ~other)[0], np.nonzero(use & other)[0]
-        right = right[np.argsort(key[right], kind="stable")]
-        low, high = np.searchsorted(key[right], key[left], "left"), np.searchsorted(key[right], key[left], "right")
-        total = np.cumsum(high - low)
-        at = 0
-        while at < len(left):  # about four million candidates at a time
-            to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + 4_000_000, "right")))
-            n = (high - low)[at:to]
-            i = np.repeat(left[at:to], n)
-            j = right[np.repeat(low[at:to] - np.concatenate([[0], n.cumsum()[:-1]]), n) + np.arange(n.sum())]
-            x = prints[i] ^ prints[j]
-            near = (np.bitwise_count(x) <= bits) & (np.abs(size[i] - size[j]) <= np.maximum(size[i], size[j]) * EDITS) & (node[i] != node[j])
-            i, j, x = i[near], j[near], x[near]
-            for before in range(k):  # found in an earlier table
-                new = part(x, before) != 0
-                i, j, x = i[new], j[new], x[new]
-            # Edits are no fewer than the characters of a class that one text has and the other has not.
-            more = bag[i] - bag[j]
-            lost = np.maximum(np.maximum(more, 0).sum(1), np.maximum(-more, 0).sum(1))
-            close = lost <= np.maximum(size[i], size[j]) * EDITS
-            got.append((i[close], j[close]))
-            at = to
-    if not got:
-        return
-    i, j = (np.concatenate([g[c] for g in got]) for c in (0, 1))
-    if most is not None:
+    return rest.unionByName(split.select(pair.alias("group"), *kept, "table"))
+
+
+class _Rows:
+    """Whole groups of _grouped() rows as arrays, with their near-matches."""
+
+    def __init__(self, rows: pd.DataFrame):
+        self.group, self.other = np.unique(rows["group"].to_numpy(), return_inverse=True)[1].astype(np.uint64), rows["other"].to_numpy(dtype=bool)
+        self.prints, self.node, self.size, self.table = rows["print"].to_numpy().view(np.uint64), rows["node"].to_numpy(), rows["size"].to_numpy(), rows["table"].to_numpy()
+        self.bag = np.stack([rows["low"].to_numpy(), rows["high"].to_numpy()], 1).view(np.uint8).astype(np.int16)
+
+    def near(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The pairs of rows of left and right with a part in common, within DISTANCE, that may be within EDITS."""
+        got = [(left[:0], right[:0])]
+        part = lambda x, k: (x >> np.uint64(k * _BITS)) & np.uint64((1 << _BITS) - 1)
+        for k in range(TABLES):
+            key = (self.group << np.uint64(_BITS)) | part(self.prints, k)
+            a, b = (x[(self.table[x] == k) | (self.table[x] < 0)] for x in (left, right))
+            b = b[np.argsort(key[b], kind="stable")]
+            low, high = np.searchsorted(key[b], key[a], "left"), np.searchsorted(key[b], key[a], "right")
+            total, at = np.cumsum(high - low), 0
+            while at < len(a):  # about four million candidates at a time
+                to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + 4_000_000, "right")))
+                n = (high - low)[at:to]
+                i = np.repeat(a[at:to], n)
+                j = b[np.repeat(low[at:to] - np.concatenate([[0], n.cumsum()[:-1]]), n) + np.arange(n.sum())]
+                x, most = self.prints[i] ^ self.prints[j], np.maximum(self.size[i], self.size[j]) * EDITS
+                near = (np.bitwise_count(x) <= DISTANCE) & (np.abs(self.size[i] - self.size[j]) <= most) & (self.node[i] != self.node[j])
+                for before in range(k):  # found in an earlier table
+                    near &= part(x, before) != 0
+                i, j, most = i[near], j[near], most[near]
+                # Edits are no fewer than the characters of a class that one text has and the other has not.
+                more = self.bag[i] - self.bag[j]
+                close = np.maximum(np.maximum(more, 0).sum(1), np.maximum(-more, 0).sum(1)) <= most
+                got.append((i[close], j[close]))
+                at = to
+        return np.concatenate([g[0] for g in got]), np.concatenate([g[1] for g in got])
+
+    def given(self, i: np.ndarray, j: np.ndarray, most: int | None) -> Iterator[pd.DataFrame]:
+        """The pairs as _PAIRS, at most ``most`` of each row of i, if given."""
         order = np.argsort(i, kind="stable")
         i, j = i[order], j[order]
-        rank = np.arange(len(i)) - np.searchsorted(i, i, "left")
-        many = np.searchsorted(i, i, "right") - np.searchsorted(i, i, "left") > most
-        i, j, many = i[rank < most], j[rank < most], many[rank < most]
-    else:
-        many = np.zeros(len(i), dtype=bool)
-    for at in range(0, len(i), 100_000):
-        x, y = i[at : at + 100_000], j[at : at + 100_000]
-        yield pd.DataFrame({"node": node[x], "node2": node[y], "more": many[at : at + 100_000]})
-
-
-def near_matches(asked: DataFrame, others: DataFrame, bits: int, cut: Cut, most: int | None = None) -> DataFrame:
-    """(node, node2, more), distinct but for more: of asked and others(place, *SKETCH), prints of one place within ``bits``.
+        begin, many = np.searchsorted(i, i, "left"), np.zeros(len(i), dtype=bool)
+        if most is not None:
+            rank, many = np.arange(len(i)) - begin, np.searchsorted(i, i, "right") - begin > most
+            i, j, many = i[rank < most], j[rank < most], many[rank < most]
+        for at in range(0, len(i), 100_000):
+            x, y = i[at : at + 100_000], j[at : at + 100_000]
+            yield pd.DataFrame({"node": self.node[x], "node2": self.node[y], "more": many[at : at + 100_000]})
+
+
+def _near_pairs(rows: pd.DataFrame, most: int | None) -> Iterator[pd.DataFrame]:
+    r = _Rows(rows)
+    yield from r.given(*r.near(np.nonzero(~r.other)[0], np.nonzero(r.other)[0]), most)
+
+
+def _earlier(rows: pd.DataFrame, most: int | None) -> Iterator[pd.DataFrame]:
+    """Of rows with told, at, author and long: earlier rows by another author; node2 is -1 where one has the same words."""
+    r = _Rows(rows)
+    told, at, author, long = rows["told"].to_numpy().view(np.uint64), rows["at"].to_numpy(), rows["author"].to_numpy(), rows["long"].to_numpy(dtype=bool)
+    words = (told ^ (r.group * np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xBF58476D1CE4E5B9)
+    known, asked = np.nonzero(r.other)[0], np.nonzero(~r.other)[0]
+    # The first of each author's rows with the same words, in order of time.
+    known = known[np.lexsort((at[known], author[known], words[known]))]
+    first = np.ones(len(known), dtype=bool)
+    first[1:] = (words[known][1:] != words[known][:-1]) | (author[known][1:] != author[known][:-1])
+    known = known[first]
+    known = known[np.lexsort((at[known], words[known]))]
+    keys = words[known]
+    same = np.zeros(len(r.node), dtype=bool)
+    exact = asked[r.table[asked] <= 0]
+    if len(known) and len(exact):
+        place = np.searchsorted(keys, words[exact], "left")
+        for step in (0, 1):  # the earliest, or if that is the asker's own, the next, which another author wrote
+            p = np.minimum(place + step, len(known) - 1)
+            k = known[p]
+            same[exact] |= (keys[p] == words[exact]) & (at[k] < at[exact]) & (author[k] != author[exact])
+    hits = r.node[same]
+    for x in range(0, len(hits), 100_000):
+        yield pd.DataFrame({"node": hits[x : x + 100_000], "node2": -1, "more": False})
+    # Near-matches: what is asked with the same words is compared once.
+    asked = asked[~same[asked] & long[asked]]
+    asked = asked[np.argsort(words[asked], kind="stable")]
+    of, start = np.unique(words[asked], return_index=True)
+    i, j = r.near(asked[start], known[long[known]])
+    n = np.diff(np.append(start, len(asked)))[np.searchsorted(of, words[i])]
+    rank = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    i, j = asked[np.repeat(start[np.searchsorted(of, words[i])], n) + rank], np.repeat(j, n)
+    before = (at[j] < at[i]) & (author[j] != author[i])
+    yield from r.given(i[before], j[before], most)
+
+
+def near_matches(asked: DataFrame, others: DataFrame, cut: Cut, most: int | None = None, by: Callable = _near_pairs) -> DataFrame:
+    """(node, node2, more), distinct but for more: of asked and others(place, *SKETCH), the near-matches of one place.
 
     Hamming partition tables: prints are cut into TABLES parts, and those with a part in common are compared. That
     finds every pair within TABLES - 1 bits, 99 % of those that differ in 9 and 91 % of those in 12, the most that a
     changed word of LONG usually moves. Rows move once, to the task of their place, where the tables stand; places of
     more than HOT rows are split (_grouped()), and no print is left out. With ``most``, about so many matches of an
     asked row are given, and more says whether it has others. Pairs that can't be within EDITS by their lengths and bags
-    are left out. A row doesn't match itself (equal nodes).
+    are left out. A row doesn't match itself (equal nodes). ``by`` chooses among whole groups of rows.
     """
-    rows = asked.select("place", F.lit(False).alias("other"), *SKETCH).unionAll(others.select("place", F.lit(True), *SKETCH))
+    columns = [c for c in asked.columns if c != "place"]
+    rows = asked.select("place", F.lit(False).alias("other"), *columns).unionAll(others.select("place", F.lit(True), *columns))
 
     def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
@@ -244,30 +287,36 @@ def near_matches(asked: DataFrame, others: DataFrame, bits: int, cut: Cut, most:
             if held and sum(map(len, held)) > HOT and len(b) and b["group"].iloc[-1] != held[0]["group"].iloc[0]:
                 rows = pd.concat([*held, b])
                 done = (rows["group"] != rows["group"].iloc[-1]).to_numpy()
-                yield from _pairs(rows[done], bits, most)
+                yield from by(rows[done], most)
                 held = [rows[~done]]
             elif len(b):
                 held.append(b)
         if held:
-            yield from _pairs(pd.concat(held), bits, most)
+            yield from by(pd.concat(held), most)
 
     return _grouped(rows, cut).repartition("group").sortWithinPartitions("group").mapInPandas(part, _PAIRS)
 
 
-def _same(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The rows of pairs(source_id, line_no, source_id2, line_no2, ...) whose texts are within EDITS; only theirs move."""
-    ends = pairs.select("source_id", "line_no").unionAll(pairs.select("source_id2", "line_no2")).distinct()
-    texts = texts.join(ends, ["source_id", "line_no"], "left_semi").select("source_id", "line_no", "text")
-    both = pairs.join(texts, ["source_id", "line_no"]).join(texts.toDF("source_id2", "line_no2", "text2"), ["source_id2", "line_no2"])
+def _same(pairs: DataFrame, texts: DataFrame, cut: Cut) -> DataFrame:
+    """The pairs(node, node2) whose texts(node, text) are within EDITS; only theirs move."""
+    pairs = cut.keep(pairs.select("node", "node2").distinct())
+    ends = cut.keep(pairs.select("node").unionAll(pairs.select("node2")).distinct())
+    texts = cut.keep(texts.join(ends, "node", "left_semi"))
+    both = pairs.join(texts, "node").join(texts.toDF("node2", "text2"), "node2")
     both = both.withColumn("most", (F.greatest(F.length("text"), F.length("text2")) * EDITS).cast("int"))
-    return both.where(F.abs(F.length("text") - F.length("text2")) <= F.col("most")).where("levenshtein(text, text2, most) >= 0").select(*pairs.columns)
+    same = cut.keep(both.where(F.abs(F.length("text") - F.length("text2")) <= F.col("most")).where("levenshtein(text, text2, most) >= 0").select("node", "node2"))
+    cut.drop(pairs, ends, texts)
+    return same
 
 
-def _filled(lines: DataFrame) -> DataFrame:
-    """lines with the columns long, size, low, high and exact, where they have none: long, alike in size, and told by prints alone."""
-    for name, value in (("long", F.lit(True)), ("size", F.lit(0)), ("low", F.lit(0).cast("long")), ("high", F.lit(0).cast("long")), ("exact", F.lit(None).cast("long"))):
+def _filled(lines: DataFrame, texts: DataFrame, cut: Cut) -> DataFrame:
+    """lines with a node each, their texts, and where they lack them: long, alike in size, and told by prints alone."""
+    if "node" in lines.columns:
+        return lines
+    for name, value in (("long", F.lit(True)), ("size", F.lit(0)), ("low", F.lit(0).cast("long")), ("high", F.lit(0).cast("long")), ("exact", F.xxhash64("source_id", "line_no")), ("channel", F.lit(None).cast("long"))):
         lines = lines if name in lines.columns else lines.withColumn(name, value)
-    return lines
+    lines = lines.drop("text").join(texts.select("source_id", "line_no", "text"), ["source_id", "line_no"], "left")
+    return cut.keep(lines.withColumn("node", F.monotonically_increasing_id()))
 
 
 def inherited(lines: DataFrame, texts: DataFrame, cut: Cut, ties: DataFrame | None = None, only: DataFrame | None = None) -> DataFrame:
@@ -278,13 +327,13 @@ def inherited(lines: DataFrame, texts: DataFrame, cut: Cut, ties: DataFrame | No
     (near_matches()) and EDITS of its text, which texts(source_id, line_no, text) has and only candidates are joined to.
     That mail has the same channel in ties(source_id, channel), or the same base subject
     and a sender whom this mail is addressed to (people), or any if it names no address. Where a column
-    long says that a sentence is not, its words must be the same. Repeated sentences are met once: prints are made
-    distinct within such a place, with the earliest line of each sender.
+    long says that a sentence is not, its words must be the same. Repeated sentences are met once. Lines that authored()
+    made have texts and channels already.
     'boilerplate': boilerplate() has it. Null senders inherit, but nothing is inherited
     from them. only(source_id) names the mails that are asked about, null all.
     """
-    slim = _filled(lines).select("source_id", "line_no", "subject", "sender", "people", "at", "print", "long", "size", "low", "high", "exact").where("print is not null")
-    slim = slim.withColumn("channel", F.lit(None).cast("long")) if ties is None else slim.join(ties.select("source_id", "channel"), "source_id", "left")
+    lines = _filled(lines if ties is None else lines.join(ties.select("source_id", "channel"), "source_id", "left"), texts, cut)
+    slim = lines.where("print is not null")
     by_channel = F.when(F.col("channel").isNotNull(), F.array(F.xxhash64(F.lit("channel"), "channel"))).otherwise(F.array().cast("array<bigint>"))
     by_subject = F.xxhash64(F.lit("subject"), "subject")
     named = F.transform(F.array_distinct("people"), lambda x: F.xxhash64(F.lit("author"), F.col("subject"), x))
@@ -298,78 +347,61 @@ def inherited(lines: DataFrame, texts: DataFrame, cut: Cut, ties: DataFrame | No
     met = cut.keep(met)
     asks = cut.keep(asks.join(met, "place").where("oldest < at and (sender is null or x <> sender or y <> sender)").select("source_id", "place").distinct())
     has = cut.keep(has.join(met.join(asks.select("place").distinct(), "place", "left_semi"), "place").where("at < newest").select("source_id", "place").distinct())
-    wanted = cut.keep(slim.select("source_id", "line_no", "sender", "at", "print", "long", "size", "low", "high", "exact").join(asks, "source_id"))
-    known = cut.keep(slim.where("sender is not null").select("source_id", "line_no", F.col("sender").alias("author"), "at", "print", "long", "size", "low", "high", "exact").join(has, "source_id"))
-    cut.drop(mails, met, asks, has)
-    before = "first.at < at and first.source_id <> source_id and (sender is null or sender <> author)"
-    # The same words first: the earliest line of each author is one row a place and sentence.
-    told = F.when(F.col("long") & F.col("exact").isNull(), F.lit(None)).otherwise(F.coalesce("exact", "print"))
-    words = known.withColumn("told", told).where("told is not null").groupBy("place", "told", "author").agg(F.min(F.struct("at", "source_id")).alias("first"))
-    same = cut.keep(wanted.withColumn("told", told).join(words, ["place", "told"]).where(before).select("source_id", "line_no").distinct())
-    # Then near-matches of the long ones.
-    once = cut.keep(known.where("long").groupBy("place", "print", "author").agg(F.min(F.struct("at", "source_id", "line_no", "size", "low", "high")).alias("first")))
-    left = cut.keep(wanted.where("long").join(same, ["source_id", "line_no"], "left_anti"))
-    asked = cut.keep(left.groupBy("place", "print", "size", "low", "high").agg(F.count("*").alias("n")).withColumn("node", F.monotonically_increasing_id()))
-    others = cut.keep(once.groupBy("place", "print", "first.size", "first.low", "first.high").agg(F.count("*").alias("n")).withColumn("node", -1 - F.monotonically_increasing_id()))
-    cut.drop(wanted, known)
-
-    def found(left: DataFrame, pairs: DataFrame) -> DataFrame:
-        pairs = pairs.join(asked.select("node", "place", "print"), "node").join(others.select(F.col("node").alias("node2"), F.col("print").alias("print2")), "node2")
-        hit = left.join(pairs.select("place", "print", "print2"), ["place", "print"]).join(once.withColumnRenamed("print", "print2"), ["place", "print2"]).where(before)
-        hit = cut.keep(hit.select("source_id", "line_no", F.col("first.source_id").alias("source_id2"), F.col("first.line_no").alias("line_no2")).distinct())
-        return cut.keep(_same(hit, texts).select("source_id", "line_no").distinct())
-
-    first = cut.keep(near_matches(asked, others, DISTANCE, cut, FIRST))
-    near = found(left, first)
-    more = first.where("more").select("node").distinct()
+    told = F.when(F.col("long"), F.col("exact")).otherwise(F.coalesce("exact", "print")).alias("told")
+    writer = F.when(F.col("sender").isNotNull(), F.xxhash64("sender")).otherwise(F.lit(0).cast("long")).alias("author")
+    row = [*SKETCH, told, "at", writer, "long"]
+    known = slim.where("sender is not null").select("source_id", *row).join(has, "source_id").drop("source_id")
+
+    def found(asks: DataFrame, slim: DataFrame, most: int | None) -> tuple[DataFrame, DataFrame]:
+        wanted = slim.select("source_id", *row).join(asks, "source_id").drop("source_id")
+        pairs = cut.keep(near_matches(wanted, known.select(wanted.columns), cut, most, _earlier))
+        near = _same(pairs.where("node2 >= 0"), lines.select("node", "text"), cut)
+        return cut.keep(pairs.where("node2 < 0").select("node").unionAll(near.select("node")).distinct()), pairs.where("more").select("node").distinct()
+
+    hits, more = found(asks, slim, FIRST)
+    more = cut.keep(more.join(hits, "node", "left_anti"))
     if not more.isEmpty():
-        left = left.join(near, ["source_id", "line_no"], "left_anti")
-        again = asked.join(more, "node", "left_semi").join(left.select("place", "print").distinct(), ["place", "print"], "left_semi")
-        near = near.unionAll(found(left, cut.keep(near_matches(again, others, DISTANCE, cut))))
-    hits = cut.keep(same.unionAll(near).withColumn("why", F.lit("inherited")))
-    cut.drop(same, asked, others, left, once)
-    return hits.unionAll(boilerplate(lines, texts, cut, only).select("source_id", "line_no", F.lit("boilerplate"))).distinct()
+        hits = hits.unionAll(found(asks, slim.join(more, "node", "left_semi"), None)[0])
+    cut.drop(mails, met, asks, has)
+    hits = hits.distinct().withColumn("why", F.lit("inherited")).unionAll(boilerplate(lines, texts, cut, only, True).withColumn("why", F.lit("boilerplate")))
+    return lines.select("node", "source_id", "line_no").join(cut.keep(hits), "node").select("source_id", "line_no", "why")
 
 
-def boilerplate(lines: DataFrame, texts: DataFrame, cut: Cut, only: DataFrame | None = None) -> DataFrame:
+def boilerplate(lines: DataFrame, texts: DataFrame, cut: Cut, only: DataFrame | None = None, nodes: bool = False) -> DataFrame:
     """(source_id, line_no) of the sentences of lines (as inherited() has them) that BOILERPLATE mails of their sender have.
 
     A mail has a sentence if one of its own has its print, or is a near-match within DISTANCE bits and EDITS of its text.
     Mails are counted exactly; only texts of sentences that might reach BOILERPLATE are compared. A sentence that its
     FIRST near-matches settle, as in a family of one template, needs no others. Sentences that are not long and null
-    senders have none. only(source_id) names the mails that are asked about, null all.
+    senders have none. only(source_id) names the mails that are asked about, null all. With nodes, node is given.
     """
-    said = _filled(lines).where("sender is not null and print is not null and long").select("sender", "print", "size", "low", "high", "source_id", "line_no")
-    each = cut.keep(said.groupBy("sender", "print", "source_id").agg(F.min(F.struct("line_no", "size", "low", "high")).alias("line")))
-    counted = each.groupBy("sender", "print").agg(F.count("*").alias("n"), F.min(F.struct("source_id", "line")).alias("one"))
-    counted = counted.select("sender", "print", "n", F.struct("one.source_id", "one.line.line_no").alias("one"), "one.line.size", "one.line.low", "one.line.high")
-    counted = cut.keep(counted.withColumn("node", F.monotonically_increasing_id()))
-    rows = counted.select(F.xxhash64("sender").alias("place"), *SKETCH)
-    few = counted.where(f"n < {BOILERPLATE}").select("node")
-    if only is not None:
-        few = few.join(counted.join(each.join(only.select("source_id"), "source_id", "left_semi").select("sender", "print").distinct(), ["sender", "print"]).select("node"), "node", "left_semi")
-    small = counted.select("node", "n", "one")
+    lines = _filled(lines, texts, cut)
+    said = lines.where("sender is not null and print is not null and long").select(F.xxhash64("sender").alias("place"), F.xxhash64("source_id").alias("mail"), *SKETCH)
+    mine = said if only is None else said.join(only.select(F.xxhash64("source_id").alias("mail")), "mail", "left_semi")
+    each = cut.keep(said.groupBy("place", "print", "mail").agg(F.min(F.struct("node", "size", "low", "high")).alias("line")))
+    counted = cut.keep(each.groupBy("place", "print").agg(F.count("*").alias("n"), F.min("line").alias("line")).select("place", "print", "n", "line.*"))
+    few = counted.where(f"n < {BOILERPLATE}")
+    few = few if only is None else few.join(mine.select("place", "print").distinct(), ["place", "print"], "left_semi")
+    small, columns = counted.select("node", "n"), ["place", *SKETCH]
 
     def reached(pairs: DataFrame) -> DataFrame:
         """The nodes that BOILERPLATE mails have, by the near-matches in pairs(node, node2)."""
-        other = small.select(F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("one").alias("two"))
-        alike = cut.keep(pairs.join(small, "node").join(other, "node2"))
+        alike = cut.keep(pairs.join(small, "node").join(small.toDF("node2", "n2"), "node2"))
         enough = alike.groupBy("node").agg((F.sum("n2") + F.first("n")).alias("most")).where(f"most >= {BOILERPLATE}")
-        alike = alike.join(enough.select("node"), "node", "left_semi")
-        alike = alike.select("node", "node2", F.col("one.source_id"), F.col("one.line_no"), F.col("two.source_id").alias("source_id2"), F.col("two.line_no").alias("line_no2"))
-        same = cut.keep(_same(alike, texts).select("node", "node2"))
-        same = same.unionAll(same.select("node", "node").distinct())
-        mails = each.join(counted.select("sender", "print", F.col("node").alias("node2")), ["sender", "print"]).select("node2", "source_id")
-        mails = same.join(mails.join(same.select("node2").distinct(), "node2", "left_semi"), "node2")
-        return cut.keep(mails.groupBy("node").agg(F.count_distinct("source_id").alias("n")).where(f"n >= {BOILERPLATE}").select("node"))
-
-    first = cut.keep(near_matches(rows.join(few, "node", "left_semi"), rows, DISTANCE, cut, FIRST))
+        same = _same(alike.join(enough.select("node"), "node", "left_semi"), lines.select("node", "text"), cut)
+        same = cut.keep(same.unionAll(same.select("node", "node").distinct()))
+        ends = cut.keep(counted.select("place", "print", F.col("node").alias("node2")).join(same.select("node2").distinct(), "node2", "left_semi"))
+        mails = same.join(each.select("place", "print", "mail").join(ends, ["place", "print"]), "node2")
+        return cut.keep(mails.groupBy("node").agg(F.count_distinct("mail").alias("n")).where(f"n >= {BOILERPLATE}").select("node"))
+
+    first = cut.keep(near_matches(few.select(columns), counted.select(columns), cut, FIRST))
     common = counted.where(f"n >= {BOILERPLATE}").select("node").unionAll(reached(first))
-    more = first.where("more").select("node").distinct().join(common, "node", "left_anti")
+    more = cut.keep(first.where("more").select("node").distinct().join(common, "node", "left_anti"))
     if not more.isEmpty():
-        common = common.unionAll(reached(cut.keep(near_matches(rows.join(more, "node", "left_semi"), rows, DISTANCE, cut))))
-    common = cut.keep(counted.join(common.distinct(), "node", "left_semi").select("sender", "print"))
-    return said.join(common, ["sender", "print"]).select("source_id", "line_no")
+        common = common.unionAll(reached(cut.keep(near_matches(few.join(more, "node", "left_semi").select(columns), counted.select(columns), cut))))
+    common = cut.keep(counted.join(common.distinct(), "node", "left_semi").select("place", "print"))
+    hit = mine.join(common, ["place", "print"]).select("node")
+    return hit if nodes else lines.join(hit, "node").select("source_id", "line_no")
 
 
 def authored(mails: DataFrame, clocks: DataFrame, cut: Cut, ties: DataFrame | None = None, only: DataFrame | None = None) -> DataFrame:
@@ -388,21 +420,23 @@ def authored(mails: DataFrame, clocks: DataFrame, cut: Cut, ties: DataFrame | No
     about = mails.select("source_id", F.unix_micros(F.col("imported_at").cast("timestamp")).alias("imported_at"), _base(F.col("subject")).alias("subject"), _sender(F.col("sender")).alias("sender"), _people(F.col("recipients_json")).alias("people"), "source_name", F.col("sent_timestamp").alias("_text"))
     about = with_instant(about.join(zones, "source_name", "left"), "_text", "_first", "_zone", "instant")
     about = about.groupBy("source_id").agg(F.min_by(F.struct("subject", F.nullif("sender", F.lit("")).alias("sender"), "people", F.coalesce("instant", "imported_at").alias("at")), "imported_at").alias("m"))
-    one = raw.groupBy("source_id").agg(F.min_by(F.struct("told", "n_own"), F.struct("imported_at", "body_hash")).alias("p"))
-    one = one.select("source_id", "p.told", "p.n_own")
-    own = raw.where("size(own_first) > 0").select("source_id", F.posexplode(F.arrays_zip("own_first", "own_last", "own_long", "own_print", "own_exact", "own_size", "own_low", "own_high")).alias("line_no", "o"))
-    own = own.select("source_id", "line_no", F.col("o.own_first").alias("begin"), F.col("o.own_last").alias("end"), F.col("o.own_long").alias("long"), F.col("o.own_print").alias("print"), F.col("o.own_exact").alias("exact"), F.col("o.own_size").alias("size"), F.col("o.own_low").alias("low"), F.col("o.own_high").alias("high"))
-    lines = cut.keep(own.join(about, "source_id").select("source_id", "m.subject", "m.sender", "m.people", "m.at", "line_no", "begin", "end", "long", "print", "exact", "size", "low", "high").distinct())
-    texts = raw.select("source_id", F.posexplode("own_text").alias("line_no", "text"))
+    arrays = ["own_first", "own_last", "own_long", "own_print", "own_exact", "own_size", "own_low", "own_high", "own_text"]
+    one = raw.groupBy("source_id").agg(F.min_by(F.struct("told", "n_own", *arrays), F.struct("imported_at", "body_hash")).alias("p"))
+    one = cut.keep(one.join(about, "source_id").join(ties.select("source_id", "channel"), "source_id", "left").select("source_id", "channel", "m.*", "p.*"))
+    cut.drop(raw)
+    own = one.where("size(own_first) > 0").select("source_id", "channel", "subject", "sender", "people", "at", F.posexplode(F.arrays_zip(*arrays)).alias("line_no", "o"))
+    names = ["begin", "end", "long", "print", "exact", "size", "low", "high", "text"]
+    own = own.select("source_id", "channel", "subject", "sender", "people", "at", "line_no", *[F.col(f"o.{a}").alias(n) for a, n in zip(arrays, names, strict=True)])
+    lines = cut.keep(own.withColumn("node", F.monotonically_increasing_id()))
     # A line is not newly written if none of its sentences is.
-    hits = cut.keep(inherited(lines, texts, cut, ties, only).select("source_id", "line_no").distinct().withColumn("hit", F.lit(True)))
+    hits = cut.keep(inherited(lines, lines, cut, None, only).select("source_id", "line_no").distinct().withColumn("hit", F.lit(True)))
     marked = lines.join(hits.select("source_id").distinct(), "source_id", "left_semi").join(hits, ["source_id", "line_no"], "left")
     marked = marked.select("source_id", F.explode(F.sequence("begin", "end")).alias("line_no"), F.coalesce("hit", F.lit(False)).alias("hit"))
     more = marked.groupBy("source_id", "line_no").agg(F.min("hit").alias("hit")).where("hit").groupBy("source_id").agg(F.collect_set("line_no").alias("more"))
     out = one.join(more, "source_id", "left")
     extra = F.array_except("more", "told")
     done = cut.keep(out.select("source_id", F.when(F.col("more").isNull(), F.col("told")).otherwise(F.array_union("told", "more")).alias("told"), (F.col("n_own") - F.coalesce(F.when(F.col("more").isNotNull(), F.size(extra)), F.lit(0))).alias("n_own")))
-    cut.drop(raw, lines)
+    cut.drop(one, lines)
     return done
 
 

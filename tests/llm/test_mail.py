@@ -203,12 +203,12 @@ def test_hot_parts_are_split_and_lose_nothing(spark, monkeypatch):
     df = spark.createDataFrame(rows, LINES)
     plain = sorted(map(tuple, boilerplate(df, df, Cut(spark)).collect()))
     asked = df.select(F.lit(1).cast("long").alias("place"), F.col("at").alias("node"), "print", F.length("text").alias("size"), F.lit(0).cast("long").alias("low"), F.lit(0).cast("long").alias("high"))
-    pairs = sorted(map(tuple, near_matches(asked, asked, DISTANCE, Cut(spark)).collect()))
+    pairs = sorted(map(tuple, near_matches(asked, asked, Cut(spark)).collect()))
     assert len(pairs) > 200 and len(set(pairs)) == len(pairs)
     monkeypatch.setattr("missive.llm.authored.HOT", 3)
     monkeypatch.setattr("missive.llm.authored.FIRST", 2)
     assert sorted(map(tuple, boilerplate(df, df, Cut(spark)).collect())) == plain and len(plain) >= 28 and all(i < "m32" for i, _ in plain)
-    assert sorted(map(tuple, near_matches(asked, asked, DISTANCE, Cut(spark)).collect())) == pairs
+    assert sorted(map(tuple, near_matches(asked, asked, Cut(spark)).collect())) == pairs
 
 
 def test_tables_find_what_differs_in_a_word():
