@@ -28,7 +28,7 @@ BOILERPLATE = 5
 #: Tables that a print is partitioned into: near-matches have one part of 64 / TABLES bits in common.
 TABLES = 8
 #: Prints of one place that are compared in one task; more are split.
-HOT = 50_000
+HOT = 8_000
 #: Near-matches of a print that are verified at first; those that these don't settle are verified against all.
 FIRST = 1000
 
