@@ -33,24 +33,30 @@ HOT = 8_000
 FIRST = 1000
 
 _WORD = re.compile(r"[^\W_]+")
-_STOP = re.compile(r"(?<!\bDr)(?<!\bMr)(?<!\bMs)(?<!\bSr)(?<!\bSt)(?<!\bMrs)(?<!\bNo)(?<!\bNr)(?<!\b[A-ZÀ-Þ])[.!?]+[\"')\]’”»]*\s+")
+_STOP = re.compile(r"[.!?]+[\"')\]’”»]*\s+")
+# What a stop ends that is no sentence; so does one behind a single capital.
+_SHORT = re.compile(r"(?:\b(?:Dr|Mr|Ms|Sr|St|Mrs|No|Nr)|\b[A-ZÀ-Þ])$")
 _ITEM = re.compile(r"(?:[-*•·+–]|\(?\w{1,2}[.)])\s")
-PARSED = "source_id string, imported_at long, told array<int>, n_own int, own_first array<int>, own_last array<int>, own_long array<boolean>, own_print array<long>, own_exact array<long>, own_size array<int>, own_low array<long>, own_high array<long>, own_text array<string>, body_hash int"
+#: What PARSED.own holds of each sentence, one after the other; long is -1 where a sentence is never inherited.
+FIELDS = ("begin", "end", "long", "print", "exact", "size", "low", "high")
+PARSED = "source_id string, imported_at long, told array<int>, n_own int, own array<long>, own_text array<string>, body_hash int"
 
 
 def fingerprints(lines: list[list[str]]) -> np.ndarray:
     """64-bit SimHash of each list of words."""
     if not lines:
         return np.zeros(0, dtype=np.int64)
-    x = np.array([zlib.crc32(w.encode()) for words in lines for w in words], dtype=np.uint64)
+    known: dict[str, int] = {}
+    at = np.array([known.setdefault(w, len(known)) for words in lines for w in words])
+    x = np.array([zlib.crc32(w.encode()) for w in known], dtype=np.uint64)
     size = np.array([len(w) for w in lines])
     start = np.concatenate([[0], size.cumsum()[:-1]])
     for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
         x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
     x ^= x >> np.uint64(31)
     bits = np.unpackbits(x.view(np.uint8).reshape(-1, 8), axis=1)
-    votes = 2 * np.add.reduceat(bits, start, axis=0, dtype=np.int32)
-    tie = bits[start]  # of as many votes for a bit as against it, the first word's
+    votes = 2 * np.add.reduceat(bits[at], start, axis=0, dtype=np.int32)
+    tie = bits[at[start]]  # of as many votes for a bit as against it, the first word's
     return np.packbits((votes > size[:, None]) | ((votes == size[:, None]) & (tie == 1)), axis=1).view(np.int64).ravel()
 
 
@@ -81,7 +87,7 @@ def sentences(own: list[tuple[int, str]]) -> list[tuple[int, int, str]]:
         text = " ".join(x for _, x in run)
         ends = np.cumsum([len(x) + 1 for _, x in run])
         at = 0
-        for stop in [*(m.end() for m in _STOP.finditer(text)), len(text)]:
+        for stop in [*(m.end() for m in _STOP.finditer(text) if not _SHORT.search(text, max(0, m.start() - 4), m.start())), len(text)]:
             if s := text[at:stop].rstrip():
                 first, last = np.searchsorted(ends, (at, at + len(s) - 1), "right")
                 out.append((run[first][0], run[last][0], s))
@@ -99,9 +105,9 @@ def _digest(w: list[str]) -> int:
 
 def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
-        rows, words = [], []
+        rows, words, long, exact, lines, texts = [], [], [], [], [], []
         for body in b["body_raw"]:
-            told, own, first, last, long, exact, text = [], [], [], [], [], [], []
+            told, own = [], []
             raw = LINE.split(body or "")
             for i, (s, kind) in enumerate(parts(body), 1):
                 if kind != OWN:
@@ -109,26 +115,29 @@ def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                         told.append(i)
                 elif s:
                     own.append((i, s))
-            for i, j, s in sentences(own):
+            said = sentences(own)
+            for i, j, s in said:
                 w = _WORD.findall(s.lower())
-                if not w or (len(w) < LONG and _salutes(w, s)):
-                    w = None  # never inherited, but its lines are the sender's own
-                first.append(i)
-                last.append(j)
-                text.append(s)
-                long.append(None if w is None else len(w) >= LONG)
+                lines.append((i, j))
+                texts.append(s)
+                if not w or (len(w) < LONG and _salutes(w, s)):  # never inherited, but its lines are the sender's own
+                    long.append(-1)
+                    exact.append(0)
+                    continue
+                long.append(int(len(w) >= LONG))
+                exact.append(_digest(w))
                 if long[-1]:
                     words.append(w)
-                exact.append(None if w is None else _digest(w))
-            rows.append((told, len(own), first, last, long, exact, text, 0 if body is None else zlib.crc32(body.encode(errors="replace")) - 2**31))
-        hashed = iter(fingerprints(words).tolist())
-        low, high = bags([t for r in rows for t in r[6]]).T
-        at = np.cumsum([0] + [len(r[6]) for r in rows])
-        prints = [[next(hashed) if is_long else x for is_long, x in zip(r[4], r[5], strict=True)] for r in rows]
+            rows.append((told, len(own), len(said), 0 if body is None else zlib.crc32(body.encode(errors="replace")) - 2**31))
+        table = np.zeros((len(texts), len(FIELDS)), dtype=np.int64)
+        if texts:
+            table[:, :2], table[:, 2], table[:, 3], table[:, 4], table[:, 5] = lines, long, exact, exact, [len(t) for t in texts]
+            table[table[:, 2] == 1, 3] = fingerprints(words)
+            table[:, 6:] = bags(texts)
+        at = np.cumsum([0] + [r[2] for r in rows])
         yield pd.DataFrame({
-            "source_id": b["source_id"], "imported_at": b["imported_at"], "told": [r[0] for r in rows], "n_own": [r[1] for r in rows], "own_first": [r[2] for r in rows], "own_last": [r[3] for r in rows],
-            "own_long": [r[4] for r in rows], "own_print": prints, "own_exact": [r[5] for r in rows], "own_size": [[len(t) for t in r[6]] for r in rows],
-            "own_low": [low[x:y] for x, y in zip(at, at[1:], strict=False)], "own_high": [high[x:y] for x, y in zip(at, at[1:], strict=False)], "own_text": [r[6] for r in rows], "body_hash": [r[7] for r in rows],
+            "source_id": b["source_id"], "imported_at": b["imported_at"], "told": [r[0] for r in rows], "n_own": [r[1] for r in rows], "own": [table[x:y].ravel() for x, y in zip(at, at[1:], strict=False)],
+            "own_text": [texts[x:y] for x, y in zip(at, at[1:], strict=False)], "body_hash": [r[3] for r in rows],
         })
 
 
@@ -420,13 +429,13 @@ def authored(mails: DataFrame, clocks: DataFrame, cut: Cut, ties: DataFrame | No
     about = mails.select("source_id", F.unix_micros(F.col("imported_at").cast("timestamp")).alias("imported_at"), _base(F.col("subject")).alias("subject"), _sender(F.col("sender")).alias("sender"), _people(F.col("recipients_json")).alias("people"), "source_name", F.col("sent_timestamp").alias("_text"))
     about = with_instant(about.join(zones, "source_name", "left"), "_text", "_first", "_zone", "instant")
     about = about.groupBy("source_id").agg(F.min_by(F.struct("subject", F.nullif("sender", F.lit("")).alias("sender"), "people", F.coalesce("instant", "imported_at").alias("at")), "imported_at").alias("m"))
-    arrays = ["own_first", "own_last", "own_long", "own_print", "own_exact", "own_size", "own_low", "own_high", "own_text"]
-    one = raw.groupBy("source_id").agg(F.min_by(F.struct("told", "n_own", *arrays), F.struct("imported_at", "body_hash")).alias("p"))
+    one = raw.groupBy("source_id").agg(F.min_by(F.struct("told", "n_own", "own", "own_text"), F.struct("imported_at", "body_hash")).alias("p"))
     one = cut.keep(one.join(about, "source_id").join(ties.select("source_id", "channel"), "source_id", "left").select("source_id", "channel", "m.*", "p.*"))
     cut.drop(raw)
-    own = one.where("size(own_first) > 0").select("source_id", "channel", "subject", "sender", "people", "at", F.posexplode(F.arrays_zip(*arrays)).alias("line_no", "o"))
-    names = ["begin", "end", "long", "print", "exact", "size", "low", "high", "text"]
-    own = own.select("source_id", "channel", "subject", "sender", "people", "at", "line_no", *[F.col(f"o.{a}").alias(n) for a, n in zip(arrays, names, strict=True)])
+    own = one.where("size(own_text) > 0").select("source_id", "channel", "subject", "sender", "people", "at", "own", F.posexplode("own_text").alias("line_no", "text"))
+    field = {n: F.get("own", F.col("line_no") * len(FIELDS) + k) for k, n in enumerate(FIELDS)}
+    short = {n: field[n].cast("int") for n in ("begin", "end", "size")} | {"long": F.when(field["long"] >= 0, field["long"] == 1), "print": F.when(field["long"] >= 0, field["print"]), "exact": F.when(field["long"] >= 0, field["exact"])}
+    own = own.select("source_id", "channel", "subject", "sender", "people", "at", "line_no", *[c.alias(n) for n, c in (field | short).items()], "text")
     lines = cut.keep(own.withColumn("node", F.monotonically_increasing_id()))
     # A line is not newly written if none of its sentences is.
     hits = cut.keep(inherited(lines, lines, cut, None, only).select("source_id", "line_no").distinct().withColumn("hit", F.lit(True)))

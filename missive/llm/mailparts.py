@@ -152,9 +152,11 @@ def parts(body: str) -> list[tuple[str, int]]:
 
 def _close(text: list[str], kind: list[int], own: list[int]) -> None:
     """Marks signatures, footers and notices among the own lines."""
+    whole = "\n".join([text[i] for i in own]).lower()
+    keys = [k for k in _NOTICE_KEYS if k in whole]
     for i in own:
         low = text[i].lower()
-        if (low[0] in "stugevy_lp" and _FOOTER.match(text[i])) or (any(k in low for k in _NOTICE_KEYS) and _NOTICE.search(text[i])):
+        if (low[0] in "stugevy_lp" and _FOOTER.match(text[i])) or (keys and any(k in low for k in keys) and _NOTICE.search(text[i])):
             kind[i] = CLOSING
     at = 0
     while at < len(own):
