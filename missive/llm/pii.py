@@ -10,12 +10,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from missive.session import table
+from missive.session import Cut, table
 
 EMAIL, PHONE, ID_NUMBER, ADDRESS, NAME = TYPES = ("EMAIL", "PHONE", "ID_NUMBER", "ADDRESS", "NAME")
-#: Name words of the correspondents that are sent to every executor (about 100 bytes each); with more, each mail gets
-#: its own through a join.
-MAX_NAMES = 1_000_000
+#: Name words of the correspondents that are sent to every executor (about 100 bytes each, 10 MB at most); with more,
+#: each mail gets its own through a join, with the same result.
+MAX_NAMES = 100_000
 
 # Words that announce numbers of personal documents, social security and tax.
 ID_CUES = (
@@ -39,7 +39,7 @@ TITLES = frozenset("dr mr mrs ms prof professor herr frau mme mlle monsieur mada
 _AFTER = frozenset("and or about und oder et ou y o e en of to via <".split())
 
 _ADDRESS_AT = re.compile(r"[\w.+'-]*[\w+-]@[\w-]+(?:\.[\w-]+)+")
-_LOCAL = re.compile(r"[\w+-][\w.+-]*$")
+_CALL = re.compile(r"\+?\d[\d ().-]{6,}\d")
 _SPELLED = re.compile(r"\s*(?:\[at\]|\(at\)|\{at\}|<at>|\bAT\b|\bat\b)\s*([\w-]+(?:(?:\.|\s*(?:\[dot\]|\(dot\)|\{dot\}|<dot>)\s*|\s+(?:dot|DOT)\s+)[\w-]+)+)")
 _PHONE = re.compile(
     r"(?<![\w.,/#+-])(?:\+\d{1,3}[ .-]?(?:\(0\) ?)?(?:\(\d{1,5}\) ?)?\d{1,5}(?:[ ./-]?\d{2,5}){1,5}|00\d{1,3}[ .-](?:\(0\) ?)?\d{1,4}(?:[ ./-]\d{2,5}){1,5}|\(\d{2,5}\) ?\d{2,4}(?:[ .-]?\d{2,4}){1,3}"
@@ -62,7 +62,26 @@ _POSTAL = re.compile(
     rf"|(?:(?:Am|An der|An den|Auf der|Auf dem|Im|In der|Zum|Zur|Unter den|Alte|Alter|Neue|Neuer) )?{_CAP}(?: {_CAP})? \d+ ?[a-z]?, (?:D-)?\d{{5}} {_CITY}"
     rf"|{_CAP}(?:straat|laan|weg|plein|gracht|kade) \d+ ?[a-z]?, \d{{4}} ?[A-Z]{{2}} {_CITY})"
 )
-_WORD = re.compile(r"[A-ZÀ-Þ][\w'’]*(?:-[A-ZÀ-Þ][\w'’]*)*")
+_UPPER = "".join(chr(c) for c in range(0x250) if chr(c).isupper()) + "".join(chr(c) for c in range(0x370, 0x530) if chr(c).isupper())
+_WORD = re.compile(rf"[{_UPPER}][\w'’]*(?:-[{_UPPER}][\w'’]*)*")
+_INITIALS = re.compile(rf"(?:^|[^\w.])([{_UPPER}]\. (?:[{_UPPER}]\. )?)$")
+
+
+def _forms(word: str) -> set[str]:
+    """The forms in which a capitalised word is looked up among names."""
+    low = word.lower()
+    bare = low.rstrip("'’")
+    return {low, bare, bare[:-2] if bare.endswith(("'s", "’s")) else bare}
+
+
+def _local(text: str, at: int) -> int:
+    """Where the local part of an address that ends before ``at`` begins."""
+    i = at
+    while i and (text[i - 1].isalnum() or text[i - 1] in "_.+-"):
+        i -= 1
+    while i < at and text[i] == ".":
+        i += 1
+    return i
 
 
 class Finder:
@@ -71,7 +90,7 @@ class Finder:
     def __init__(self, given: set[str], family: set[str]):
         self.given, self.family = given, family
         self.anchors = ahocorasick.Automaton()
-        for kind, words in (("id", ID_CUES), ("street", STREET_CUES), ("at", ("[at]", "(at)", "{at}", "<at>", " at ")), ("@", ("@",))):
+        for kind, words in (("id", ID_CUES), ("street", STREET_CUES), ("at", ("[at]", "(at)", "{at}", "<at>", " at ")), ("@", ("@",)), ("call", ("tel:", "callto:", "sms:", "fax:"))):
             for w in words:
                 self.anchors.add_word(w, (kind, len(w)))
         self.anchors.make_automaton()
@@ -87,20 +106,24 @@ class Finder:
         if len(low) != len(text):
             low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
         taken: list[tuple[int, int, str]] = []
-        ids, lines = [], {}
+        ids, lines, calls = [], {}, []
         for end, (kind, size) in self.anchors.iter(low):
             at = end + 1 - size
             if kind == "@":
-                begin = max(0, at - 80)
-                m = _LOCAL.search(text[begin:at])
-                if m and (m := _ADDRESS_AT.match(text, begin + m.start())):
+                begin = _local(text, at)
+                if begin < at and (m := _ADDRESS_AT.match(text, begin)):
                     taken.append((m.start(), m.end(), EMAIL))
             elif kind == "at":
-                begin = max(0, at - 80)
-                m = _LOCAL.search(text[begin:at].rstrip(" "))
-                rest = m and _SPELLED.match(text, begin + m.end())
+                stop = at
+                while stop and text[stop - 1] == " ":
+                    stop -= 1
+                begin = _local(text, stop)
+                rest = begin < stop and _SPELLED.match(text, stop)
                 if rest and (text[at : end + 1].strip() not in ("at",) or re.search(r"\bdot\b|\(dot\)|\[dot\]", rest.group(1))) and "\n" not in rest.group(0):
-                    taken.append((begin + m.start(), rest.end(), EMAIL))
+                    taken.append((begin, rest.end(), EMAIL))
+            elif kind == "call":
+                if (m := _CALL.match(text, end + 1)) and 8 <= sum(c.isdigit() for c in m.group()) <= 15:
+                    calls.append((m.start(), m.end(), PHONE))
             elif kind == "id":
                 if (at == 0 or not low[at - 1].isalnum()) and (end + 1 == len(low) or not low[end + 1].isalnum() or low[end + 1].isdigit()):
                     ids.append(end + 1)
@@ -121,6 +144,7 @@ class Finder:
             if _NUMBER.search(text, a, b):
                 found += [(m.start(), m.end(), ADDRESS) for m in _POSTAL.finditer(text, a, b)]
         out = self._keep(out, found)
+        out = self._keep(out, calls)
         calls = [m for c in _DIGITS.finditer(text) for m in _PHONE.finditer(text, c.start(), c.end() + 22) if m.start() < c.end()]
         out = self._keep(out, [(m.start(), m.end(), PHONE) for m in calls if 8 <= sum(c.isdigit() for c in re.sub(r"(?i)\s*(?:ext|x|app|durchwahl|poste).*", "", m.group())) <= 15])
         out = self._keep(out, self._names(text, out))
@@ -128,11 +152,15 @@ class Finder:
 
     @staticmethod
     def _keep(old: list, new: list) -> list:
-        out = list(old)
+        """old, which don't overlap, and those of new that overlap neither them nor one before, in order of place."""
+        out, k, last = [], 0, 0
         for s in sorted(set(new), key=lambda x: (x[0], -x[1])):
-            if all(s[1] <= o[0] or s[0] >= o[1] for o in out):
+            while k < len(old) and old[k][1] <= s[0]:
+                k += 1
+            if s[0] >= last and (k == len(old) or s[1] <= old[k][0]):
                 out.append(s)
-        return out
+                last = s[1]
+        return sorted([*old, *out])
 
     def _names(self, text: str, taken: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
         out, spans = [], sorted(taken)
@@ -159,11 +187,13 @@ class Finder:
             before = text[max(0, a - 12) : a]
             title = re.search(r"(?:^|[^\w])(\w+)\.? $", before)
             titled = bool(title and title.group(1).lower() in TITLES and title.group(1)[0].isupper())
-            initial = dotted and re.search(r"(?:^|[^\w.])([A-ZÀ-Þ]\. (?:[A-ZÀ-Þ]\. )?)$", before)
+            initial = dotted and _INITIALS.search(before)
             if not (given or family or titled or initial):
                 continue
             after = _WORD.match(text, b + 1) if text[b : b + 1] == " " else None
             nxt = after.group().lower().rstrip("'’") if after else ""
+            if nxt.endswith(("'s", "’s")):
+                nxt = nxt[:-2]
             if given and nxt in self.family:
                 out.append((a, b + 1 + len(nxt), NAME))
             elif family and not given and text[b : b + 2] == ", " and (g := _WORD.match(text, b + 2)) and g.group().lower() in self.given and text[g.end() : g.end() + 1] in ("", "\n", "\r", '"', " ", "<") and a and text[a - 1] in '":\n ' and re.search(r"(?:\"|: )$", before):
@@ -198,9 +228,9 @@ class Finder:
 
 def name_words(mails: DataFrame) -> DataFrame:
     """(word, given, family): the words of the display names in sender and recipients_json, in lower case, by role."""
-    word = r"([A-ZÀ-Þ][\w'’-]+)"
+    word = r"(\p{Lu}[\w'’-]+)"
     text = F.concat_ws(" ; ", F.col("sender"), F.col("recipients_json"))
-    both = [(rf"(?:^|[\"(;,\s]){word} {word}\\?\"? *(?:<|\))", 1, 2), (rf"{word}, {word}\\?\"? *<", 2, 1)]
+    both = [(rf"(?U)(?:^|[\"(;,\s]){word} {word}\\?\"? *(?:<|\))", 1, 2), (rf"(?U){word}, {word}\\?\"? *<", 2, 1)]
     words = []
     for p, given, family in both:
         for group, role in ((given, 1), (family, 0)):
@@ -218,22 +248,28 @@ def _searched(mails: DataFrame, rows: DataFrame, columns: list[str], each: Calla
     """
     names = name_words(mails)
     bounded = names.limit(MAX_NAMES + 1).collect()
+    sent = None
     if len(bounded) <= MAX_NAMES:
-        given, family = {r["word"] for r in bounded if r["given"]}, {r["word"] for r in bounded if r["family"]}
-        own = None
+        sent = rows.sparkSession.sparkContext.broadcast(tuple("\n".join(sorted(r["word"] for r in bounded if r[role])) for role in ("given", "family")))
     else:
-        given, family, own = set(), set(), True
         rows = rows.withColumn("row", F.monotonically_increasing_id())
-        caps = rows.select("row", F.explode(F.array_distinct(F.transform(F.regexp_extract_all(F.concat_ws("\n", *columns), F.lit(r"([A-ZÀ-Þ][\w'’-]*)")), F.lower))).alias("word"))
+
+        def capitals(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                found = [sorted({f for c in columns for m in _WORD.finditer(texts[c] or "") for f in _forms(m.group())}) for texts in b[columns].to_dict("records")]
+                yield pd.DataFrame({"row": b["row"], "words": found})
+
+        rows = Cut(rows.sparkSession).keep(rows)  # its numbers must not change between the two readings
+        caps = rows.select("row", *columns).mapInPandas(capitals, "row long, words array<string>").select("row", F.explode("words").alias("word"))
         roles = caps.join(names, "word").groupBy("row").agg(F.collect_set(F.when(F.col("given"), F.col("word"))).alias("given"), F.collect_set(F.when(F.col("family"), F.col("word"))).alias("family"))
         rows = rows.join(roles, "row", "left").drop("row")
 
     def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shared = Finder(given, family)
+        shared = Finder(*({w for w in words.split("\n") if w} for words in (sent.value if sent else ("", ""))))
         for b in batches:
 
             def items(i: int, text: str | None) -> list[tuple[int, int, str]]:
-                if own:
+                if not sent:
                     g, f = b["given"].iloc[i], b["family"].iloc[i]  # noqa: B023
                     shared.given, shared.family = set(g) if g is not None else set(), set(f) if f is not None else set()
                 return shared.items(text)
@@ -243,18 +279,25 @@ def _searched(mails: DataFrame, rows: DataFrame, columns: list[str], each: Calla
     return rows.mapInPandas(part, kind)
 
 
+def _once(mails: DataFrame, column: str) -> DataFrame:
+    """mails with their order among rows of one source_id: the first imported counts, of those the least text's hash."""
+    imported = F.unix_micros(F.col("imported_at").cast("timestamp")) if "imported_at" in mails.columns else F.lit(0).cast("long")
+    return mails.withColumn("order_at", F.coalesce(imported, F.lit(0).cast("long"))).withColumn("order_by", F.xxhash64(column))
+
+
 def found(mails: DataFrame, column: str = "body_raw") -> DataFrame:
-    """(source_id, starts, ends, types) of each row of mails: every item in the column, types counted from 0 in TYPES.
+    """(source_id, starts, ends, types, order_at, order_by) of each row of mails: every item in the column, types counted from 0 in TYPES.
 
     Names are those of the mails' correspondents, and what follows a title or an initial. Null texts have no items.
+    order_at and order_by order rows of one source_id (_once()).
     """
 
     def each(b: pd.DataFrame, items: Callable) -> pd.DataFrame:
         got = [items(i, text) for i, text in enumerate(b["text"])]
-        return pd.DataFrame({"source_id": b["source_id"], "starts": [[s for s, _, _ in x] for x in got], "ends": [[e for _, e, _ in x] for x in got], "types": [[TYPES.index(t) for _, _, t in x] for x in got]})
+        return pd.DataFrame({"source_id": b["source_id"], "starts": [[s for s, _, _ in x] for x in got], "ends": [[e for _, e, _ in x] for x in got], "types": [[TYPES.index(t) for _, _, t in x] for x in got], "order_at": b["order_at"], "order_by": b["order_by"]})
 
-    rows = mails.select("source_id", F.col(column).alias("text"))
-    return _searched(mails, rows, ["text"], each, "source_id string, starts array<int>, ends array<int>, types array<int>")
+    rows = _once(mails, column).select("source_id", F.col(column).alias("text"), "order_at", "order_by")
+    return _searched(mails, rows, ["text"], each, "source_id string, starts array<int>, ends array<int>, types array<int>, order_at long, order_by long")
 
 
 def _exploded(items: DataFrame) -> DataFrame:
@@ -265,7 +308,7 @@ def _exploded(items: DataFrame) -> DataFrame:
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per item in body_raw: source_id, start_pos, end_pos, pii_type."""
-    items = found(table(spark, sf_dir, "emails")).groupBy("source_id").agg(F.max(F.struct("starts", "ends", "types")).alias("i"))
+    items = found(table(spark, sf_dir, "emails")).groupBy("source_id").agg(F.min_by(F.struct("starts", "ends", "types"), F.struct("order_at", "order_by")).alias("i"))
     return _exploded(items.select("source_id", "i.starts", "i.ends", "i.types"))
 
 
@@ -290,4 +333,6 @@ def masked(mails: DataFrame) -> DataFrame:
 
 def p6_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """body_raw, sender and recipients_json of each mail with a placeholder such as [EMAIL] for each item."""
-    return masked(table(spark, sf_dir, "emails").dropDuplicates(["source_id"]))
+    mails = _once(table(spark, sf_dir, "emails"), "body_raw")
+    first = mails.groupBy("source_id").agg(F.min_by(F.struct("body_raw", "sender", "recipients_json"), F.struct("order_at", "order_by")).alias("m"))
+    return masked(first.select("source_id", "m.*"))

@@ -254,3 +254,20 @@ def test_bags_bound_the_edits():
         x, y = bags(["".join(a), "".join(b)]).view(np.uint8).astype(int)
         assert np.maximum(x - y, 0).sum() <= n and np.maximum(y - x, 0).sum() <= n and x.sum() == len(a)
     assert bags([]).shape == (0, 2)
+
+
+def test_both_routes_find_the_same_names(spark, monkeypatch):
+    senders = ["Anna Müller <a@x.example>", "Zoë Núñez <z@x.example>", "Ann Smith <s@x.example>", "Jean-Luc O'Neil <j@x.example>", "Željko Čapek <c@x.example>"]
+    bodies = ["Please read Smith's note.", "Anna Müller's and Zoë Núñez’ part", "Jean-Luc O'Neil, Anna' and (Čapek)", "Željko Čapek", "Smith-Müller or SMITH", "x" * 200 + ".y@long.example and tel:5550116789"]
+    df = spark.createDataFrame([(str(i), s, None, b) for i, (s, b) in enumerate(zip([*senders, None], bodies, strict=True))], "source_id string, sender string, recipients_json string, body_raw string")
+    first = sorted(tuple(r) for r in found(df).collect())
+    names = [[bodies[int(r[0])][a:b] for a, b in zip(r[1], r[2], strict=True)] for r in first]
+    assert names[0] == ["Smith"] and names[1] == ["Anna Müller", "Zoë Núñez"] and "Jean-Luc O'Neil" in names[2] and "Čapek" in names[2] and names[3] == ["Željko Čapek"] and names[5] == ["x" * 200 + ".y@long.example", "5550116789"]
+    monkeypatch.setattr("missive.llm.pii.MAX_NAMES", 0)
+    assert sorted(tuple(r) for r in found(df).collect()) == first
+
+
+def test_spans_are_kept_in_linear_time():
+    assert Finder._keep([(0, 2, "A"), (5, 9, "A")], [(1, 3, "B"), (2, 5, "B"), (3, 4, "B"), (8, 10, "B"), (9, 10, "B")]) == [(0, 2, "A"), (2, 5, "B"), (5, 9, "A"), (9, 10, "B")]
+    many = [(i, i + 1, "B") for i in range(200_000)]
+    assert len(Finder._keep([], many)) == 200_000
