@@ -8,14 +8,17 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from missive.llm.words import words
 from missive.session import table
 
 #: Token positions that the seeds compare; the others may differ.
 MASKS = ((0, 1, 2, 4, 5), (0, 1, 3, 4, 6), (0, 2, 3, 5, 6, 8))
-#: Passages whose seeds are sent to the executors at once (about 20 KB each); more are taken in blocks of so many.
-BLOCK = 20_000
+#: Characters of passages whose seeds are sent to the executors at once (about 20 bytes each); more are taken in blocks.
+BLOCK = 4_000_000
+#: Words of documents that are searched at once.
+CHUNK = 500_000
 #: Share of a passage's words that must stand in a document, in the passage's order.
 SHARE = 0.4
 #: Share of a passage's words under seeds, in one region of the document, from which it is aligned.
@@ -38,9 +41,13 @@ class Seeds:
         self.stride = np.array([len(w) + APART for w in self.words.values()])
         self.need = np.array([COVER * len(w) for w in self.words.values()])
         for k in range(len(MASKS)):
-            rows = [(h, i, at) for i, w in enumerate(self.words.values()) for at, h in zip(*self.hashes(w, k), strict=True)]
-            rows.sort(key=lambda r: r[0])
-            self.table.append((np.array([r[0] for r in rows], dtype=np.uint64), np.array([(r[1], r[2]) for r in rows], dtype=np.int64).reshape(-1, 2)))
+            rows = [(i, *self.hashes(w, k)) for i, w in enumerate(self.words.values())]
+            keys = np.concatenate([np.zeros(0, dtype=np.uint64), *[h for _, _, h in rows]])
+            where = np.concatenate([np.zeros((0, 2), dtype=np.int64), *[np.stack([np.full(len(at), i), at], 1) for i, at, _ in rows]])
+            order = np.argsort(keys, kind="stable")
+            seen = np.zeros(1 << 20, dtype=bool)  # which ends of hashes there are: a first look
+            seen[(keys & np.uint64(0xFFFFF)).astype(np.int64)] = True
+            self.table.append((keys[order], where[order], seen))
 
     def hashes(self, tokens: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Positions and hashes of the windows whose selected words are all known."""
@@ -57,40 +64,53 @@ class Seeds:
             h = (h ^ (x ^ (x >> np.uint64(29)))) * np.uint64(0x9E3779B97F4A7C15)
         return at, h
 
-    def hits(self, tokens: np.ndarray) -> Iterator[tuple[int, set[tuple[int, int]]]]:
-        """Passages of which common seeds cover COVER of the words in some region, with (document, passage) positions under seeds."""
-        parts = []
+    def search(self, texts: list[list[int]]) -> Iterator[tuple[int, int, np.ndarray, set[tuple[int, int]]]]:
+        """(text, item, its words, pairs) of passages of which common seeds cover COVER of the words in some region of a text.
+
+        pairs are the (document, passage) positions under the seeds. The texts, given by their words' numbers, stand one
+        after the other, with as many unknown words between as no window spans, and are hashed as one.
+        """
+        gap = max(m[-1] for m in MASKS)
+        sizes = np.array([len(t) for t in texts], dtype=np.int64)
+        begin = np.concatenate([[0], np.cumsum(sizes + gap)[:-1]]) if len(texts) else sizes
+        tokens = np.zeros(int(sizes.sum() + gap * len(texts)), dtype=np.uint64)
+        if len(tokens):
+            tokens[np.repeat(begin - np.concatenate([[0], sizes.cumsum()[:-1]]), sizes) + np.arange(sizes.sum())] = np.concatenate([np.array(t, dtype=np.uint64) for t in texts])
+        parts = [np.zeros((0, 4), dtype=np.int64)]
         for k, mask in enumerate(MASKS):
             at, h = self.hashes(tokens, k)
-            keys, where = self.table[k]
-            if not len(at) or not len(keys):
-                continue
+            keys, where, seen = self.table[k]
+            new = seen[(h & np.uint64(0xFFFFF)).astype(np.int64)]
+            at, h = at[new], h[new]
             low, high = np.searchsorted(keys, h, "left"), np.searchsorted(keys, h, "right")
             n = high - low
-            if not n.any():
-                continue
-            d = np.repeat(at, n)
-            w = where[np.repeat(low - np.concatenate([[0], n.cumsum()[:-1]]), n) + np.arange(n.sum())]
-            parts += [np.stack([w[:, 0], d + o, w[:, 1] + o], 1) for o in mask]
-        if not parts:
-            return
+            d, w = np.repeat(at, n), where[np.repeat(low - np.concatenate([[0], n.cumsum()[:-1]])[: len(n)], n) + np.arange(n.sum())]
+            text = np.searchsorted(begin, d, "right") - 1
+            d = d - begin[text]
+            parts += [np.stack([text, w[:, 0], d + o, w[:, 1] + o], 1) for o in mask]
         rows = np.concatenate(parts)
-        near = rows[:, 1] // self.stride[rows[:, 0]]
-        seen = np.concatenate([np.stack([rows[:, 0], near + shift, rows[:, 2]], 1) for shift in (0, 1)])
-        where = np.unique(seen[:, 0] << 44 | seen[:, 1] << 20 | seen[:, 2]) >> 20
-        where, covered = np.unique(where, return_counts=True)
-        where = where[covered >= self.need[where >> 24]]
-        for i in np.unique(where >> 24):
-            own, at = rows[:, 0] == i, where[where >> 24 == i] & 0xFFFFFF
-            own &= np.isin(near, at) | np.isin(near + 1, at)
-            yield self.items[i], set(map(tuple, rows[own, 1:].tolist()))
+        rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
+        starts = np.nonzero(np.any(rows[1:, :2] != rows[:-1, :2], axis=1))[0] + 1
+        for own in np.split(rows, starts):
+            if not len(own) or len(np.unique(own[:, 3])) < self.need[own[0, 1]]:
+                continue
+            i, text = int(own[0, 1]), int(own[0, 0])
+            near = own[:, 2] // self.stride[i]
+            cells = np.unique(np.concatenate([np.stack([near + shift, own[:, 3]], 1) for shift in (0, 1)]), axis=0)[:, 0]
+            cells, covered = np.unique(cells, return_counts=True)
+            cells = cells[covered >= self.need[i]]
+            if len(cells):
+                own = own[np.isin(near, cells) | np.isin(near + 1, cells)]
+                yield text, self.items[i], tokens[begin[text] : begin[text] + sizes[text]], set(map(tuple, own[:, 2:].tolist()))
 
 
 def _aligned(doc: np.ndarray, passage: np.ndarray, pairs: set[tuple[int, int]]) -> list[tuple[int, int, int, int, int]]:
     """Stretches (document start and end, passage start and end, matching words) around the seeded pairs."""
     chains: list[list[tuple[int, int]]] = []
+    live: list[list[tuple[int, int]]] = []  # those that the next pair is near enough to
     for d, p in sorted(pairs):
-        for chain in reversed(chains[-12:]):
+        live = [c for c in live if d - c[-1][0] <= STEP]
+        for chain in reversed(live):
             d0, p0 = chain[-1]
             if 0 <= d - d0 <= STEP and 0 <= p - p0 <= STEP and abs((d - d0) - (p - p0)) <= 3 and (d, p) != (d0, p0):
                 if d > d0 and p > p0:
@@ -98,6 +118,7 @@ def _aligned(doc: np.ndarray, passage: np.ndarray, pairs: set[tuple[int, int]])
                 break
         else:
             chains.append([(d, p)])
+            live.append(chains[-1])
     out = []
     for chain in chains:
         got = list(chain)
@@ -144,37 +165,45 @@ def leaked(documents: DataFrame, passages: DataFrame) -> DataFrame:
 
     Fixed masks select token positions, and equal hashes of the selected words seed an alignment that tolerates
     changed and missing words between. Case, accents, punctuation and layout don't count. The passages are the stated
-    query set: they go to the executors in blocks of BLOCK, each against all documents, so no document moves. Null and
+    query set: they go to the executors in blocks of BLOCK characters, each against all documents, so no document moves. Null and
     empty texts and passages with fewer words than a mask contain and are contained in nothing; repeated rows count
     once; of rows that repeat an item_id the longest passage counts.
     """
-    items = passages.where("item_id is not null and passage is not null").groupBy("item_id").agg({"passage": "max"}).toDF("item_id", "passage")
+    items = passages.where("item_id is not null and passage is not null").groupBy("item_id").agg(F.max_by("passage", F.struct(F.length("passage"), "passage")).alias("passage"))
     items = items.orderBy("item_id").toLocalIterator()
-    results, block = [], {}
+    results, block, size = [], {}, 0
     rows = documents.select("doc_id", "text").where("text is not null and doc_id is not null")
 
     def search(block: dict[int, str]) -> DataFrame:
-        made: list[Seeds] = []
+        sent = documents.sparkSession.sparkContext.broadcast(Seeds(block))
 
         def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            if not made:
-                made.append(Seeds(block))
-            s = made[0]
+            s = sent.value
+            get = s.ids.get
             for b in batches:
-                out = []
+                out, ids, texts, size = [], [], [], 0
+
+                def judged() -> list[tuple]:
+                    return [(ids[t], item) for t, item, tokens, pairs in s.search(texts) if contained(tokens, s.words[item], pairs)]  # noqa: B023
+
                 for doc_id, text in zip(b["doc_id"], b["text"], strict=True):
-                    get = s.ids.get
-                    tokens = np.array([get(w, 0) for w in words(text)], dtype=np.uint64)
-                    out += [(doc_id, item) for item, pairs in s.hits(tokens) if contained(tokens, s.words[item], pairs)]
+                    ids.append(doc_id)
+                    texts.append([get(w, 0) for w in words(text)])
+                    size += len(texts[-1])
+                    if size > CHUNK:
+                        out += judged()
+                        ids, texts, size = [], [], 0
+                out += judged()
                 yield pd.DataFrame(out, columns=["doc_id", "item_id"])
 
         return rows.mapInPandas(part, f"doc_id {documents.schema['doc_id'].dataType.simpleString()}, item_id {passages.schema['item_id'].dataType.simpleString()}")
 
     for row in items:
         block[row["item_id"]] = row["passage"]
-        if len(block) == BLOCK:
+        size += len(row["passage"])
+        if size >= BLOCK:
             results.append(search(block))
-            block = {}
+            block, size = {}, 0
     results.append(search(block))
     return reduce(DataFrame.unionAll, results).distinct()
 
@@ -185,6 +214,6 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p9_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For each evaluation suite, its leaked items and the documents they leaked into."""
-    found = p9_found(spark, sf_dir).join(table(spark, sf_dir, "eval_passages").select("item_id", "suite"), "item_id")
-    return found.groupBy("suite").agg({"item_id": "approx_count_distinct", "doc_id": "count"}).toDF("suite", "n_items", "n_pairs")
+    """For each evaluation suite, its leaked items, the documents they leaked into, and the pairs of both."""
+    found = p9_found(spark, sf_dir).join(table(spark, sf_dir, "eval_passages").select("item_id", "suite").distinct(), "item_id")
+    return found.groupBy("suite").agg(F.count_distinct("item_id").alias("n_items"), F.count_distinct("doc_id").alias("n_documents"), F.count("*").alias("n_pairs"))
