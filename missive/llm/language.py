@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from missive.functions.ids import valued
@@ -23,8 +23,14 @@ SPELLINGS = {
     "nl": ("nl", "nld", "dut", "dutch", "nederlands"), "es": ("es", "spa", "spanish", "español", "espanol", "castellano"),
     "fr": ("fr", "fra", "fre", "french", "français", "francais"), "pt": ("pt", "por", "portuguese", "português", "portugues"),
 }
-#: Labelled documents of each language, and characters of each, that the classifier is fitted on: the bound of its sample.
-SAMPLE, SAMPLE_CHARS = 120, 1500
+# Common words of each language that its relatives don't have, for corpora that label none of its texts.
+COMMON = {
+    "de": "und der das nicht ist mit für auf ein eine werden wird auch sich wir", "en": "the and of to is that for with this are was be will you from",
+    "nl": "het een van niet zijn voor met aan worden ook wij maar deze naar wordt", "es": "el los las y del una por para con está que se pero como más",
+    "fr": "le les des et est dans une pour pas sur avec nous que qui sont", "pt": "o os não uma para com em do da dos das são mas como está",
+}
+#: Labelled documents of each language that the classifier is fitted on: the bound of its sample.
+SAMPLE = 120
 DIM, EPOCHS, RATE = 1 << 15, 3, 0.5
 #: What a change of language costs against the summed margins of words; words under which a sentence is not sure alone.
 SWITCH = 6.0
@@ -53,16 +59,14 @@ def features(word: str) -> np.ndarray:
 class Tree:
     """A linear separator of the families, and one for each pair of languages within a family."""
 
-    def __init__(self, weights: np.ndarray):
-        self.weights, self.ids = weights, {}
+    def __init__(self, weights: np.ndarray, slope: float = 4.0):
+        self.weights, self.slope, self.ids = weights, slope, {}
         self.rows = np.zeros((1024, len(weights)))
 
     def word(self, word: str) -> int:
-        """The row of a word's clipped margins; rows are kept up to a fixed number of words."""
+        """The row of a word's clipped margins."""
         got = self.ids.get(word)
         if got is None:
-            if len(self.ids) >= 300_000:
-                self.ids.clear()
             f, got = features(word), len(self.ids)
             if got == len(self.rows):
                 self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
@@ -70,29 +74,62 @@ class Tree:
             self.ids[word] = got
         return got
 
-    def scores(self, groups: list[list[str]]) -> np.ndarray:
-        """Of each group of words a score for each of CODES: the family's margin, and the least against its relatives."""
-        if sum(map(len, groups)) > 200_000 and len(groups) > 1:
-            return np.concatenate([self.scores(groups[: len(groups) // 2]), self.scores(groups[len(groups) // 2 :])])
-        if len(self.ids) + sum(map(len, groups)) > 300_000:
+    def margins(self, groups: list[list[str]]) -> np.ndarray:
+        """Of each group of words the summed margin of each separator; groups are taken in slices that the words' rows outlive."""
+        out, i = [np.zeros((0, len(self.weights)))], 0
+        while i < len(groups):
+            j, n = i, 0
+            while j < len(groups) and (j == i or n + len(groups[j]) <= 100_000):
+                n += len(groups[j])
+                j += 1
+            if n > 100_000:  # one long sentence: its words in slices
+                out.append(sum(self._summed([groups[i][k : k + 100_000]]) for k in range(0, n, 100_000)))
+            else:
+                out.append(self._summed(groups[i:j]))
+            i = j
+        return np.concatenate(out)
+
+    def _summed(self, groups: list[list[str]]) -> np.ndarray:
+        if len(self.ids) > 200_000:
             self.ids.clear()
-        flat = np.array([self.word(w) for g in groups for w in g])
-        s = np.add.reduceat(self.rows[flat], np.cumsum([0] + [len(g) for g in groups[:-1]]))
-        out = []
+        get, word = self.ids.get, self.word
+        flat = np.array([i if (i := get(w)) is not None else word(w) for g in groups for w in g])
+        return np.add.reduceat(self.rows[flat], np.cumsum([0] + [len(g) for g in groups[:-1]]))
+
+    def scores(self, groups: list[list[str]]) -> np.ndarray:
+        """Of each group of words a score for each of CODES."""
+        return self.scored(self.margins(groups))
+
+    @staticmethod
+    def scored(s: np.ndarray) -> np.ndarray:
+        """Margins as scores of CODES: the family first; within the better one, the least margin against its relatives.
+
+        A language of the other family has the family's margin against it, however its duels end.
+        """
+        out = np.zeros((len(s), len(CODES)))
         for sign, family in zip((1, -1), FAMILIES.values(), strict=True):
+            duels = []
             for code in family:
                 duel = [s[:, 1 + i] if a == code else -s[:, 1 + i] for i, (a, b) in enumerate(_PAIRS) if code in (a, b)]
-                out.append(sign * s[:, 0] / 2 + np.minimum(*duel) / 2)
-        return np.stack(out, 1)
+                duels.append(np.minimum(*duel))
+            within = np.stack(duels, 1)
+            lead = within - within.max(1)[:, None]
+            for k, code in enumerate(family):
+                out[:, CODES.index(code)] = sign * s[:, 0] / 2 + np.where(sign * s[:, 0] >= 0, within[:, k], lead[:, k]) / 2
+        return out
 
 
 def fit(texts: list[tuple[str, str]]) -> Tree:
     """Linear support vector machines over (code, sentence), by averaged subgradient steps on the hinge loss.
 
-    Sentences whose label the first fit contradicts are left out of the second, since some labels are wrong.
+    Sentences whose label the first fit contradicts are left out of the second, since some labels are wrong. Every
+    fifth sentence is held out, and the slope of the confidence is the one that makes its labels likeliest.
     """
-    rows = []
-    for code, text in texts:
+    rows, held = [], []
+    for k, (code, text) in enumerate(texts):
+        if k % 5 == 4:
+            held.append((CODES.index(code), WORD.findall(text)))
+            continue
         f = [features(w) for w in WORD.findall(text)]
         if len(f) >= 4:
             x = np.concatenate([g for g in f])
@@ -117,6 +154,15 @@ def fit(texts: list[tuple[str, str]]) -> Tree:
             total += w
             n += 1
         tree = Tree(total / max(n, 1))
+    held = [(c, w) for c, w in held if len(w) >= 4]
+    if held:
+        scores, size = tree.scores([w for _, w in held]), np.array([len(w) for _, w in held])
+        best = scores.argmax(1)
+        rest = scores.copy()
+        rest[np.arange(len(best)), best] = -np.inf
+        gap, right = (scores.max(1) - rest.max(1)) / size, best == np.array([c for c, _ in held])
+        likely = lambda a: -np.logaddexp(0, np.where(right, -a * gap, a * gap)).sum()
+        tree.slope = max((0.5, 1.0, 2.0, 4.0, 8.0, 16.0, 32.0), key=likely)
     return tree
 
 
@@ -131,53 +177,87 @@ def sentences(text: str) -> list[tuple[int, int]]:
 
 
 def stretches(text: str, tree: Tree) -> list[tuple[int, int, str, float]]:
-    """(start, end, code, confidence) of the longest stretches of whole sentences in one language.
+    """(start, end, code, confidence) of the longest stretches of whole sentences in one language (stretches_of())."""
+    return stretches_of([text], tree)[0]
+
+
+def stretches_of(texts: list[str], tree: Tree) -> list[list[tuple[int, int, str, float]]]:
+    """Of each text (start, end, code, confidence) of the longest stretches of whole sentences in one language.
 
     The languages of a text's sentences are those whose summed scores, less SWITCH for each change, are highest.
-    Sentences without words go with those before them, within a stretch only.
+    Sentences without words go with those before them, within a stretch only. The sentences of all texts are scored
+    at once.
     """
-    parts = []
-    for a, b in sentences(text):
-        found = [w for w in WORD.findall(text[a:b]) if not w[0].isdigit()]
-        if found:
-            parts.append((a, b, found))
-    if not parts:
-        return []
-    scores = tree.scores([p[2] for p in parts])
-    parts = [(a, b, s, len(found)) for (a, b, found), s in zip(parts, scores, strict=True)]
-    best, back = parts[0][2].copy(), []
-    for _, _, s, _ in parts[1:]:
+    places, groups, ends = [], [], [0]
+    for text in texts:
+        for a, b in sentences(text):
+            found = [w for w in WORD.findall(text, a, b) if not w[0].isdigit()]
+            if found:
+                places.append((a, b))
+                groups.append(found)
+        ends.append(len(groups))
+    scores, size = tree.scores(groups), [len(g) for g in groups]
+    first = scores.argmax(1) if groups else np.zeros(0, dtype=np.int64)
+    out = []
+    for text, x, y in zip(texts, ends, ends[1:], strict=False):
+        path = first[x:y]
+        if y > x and (path != path[0]).any():  # sentences that agree need no search
+            path = _path(scores[x:y])
+        done, i = [], x
+        while i < y:
+            j = i
+            while j + 1 < y and path[j + 1 - x] == path[i - x]:
+                j += 1
+            total, n, k = scores[i : j + 1].sum(0), sum(size[i : j + 1]), int(path[i - x])
+            gap = (total[k] - max(v for c, v in enumerate(total) if c != k)) / n
+            a, b = places[i][0], places[j][1]
+            done.append((a + len(text[a:b]) - len(text[a:b].lstrip()), a + len(text[a:b].rstrip()), CODES[k], float(1 / (1 + np.exp(-tree.slope * gap)))))
+            i = j + 1
+        out.append(done)
+    return out
+
+
+def _path(scores: np.ndarray) -> list[int]:
+    best, back = scores[0].copy(), []
+    for s in scores[1:]:
         stay, jump = best, best.max() - SWITCH
-        come = np.where(stay >= jump, np.arange(len(CODES)), best.argmax())
-        back.append(come)
+        back.append(np.where(stay >= jump, np.arange(len(CODES)), best.argmax()))
         best = np.maximum(stay, jump) + s
     path = [int(best.argmax())]
     for come in reversed(back):
         path.append(int(come[path[-1]]))
-    path.reverse()
-    out = []
-    i = 0
-    while i < len(parts):
-        j = i
-        while j + 1 < len(parts) and path[j + 1] == path[i]:
-            j += 1
-        total, n = sum(p[2] for p in parts[i : j + 1]), sum(p[3] for p in parts[i : j + 1])
-        gap = (total[path[i]] - np.delete(total, path[i]).max()) / n
-        a, b = parts[i][0], parts[j][1]
-        out.append((a + len(text[a:b]) - len(text[a:b].lstrip()), a + len(text[a:b].rstrip()), CODES[path[i]], float(1 / (1 + np.exp(-4 * gap)))))
-        i = j + 1
-    return out
+    return path[::-1]
+
+
+def _seeded(text) -> Column:
+    """The code whose COMMON words a text has most of, null if it has fewer than three of them or as many of another."""
+    words = F.regexp_extract_all(F.lower(text), F.lit(r"(\p{L}+)"))
+
+    def common(code: str) -> Column:
+        return F.struct(F.size(F.filter(words, lambda w: w.isin(*COMMON[code].split()))).alias("n"), F.lit(code).alias("code"))
+
+    counts = F.array(*map(common, CODES))
+    order = F.array_sort(counts)
+    return F.when((order[5]["n"] >= 3) & (order[5]["n"] > order[4]["n"]), order[5]["code"])
 
 
 def sample(documents: DataFrame) -> list[tuple[str, str]]:
-    """(code, sentence) of at most SAMPLE labelled documents of each language, the first in hash order."""
-    rows = documents.select("doc_id", label_code(F.col("lang")).alias("code"), F.substring("text", 1, SAMPLE_CHARS).alias("text"))
-    rows = rows.where(F.length("text") > 40)
-    got = []
-    for code in CODES:
-        for row in rows.where(F.col("code") == code).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE).collect():
-            got += [(code, row["text"][a:b]) for a, b in sentences(row["text"])]
-    return got
+    """(code, sentence) of at most SAMPLE documents of each language, the first in hash order, whole.
+
+    Documents are those labelled so; of languages that label none, those that _seeded() tells.
+    """
+    rows = documents.where(F.length("text") > 40).select("doc_id", "text", label_code(F.col("lang")).alias("code"))
+
+    def first(rows: DataFrame) -> list:
+        order = Window.partitionBy("code").orderBy(F.xxhash64("doc_id"), "doc_id")
+        chosen = rows.withColumn("place", F.row_number().over(order)).where(F.col("place") <= SAMPLE)
+        return chosen.select("code", "place", "text").orderBy("code", "place").collect()
+
+    got = first(rows.where(F.col("code").isin(*CODES)))
+    missing = [c for c in CODES if c not in {r["code"] for r in got}]
+    if missing:
+        got += first(rows.where("code is null").withColumn("code", _seeded(F.col("text"))).where(F.col("code").isin(*missing)))
+    return [(r["code"], r["text"][a:b]) for r in got for a, b in sentences(r["text"])]
 
 
 def languages(documents: DataFrame, tree: Tree | None = None) -> DataFrame:
@@ -185,16 +265,29 @@ def languages(documents: DataFrame, tree: Tree | None = None) -> DataFrame:
 
     Whole texts are read; offsets count code points. declared is the code the label spells, 'other' for another
     language, null for no value. Null texts and texts without words give no row. The classifier, a fixed 2 MB, is
-    fitted on a bounded sample of the documents themselves unless given; without labels every text counts as the
-    language of the least code.
+    fitted on a bounded sample of the documents themselves unless given (sample()); where no document is labelled or
+    has enough common words to learn from, the result is an error, not a guess.
     """
-    w = (tree or fit(sample(documents))).weights.astype(np.float32)
+    if tree is None:
+        texts = sample(documents)
+        if not texts and not documents.where(F.length("text") > 40).isEmpty():
+            raise ValueError("no document is labelled or tells its language by common words: give a fitted tree")
+        tree = fit(texts)
+    sent = documents.sparkSession.sparkContext.broadcast((tree.weights.astype(np.float32), tree.slope))
     rows = documents.select("doc_id", "text", label_code(F.col("lang")).alias("declared")).where("text is not null")
 
     def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        t = Tree(w)
+        t = Tree(*sent.value)
         for b in batches:
-            out = [(d, *s, said) for d, text, said in zip(b["doc_id"], b["text"], b["declared"], strict=True) for s in stretches(text, t)]
+            found, at, texts = [], 0, b["text"].tolist()
+            while at < len(texts):  # about a million characters at once
+                to, n = at, 0
+                while to < len(texts) and (to == at or n + len(texts[to]) <= 1_000_000):
+                    n += len(texts[to])
+                    to += 1
+                found += stretches_of(texts[at:to], t)
+                at = to
+            out = [(d, *s, said) for d, f, said in zip(b["doc_id"], found, b["declared"], strict=True) for s in f]
             yield pd.DataFrame(out, columns=["doc_id", "start_pos", "end_pos", "lang_code", "confidence", "declared"])
 
     kind = documents.schema["doc_id"].dataType.simpleString()

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 
 from missive.llm.language import SPELLINGS, fit, label_code, languages, sentences, stretches
 from missive.llm.leakage import leaked
@@ -115,3 +116,12 @@ def test_pack(spark):
     assert size == want and max(room.values()) <= 100 and sorted(room) == list(range(len(room)))
     assert all(sum(r["doc_id"] == d for r in got) == 1 for d, n in list(want.items())[:50] if n <= 100)
     assert pack(spark.createDataFrame([], "doc_id long, n_tokens int"), 100, Cut(spark)).count() == 0
+
+
+def test_languages_without_labels(spark):
+    text = {"en": "We will send the plan and the figures to you from here. This is for the board with all of it.", "de": "Der Plan ist nicht für die Leitung und das Werk. Wir werden ihn mit der Post auch an sich senden.", "fr": "Nous avons les plans et des notes dans une boîte pour vous. Ils ne sont pas avec le reste sur la table."}
+    rows = [(10 * i + k, f"{v} {v}", None) for i, v in enumerate(text.values()) for k in range(8)]
+    found = languages(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    assert {(r["doc_id"] // 10, r["lang_code"]) for r in found} == set(enumerate(text))
+    with pytest.raises(ValueError, match="common words"):
+        languages(spark.createDataFrame([(1, "qwx zzk " * 20, None)], "doc_id long, text string, lang string"))
