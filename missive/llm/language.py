@@ -102,9 +102,9 @@ class Tree:
 
     @staticmethod
     def scored(s: np.ndarray) -> np.ndarray:
-        """Margins as scores of CODES: the family first; within the better one, the least margin against its relatives.
+        """Margins as scores of CODES: the family's margin tells families apart, and only duels within it its languages.
 
-        A language of the other family has the family's margin against it, however its duels end.
+        The leading language of a family has the family's margin, the others what they lose to it in their duels less.
         """
         out = np.zeros((len(s), len(CODES)))
         for sign, family in zip((1, -1), FAMILIES.values(), strict=True):
@@ -115,7 +115,7 @@ class Tree:
             within = np.stack(duels, 1)
             lead = within - within.max(1)[:, None]
             for k, code in enumerate(family):
-                out[:, CODES.index(code)] = sign * s[:, 0] / 2 + np.where(sign * s[:, 0] >= 0, within[:, k], lead[:, k]) / 2
+                out[:, CODES.index(code)] = sign * s[:, 0] + lead[:, k] / 2
         return out
 
 

@@ -89,18 +89,24 @@ class Seeds:
             d = d - begin[text]
             parts += [np.stack([text, w[:, 0], d + o, w[:, 1] + o], 1) for o in mask]
         rows = np.concatenate(parts)
-        rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
-        starts = np.nonzero(np.any(rows[1:, :2] != rows[:-1, :2], axis=1))[0] + 1
-        for own in np.split(rows, starts):
-            if not len(own) or len(np.unique(own[:, 3])) < self.need[own[0, 1]]:
-                continue
-            i, text = int(own[0, 1]), int(own[0, 0])
-            near = own[:, 2] // self.stride[i]
-            cells = np.unique(np.concatenate([np.stack([near + shift, own[:, 3]], 1) for shift in (0, 1)]), axis=0)[:, 0]
-            cells, covered = np.unique(cells, return_counts=True)
-            cells = cells[covered >= self.need[i]]
-            if len(cells):
-                own = own[np.isin(near, cells) | np.isin(near + 1, cells)]
+        n = len(self.items)
+        pair = rows[:, 0] * n + rows[:, 1]
+        pairs, pair = np.unique(pair, return_inverse=True)
+        item = pairs % n if n else pairs
+        # Regions are as long as the passage may be spread; each row lies in two, so that no passage is cut by a border.
+        near = rows[:, 2] // self.stride[item][pair]
+        cells = np.concatenate([np.stack([pair, near + shift, rows[:, 3]], 1) for shift in (0, 1)])
+        width = int(near.max(initial=0)) + 2
+        cell = np.unique((cells[:, 0] * width + cells[:, 1]) << 20 | cells[:, 2]) >> 20
+        cell, covered = np.unique(cell, return_counts=True)
+        cell = cell[covered >= self.need[item][cell // width]]
+        kept = np.isin(pair * width + near, cell) | np.isin(pair * width + near + 1, cell)
+        rows, pair = rows[kept], pair[kept]
+        order = np.argsort(pair, kind="stable")
+        rows, pair = rows[order], pair[order]
+        for own in np.split(rows, np.nonzero(pair[1:] != pair[:-1])[0] + 1):
+            if len(own):
+                text, i = int(own[0, 0]), int(own[0, 1])
                 yield text, self.items[i], tokens[begin[text] : begin[text] + sizes[text]], set(map(tuple, own[:, 2:].tolist()))
 
 
