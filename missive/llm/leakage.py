@@ -76,8 +76,8 @@ class Seeds:
         tokens = np.zeros(int(sizes.sum() + gap * len(texts)), dtype=np.uint64)
         if len(tokens):
             tokens[np.repeat(begin - np.concatenate([[0], sizes.cumsum()[:-1]]), sizes) + np.arange(sizes.sum())] = np.concatenate([np.array(t, dtype=np.uint64) for t in texts])
-        parts = [np.zeros((0, 4), dtype=np.int64)]
-        for k, mask in enumerate(MASKS):
+        n_items, hits = max(1, len(self.items)), [np.zeros((0, 4), dtype=np.int64)]
+        for k in range(len(MASKS)):
             at, h = self.hashes(tokens, k)
             keys, where, seen = self.table[k]
             new = seen[(h & np.uint64(0xFFFFF)).astype(np.int64)]
@@ -87,17 +87,27 @@ class Seeds:
             d, w = np.repeat(at, n), where[np.repeat(low - np.concatenate([[0], n.cumsum()[:-1]])[: len(n)], n) + np.arange(n.sum())]
             text = np.searchsorted(begin, d, "right") - 1
             d = d - begin[text]
-            parts += [np.stack([text, w[:, 0], d + o, w[:, 1] + o], 1) for o in mask]
-        rows = np.concatenate(parts)
-        n = len(self.items)
-        pair = rows[:, 0] * n + rows[:, 1]
-        pairs, pair = np.unique(pair, return_inverse=True)
-        item = pairs % n if n else pairs
+            hits.append(np.stack([text * n_items + w[:, 0], d, w[:, 1], np.full(len(d), k)], 1))
+        hits = np.concatenate(hits)
+        # Seeds of less than COVER, were they all apart, are let go before their words are laid out.
+        pairs, pair, n = np.unique(hits[:, 0], return_inverse=True, return_counts=True)
+        enough = n * max(map(len, MASKS)) >= self.need[pairs % n_items] if len(pairs) else np.zeros(0, dtype=bool)
+        hits = hits[enough[pair]]
+        rows = [np.zeros((0, 3), dtype=np.int64)]
+        for k, mask in enumerate(MASKS):
+            own = hits[hits[:, 3] == k]
+            rows += [np.stack([own[:, 0], own[:, 1] + o, own[:, 2] + o], 1) for o in mask]
+        rows = np.concatenate(rows)
+        if not len(rows):
+            return
+        pairs, pair = np.unique(rows[:, 0], return_inverse=True)
+        item = pairs % n_items
         # Regions are as long as the passage may be spread; each row lies in two, so that no passage is cut by a border.
-        near = rows[:, 2] // self.stride[item][pair]
-        cells = np.concatenate([np.stack([pair, near + shift, rows[:, 3]], 1) for shift in (0, 1)])
-        width = int(near.max(initial=0)) + 2
-        cell = np.unique((cells[:, 0] * width + cells[:, 1]) << 20 | cells[:, 2]) >> 20
+        near = rows[:, 1] // self.stride[item][pair]
+        width = int(near.max()) + 2
+        cell = np.concatenate([((pair * width + near + shift) << 20) | rows[:, 2] for shift in (0, 1)])
+        cell.sort()
+        cell = cell[np.append(True, cell[1:] != cell[:-1])] >> 20
         cell, covered = np.unique(cell, return_counts=True)
         cell = cell[covered >= self.need[item][cell // width]]
         kept = np.isin(pair * width + near, cell) | np.isin(pair * width + near + 1, cell)
@@ -106,8 +116,8 @@ class Seeds:
         rows, pair = rows[order], pair[order]
         for own in np.split(rows, np.nonzero(pair[1:] != pair[:-1])[0] + 1):
             if len(own):
-                text, i = int(own[0, 0]), int(own[0, 1])
-                yield text, self.items[i], tokens[begin[text] : begin[text] + sizes[text]], set(map(tuple, own[:, 2:].tolist()))
+                text, i = divmod(int(own[0, 0]), n_items)
+                yield text, self.items[i], tokens[begin[text] : begin[text] + sizes[text]], set(map(tuple, own[:, 1:].tolist()))
 
 
 def _aligned(doc: np.ndarray, passage: np.ndarray, pairs: set[tuple[int, int]]) -> list[tuple[int, int, int, int, int]]:
