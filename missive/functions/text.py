@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Tokens are runs of letters and digits, subjects lose these prefixes.
 TOKEN = r"[\p{L}\p{N}]+"
@@ -32,6 +36,27 @@ def collapsed(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text(c)), r"\s+", " "))
 
 
+@F.pandas_udf(StringType())
+def folded(s: pd.Series) -> pd.Series:
+    """Compatibility forms composed (NFKC) and case folded; Spark has neither, so texts go through Arrow once. Null as empty."""
+    return s.map(lambda x: "" if x is None else x.lower() if x.isascii() else unicodedata.normalize("NFKC", x).casefold())
+
+
+def squeezed(c: Column) -> Column:
+    """Text with runs of white space, as Unicode has it, as one space, and none at the ends."""
+    return F.trim(F.regexp_replace(c, r"(?U)[\s\x{1c}-\x{1f}]+", " "))
+
+
+def words_of(c: Column) -> Column:
+    """The runs of letters and digits in a text that is folded already."""
+    return F.regexp_extract_all(c, F.lit(f"({TOKEN})"))
+
+
+def subject_of(c: Column) -> Column:
+    """The words of a folded subject without its reply and forward prefixes."""
+    return F.array_join(words_of(F.regexp_replace(squeezed(c), REPLY, "")), " ")
+
+
 def tokens(c: Column) -> Column:
     return F.regexp_extract_all(F.lower(text(c)), F.lit(f"({TOKEN})"))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from missive.functions.text import collapsed, subject_key, tokens
+from missive.functions.text import folded, squeezed, subject_of, words_of
 
 # Shorter bodies only get short signatures, which tie nothing.
 MIN_CHARS, MIN_TOKENS = 80, 12
@@ -18,10 +18,11 @@ def _hex(c: Column) -> Column:
 def fingerprints(df: DataFrame, key: str, subject: str, body: str) -> DataFrame:
     """(key, body_exact, body_tokens, body_compact, subject_body, short_exact, short_tokens, n_chars, n_tokens, eligible).
 
-    Bodies are compared without case and white space, by their words, and by their words run together, the last also
+    Bodies are compared in compatibility forms, case folded, without white space, by their words, and by their words run together, the last also
     with the subject. A body under MIN_CHARS or MIN_TOKENS has the short signatures only; an empty one has none.
     """
-    df = df.select(key, collapsed(F.col(body)).alias("_b"), tokens(F.col(body)).alias("_t"), subject_key(F.col(subject)).alias("_s"))
+    df = df.select(key, folded(F.col(body)).alias("_f"), folded(F.col(subject)).alias("_g"))
+    df = df.select(key, squeezed(F.col("_f")).alias("_b"), words_of(F.col("_f")).alias("_t"), subject_of(F.col("_g")).alias("_s"))
     df = df.select("*", (F.length("_b") >= MIN_CHARS).alias("_long"), F.array_join("_t", " ").alias("_j"), F.array_join("_t", "").alias("_c"))
     ok = F.col("_long") & (F.size("_t") >= MIN_TOKENS)
     return df.select(

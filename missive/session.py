@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import shutil
 import tempfile
 import uuid
 
@@ -35,6 +38,7 @@ class Cut:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/missive-{uuid.uuid4().hex}"
         self.made = 0
+        atexit.register(self.close)
 
     def keep(self, df: DataFrame) -> DataFrame:
         self.made += 1
@@ -45,11 +49,21 @@ class Cut:
         return back
 
     def drop(self, *frames: DataFrame | None) -> None:
-        jvm = self.spark._jvm
         for df in frames:
             if df is not None and hasattr(df, "_cut_path"):
-                path = jvm.org.apache.hadoop.fs.Path(df._cut_path)
-                path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+                self._delete(df._cut_path)
+
+    def close(self) -> None:
+        """Deletes all its tables; called when the driver ends, since results are read until then."""
+        if self.root.startswith("file:"):
+            shutil.rmtree(self.root.removeprefix("file:"), ignore_errors=True)
+        elif self.made:
+            with contextlib.suppress(Exception):  # the session may have ended before
+                self._delete(self.root)
+
+    def _delete(self, name: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -12,6 +12,7 @@ from datetime import timezone
 from html.parser import HTMLParser
 
 import pandas as pd
+from pyarrow import fs as pa_fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,6 +45,10 @@ class _Text(HTMLParser):
             self.out.append(data)
 
 
+_FROM = b"\nFrom "
+_QUOTED_FROM = re.compile(rb"(?m)^>(>*From )")
+
+
 def html_text(page: str) -> str:
     """The shown text of a page: blocks on lines of their own, runs of blank lines as one, scripts and styles left out."""
     reader = _Text()
@@ -113,12 +118,53 @@ def read_messages(spark: SparkSession, path: str, pattern: str = "*") -> DataFra
     return files.select("path", "content").mapInPandas(_parse, MESSAGE)
 
 
-def read_mbox(spark: SparkSession, path: str) -> DataFrame:
-    """Messages of mbox archives, split at From lines; quoted From lines (>From) lose one mark.
-
-    Lines are read with the archive's separator as their delimiter, so that large archives are split among tasks.
+def _messages_from(path: str, start: int, end: int) -> Iterator[bytes]:
+    """The messages of an mbox archive that begin at bytes start to end, without their From lines."""
+    filesystem, name = pa_fs.FileSystem.from_uri(re.sub(r"^file:/(?!/)", "file:///", path))
+    with filesystem.open_input_file(name) as f:
+        at = max(0, start - 1)  # a message begins behind a line end, which may be the byte before
+        f.seek(at)
+        held, begin, open_at = b"\n" if start == 0 else b"", at - (start == 0), None
+        while True:
+            more = f.read(1 << 20)
+            held += more
+            last = len(held) if not more else max(0, len(held) - len(_FROM) + 1)
+            look = 0 if open_at is None else open_at - begin
+            while (k := held.find(_FROM, look, None if not more else last + len(_FROM) - 1)) >= 0:
+                if open_at is not None:
+                    yield held[open_at - begin : k + 1]
+                if begin + k + 1 >= end:
+                    return
+                open_at = begin + k + 1
+                look = k + 1
+            if not more:
+                if open_at is not None:
+                    yield held[open_at - begin :]
+                return
+            drop = (last if open_at is None else open_at - begin) if len(held) > len(_FROM) else 0
+            held, begin = held[drop:], begin + drop
+
+
+def read_mbox(spark: SparkSession, path: str, block: int = 64 << 20, most: int | None = None) -> DataFrame:
+    """Messages of mbox archives, split at From lines; quoted From lines (>From) lose one mark. Bytes are kept as they are.
+
+    Each task reads the messages that begin in one block of an archive, so that large archives are split among tasks.
+    ``most``, if given, is how many messages of all are read, those of the first archives by path.
     """
-    parts = spark.read.option("lineSep", "\nFrom ").text(path).select(F.input_file_name().alias("path"), F.col("value"))
-    body = F.regexp_replace(F.regexp_replace("value", r"^(?:From )?[^\n]*\n", ""), r"(?m)^>(>*From )", "$1")
-    rows = parts.where(F.trim("value") != "").select("path", F.encode(body, "utf-8").alias("content"))
-    return rows.mapInPandas(_parse, MESSAGE)
+    files = spark.read.format("binaryFile").load(path).select("path", "length").where("length > 0")
+    ranges = files.select("path", "length", F.explode(F.sequence(F.lit(0).cast("long"), F.col("length") - 1, F.lit(block).cast("long"))).alias("start"))
+
+    def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for p, start in zip(b["path"], b["start"], strict=True):
+                found = []
+                for k, raw in enumerate(_messages_from(p, int(start), int(start) + block)):
+                    found.append((p, int(start), k, _QUOTED_FROM.sub(rb"\1", raw.partition(b"\n")[2])))
+                    if len(found) == 1000:
+                        yield pd.DataFrame(found, columns=["path", "start", "k", "content"])
+                        found = []
+                yield pd.DataFrame(found, columns=["path", "start", "k", "content"])
+
+    rows = ranges.repartition("path", "start").mapInPandas(part, "path string, start long, k int, content binary")
+    rows = rows if most is None else rows.orderBy("path", "start", "k").limit(most)
+    return rows.select("path", "content").mapInPandas(_parse, MESSAGE)

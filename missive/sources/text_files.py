@@ -32,7 +32,7 @@ def read_labelled_lines(spark: SparkSession, path: str) -> DataFrame:
 def read_judgments(spark: SparkSession, path: str) -> DataFrame:
     """(file, verdict, spans) of lines ``file<TAB>verdict<TAB>offset<TAB>length...``, with spans as (start, end)."""
     p = F.split(F.trim("value"), r"\s+")
-    n = F.slice(p, 3, 100_000)
+    n = F.slice(p, F.lit(3), F.greatest(F.size(p) - 2, F.lit(0)))
     spans = F.transform(F.sequence(F.lit(0), F.greatest(F.size(n) - 2, F.lit(0)), F.lit(2)), lambda i: F.struct(F.get(n, i).cast("int").alias("start"), (F.get(n, i).cast("int") + F.get(n, i + 1).cast("int")).alias("end")))
     rows = spark.read.text(path).where(F.trim("value") != "")
     return rows.select(p[0].alias("file"), p[1].alias("verdict"), F.when(F.size(n) >= 2, spans).otherwise(F.array().cast("array<struct<start:int,end:int>>")).alias("spans"))

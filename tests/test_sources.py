@@ -74,3 +74,14 @@ def test_stream(spark, tmp_path):
     spark.createDataFrame([("a", 2, "NO"), ("b", 1, "NO")], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     run()
     assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "out" / "1")).select("k", "at", "how").collect())) == [("a", 2, "HUMAN"), ("b", 1, "NO")]
+
+
+def test_mbox_keeps_bytes_and_splits_anywhere(spark, tmp_path):
+    bodies = [b"caf\xe9 and \xff", b"\nFrommage\n>From me\n>>From you\n", b"x" * 300, b""]
+    raw = b"".join(b"From a@x Mon Jan 1 00:00:00 2001\nMessage-ID: <%d@x>\nContent-Type: text/plain; charset=iso-8859-1\n\n%s\n" % (k, b) for k, b in enumerate(bodies))
+    (tmp_path / "a.mbox").write_bytes(raw)
+    whole = {r["message_id"]: r["body"] for r in read_mbox(spark, str(tmp_path)).collect()}
+    assert len(whole) == 4 and any("café" in b for b in whole.values()) and any("\nFrom me\n>From you" in b for b in whole.values())
+    for block in (1, 7, 64, 101):
+        assert {r["message_id"]: r["body"] for r in read_mbox(spark, str(tmp_path), block).collect()} == whole
+    assert read_mbox(spark, str(tmp_path), 64, 2).count() == 2
