@@ -48,3 +48,29 @@ def round_robin(rows: DataFrame, by: str, key: str, k: int, seed: str) -> DataFr
     ranked = first.withColumn("_k", F.row_number().over(W.partitionBy(by).orderBy(rank_key(seed, F.col(key)), key)))
     top = ranked.orderBy("_k", by).limit(k)
     return top.withColumn("place", F.row_number().over(W.orderBy("_k", by))).select(*rows.columns, "place")
+
+
+def balanced_pick(rows: DataFrame, by: str, order: str, rank: str, key: str, count: int, prior: DataFrame | None = None) -> DataFrame:
+    """The ``count`` rows when the next is always of the category that has fewest, its first left in order of rank.
+
+    Categories count from what prior(by, taken) has; of equal ones the least ``order`` is asked. Each pick adds one, so a
+    row's turn is its place in its category plus what that had before; no row beyond ``count`` of a category has one.
+    """
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(key), F.lit(64)))
+    kept = salted.withColumn("_n", F.row_number().over(W.partitionBy(by, "_salt").orderBy(rank, key))).where(F.col("_n") <= count)
+    kept = kept.withColumn("_n", F.row_number().over(W.partitionBy(by).orderBy(rank, key))).where(F.col("_n") <= count)
+    taken = F.lit(0)
+    if prior is not None:
+        kept, taken = kept.join(prior.select(by, "taken"), by, "left"), F.coalesce("taken", F.lit(0))
+    turn = kept.withColumn("_turn", taken + F.col("_n"))
+    return turn.orderBy("_turn", order, rank, key).limit(count).select(*rows.columns)
+
+
+def whole_groups(groups: DataFrame, size: str, order: list[str], target: int, all_of: str = "_all") -> DataFrame:
+    """The groups, in order, whose predecessors hold fewer than ``target`` rows: the last may go beyond it.
+
+    Only as many groups as rows are asked for can be taken, so no more are put in one order.
+    """
+    first = groups.orderBy(*order).limit(target)
+    before = F.coalesce(F.sum(size).over(W.orderBy(*order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    return first.withColumn(all_of, before).where(F.col(all_of) < target).drop(all_of)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from missive.operators import timestamps
-from missive.plans import decision_queries, metric_queries, relational_queries, text_queries  # noqa: F401
+from missive.plans import decision_queries, linking_queries, metric_queries, relational_queries, text_queries  # noqa: F401
 from missive.plans.registry import QUERIES, SQL, Query
 
 

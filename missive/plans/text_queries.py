@@ -36,7 +36,7 @@ def _fingers(d: str) -> str:
 
 
 _FINGERS = _fingers("select distinct doc_id, text, title, source from documents")
-_MAIL_FINGERS = _fingers("select source_id as doc_id, body_raw as text, subject as title, source_name as source from emails qualify row_number() over (partition by source_id order by imported_at, body_sha256) = 1")
+_MAIL_FINGERS = _fingers("select source_id as doc_id, subject as text, project_or_list as title, source_name as source from emails qualify row_number() over (partition by source_id order by imported_at, body_sha256) = 1")
 
 
 @query(r"""select source_id, length(p) as n_chars, sha256(p) as digest from (select distinct source_id,
@@ -86,9 +86,9 @@ def cross_source_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_MAIL_FINGERS + """select sha256(j) as short_tokens, count(*) as n_mails, min(doc_id) as first_mail, max(doc_id) as last_mail, count(distinct source) as n_sources from f where not ok and j <> '' group by j having count(*) > 1""")
 def short_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Groups of mails whose short bodies have the same words, which tie nothing, with their members' bounds (A-10)."""
-    m = table(spark, sf_dir, "emails").groupBy("source_id").agg(F.min_by(F.struct("subject", "body_raw", "source_name"), F.struct("imported_at", "body_sha256")).alias("m")).select("source_id", "m.*")
-    f = fingerprints(m, "source_id", "subject", "body_raw").where("short_tokens is not null").join(m.select("source_id", "source_name"), "source_id")
+    """Groups of mails whose subjects, short texts that tie nothing, have the same words, with their members' bounds (A-10)."""
+    m = table(spark, sf_dir, "emails").groupBy("source_id").agg(F.min_by(F.struct("project_or_list", "subject", "source_name"), F.struct("imported_at", "body_sha256")).alias("m")).select("source_id", "m.*")
+    f = fingerprints(m, "source_id", "project_or_list", "subject").where("short_tokens is not null").join(m.select("source_id", "source_name"), "source_id")
     return f.groupBy("short_tokens").agg(F.count("*").alias("n_mails"), F.min("source_id").alias("first_mail"), F.max("source_id").alias("last_mail"), F.count_distinct("source_name").alias("n_sources")).where("n_mails > 1")
 
 
