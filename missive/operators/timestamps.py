@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from functools import reduce
+import zoneinfo
+from datetime import UTC, datetime
+from functools import cache, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from missive.functions.clock import with_instant
+from missive.functions.clock import ZONES, with_instant
 from missive.functions.ids import bare
 from missive.session import Cut, table
 
@@ -48,15 +50,10 @@ def zone_scores(times: DataFrame, candidates: list[str]) -> DataFrame:
     low, high = F.col("copy") - PRECISION, F.col("copy") + PRECISION
     checks = [naive.select("source_name", "wall", F.lit(None).cast("long").alias("low"), F.col("received").alias("high")).where("high is not null"), pairs.select("source_name", "wall", low.alias("low"), high.alias("high"))]
     checks = reduce(DataFrame.unionAll, checks)
-    if not candidates:
-        return checks.select("source_name", F.lit(None).cast("string").alias("zone"), F.lit(0).cast("long").alias("rows_compared"), F.lit(0).cast("long").alias("violations")).distinct()
-    local = [at_zone(F.col("wall"), F.lit(z)) for z in candidates]
-    wrong = [F.sum((F.coalesce(x < F.col("low"), F.lit(False)) | F.coalesce(x > F.col("high"), F.lit(False))).cast("long")) for x in local]
-    wide = checks.groupBy("source_name").agg(F.count("*").alias("rows_compared"), F.array(*wrong).alias("_wrong"))
-    names = F.array(*map(F.lit, candidates))
-    return wide.select("source_name", "rows_compared", F.explode(F.arrays_zip(names.alias("zone"), F.col("_wrong").alias("violations"))).alias("z")).select(
-        "source_name", F.col("z.zone").alias("zone"), "rows_compared", F.col("z.violations").alias("violations")
-    )
+    each = checks.select("source_name", "wall", "low", "high", F.explode(F.array(*map(F.lit, candidates)).cast("array<string>")).alias("zone"))
+    utc = at_zone(F.col("wall"), F.col("zone"))
+    wrong = F.coalesce(utc < F.col("low"), F.lit(False)) | F.coalesce(utc > F.col("high"), F.lit(False))
+    return each.groupBy("source_name", "zone").agg(F.count("*").alias("rows_compared"), F.count_if(wrong).alias("violations"))
 
 
 def choose_zones(scores: DataFrame, stated: DataFrame) -> DataFrame:
@@ -83,12 +80,26 @@ def normalise(times: DataFrame, zones: DataFrame) -> DataFrame:
 def instants(rows: DataFrame, stated: DataFrame, cut: Cut) -> DataFrame:
     """normalise() of rows as read_times() takes them, their zones chosen from the same rows."""
     times = cut.keep(read_times(rows, stated)).where("instant is not null or wall is not null")
-    return normalise(times, cut.keep(choose_zones(zone_scores(times, _candidates(stated)), stated)))
+    return normalise(times, cut.keep(choose_zones(zone_scores(times, _candidates(times, stated)), stated)))
 
 
-def _candidates(stated: DataFrame) -> list[str]:
-    """The zones that a source may have: those any source states, at most as many as there are zones."""
-    return sorted(r[0] for r in stated.select("home_zone").where("home_zone is not null").distinct().limit(600).collect())
+@cache
+def histories() -> tuple[str, ...]:
+    """One zone, the first by name, of each offset history since 1970 that the zones of this Python have, weekly."""
+    weeks = [datetime.fromtimestamp(t, UTC) for t in range(0, 2_145_000_000, 7 * 86_400)]
+    first: dict[tuple, str] = {}
+    for name in ZONES:
+        if "/" in name and not name.startswith(("Etc/", "SystemV/")):
+            zone = zoneinfo.ZoneInfo(name)
+            first.setdefault(tuple(t.astimezone(zone).utcoffset() for t in weeks), name)
+    return tuple(sorted(first.values()))
+
+
+def _candidates(times: DataFrame, stated: DataFrame) -> list[str]:
+    """The zones that sources may have: those stated, and all histories() if some source with wall times states none."""
+    zones = {r[0] for r in stated.select("home_zone").where("home_zone is not null").distinct().collect()}  # no more than there are zones
+    open_ = times.where("wall is not null").select("source_name").distinct().join(stated.where("home_zone is not null"), "source_name", "left_anti")
+    return sorted(zones | (set() if open_.isEmpty() else set(histories())))
 
 
 def mail_times(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,22 +114,23 @@ def mail_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_times(mails.unionAll(parsed), table(spark, sf_dir, "source_clocks"))
 
 
-def _estimate(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _read(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Cut]:
     cut = Cut(spark)
-    clocks = table(spark, sf_dir, "source_clocks")
-    times = cut.keep(mail_times(spark, sf_dir)).where("instant is not null or wall is not null")
-    return times, zone_scores(times, _candidates(clocks)), clocks
+    return cut.keep(mail_times(spark, sf_dir)).where("instant is not null or wall is not null"), table(spark, sf_dir, "source_clocks"), cut
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per value that denotes an instant: origin, row_id, utc_micros."""
-    times, scores, clocks = _estimate(spark, sf_dir)
-    return normalise(times, Cut(spark).keep(choose_zones(scores, clocks)))
+    times, clocks, cut = _read(spark, sf_dir)
+    return normalise(times, cut.keep(choose_zones(zone_scores(times, _candidates(times, clocks)), clocks)))
 
 
 def p7_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The zone that each source's rows alone suggest, beside the stated one, with the violations it leaves."""
-    _, scores, clocks = _estimate(spark, sf_dir)
+    """The zone that each source's rows alone suggest, of all there are, beside the stated one, with the violations of both."""
+    times, clocks, cut = _read(spark, sf_dir)
     none = clocks.limit(0)
+    homes = {r[0] for r in clocks.select("home_zone").where("home_zone is not null").distinct().collect()}
+    scores = cut.keep(zone_scores(times, sorted(homes | set(_candidates(times, none)))))
     guess = choose_zones(scores, none).select("source_name", F.col("zone").alias("estimated_zone"), "rows_compared", "violations")
-    return guess.join(clocks.select("source_name", "home_zone"), "source_name", "left")
+    stated = scores.select("source_name", F.col("zone").alias("home_zone"), F.col("violations").alias("home_violations"))
+    return guess.join(clocks.select("source_name", "home_zone"), "source_name", "left").join(stated, ["source_name", "home_zone"], "left")

@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from missive.operators.matching import iou, largest_matching
+from missive.operators.matching import heaviest_assignment, iou, largest_matching, ranked_assignment
 from missive.operators.metrics import exclusive, fleiss, kappa, label_scores, overall_scores, threshold_sweep
 from missive.plans.registry import query
 from missive.session import table
@@ -132,3 +132,70 @@ def span_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
             yield pd.DataFrame(out, columns=["source_id", "n_first", "n_second", "n_matched", "mean_iou"]).astype({"mean_iou": "float64"})
 
     return two.mapInPandas(part, "source_id string, n_first int, n_second int, n_matched int, mean_iou double")
+
+
+@query(_REVIEWS + f""", t as (select a.u as first_user, b.u as second_user, label, list_contains(a.labels, label) as x, list_contains(b.labels, label) as y from n a join n b on a.source_id = b.source_id and a.u < b.u, (values {_IN}) v(label)),
+  c as (select first_user, second_user, label, count(*) as n, count(*) filter (x and y) as n_both, count(*) filter (x <> y) as n_one, count(*) filter (not x and not y) as n_none from t group by all)
+  select first_user, second_user, label, n, n_both, n_one, round(case when n_both + n_one > 0 then 2.0 * n_both / (2 * n_both + n_one) end, 6) as positive_agreement, round(case when n_none + n_one > 0 then 2.0 * n_none / (2 * n_none + n_one) end, 6) as negative_agreement from c""")
+def pairwise_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For every two reviewers and each label, how far they agree that it applies and that it doesn't (A-22).
+
+    A source has few reviewers, so its pairs are few; they are counted before any shuffle but that by source.
+    """
+    r = reviews(spark, sf_dir).groupBy("source_id").agg(F.array_sort(F.collect_list(F.struct("u", "labels"))).alias("o")).where("size(o) > 1")
+    pairs = F.flatten(F.transform("o", lambda a, i: F.transform(F.filter("o", lambda b, j: j > i), lambda b: F.struct(a["u"].alias("first_user"), b["u"].alias("second_user"), a["labels"].alias("x"), b["labels"].alias("y")))))
+    p = r.select(F.explode(pairs).alias("p")).select("p.*")
+    sides = F.array(*[F.struct(F.lit(v).alias("label"), F.array_contains("x", v).alias("x"), F.array_contains("y", v).alias("y")) for v in LABELS])
+    c = p.select("first_user", "second_user", F.explode(sides).alias("l")).groupBy("first_user", "second_user", "l.label")
+    c = c.agg(F.count("*").alias("n"), F.count_if(F.col("l.x") & F.col("l.y")).alias("n_both"), F.count_if(F.col("l.x") != F.col("l.y")).alias("n_one"), F.count_if(~F.col("l.x") & ~F.col("l.y")).alias("n_none"))
+    share = lambda n: F.when(F.col(n) + F.col("n_one") > 0, F.round(2.0 * F.col(n) / (2 * F.col(n) + F.col("n_one")), 6))
+    return c.select("first_user", "second_user", "label", "n", "n_both", "n_one", share("n_both").alias("positive_agreement"), share("n_none").alias("negative_agreement"))
+
+
+@query("""with j as (select distinct source_id, lower(trim(user_id)) as u, annotation_json from direct_label_reviews where status = 'submitted' and json_valid(annotation_json)),
+  s as (select distinct source_id, u, p.field as f, p.start as a, p."end" as b, p.type as t from (select source_id, u, unnest(from_json(json_extract(annotation_json, '$.spans'), '[{"field":"VARCHAR","start":"INTEGER","end":"INTEGER","type":"VARCHAR"}]')) as p from j)),
+  w as (select source_id, u, row_number() over (partition by source_id order by u) as k from (select distinct source_id, u from s)), x as (select s.* from s join w using (source_id, u) where k = 1), y as (select s.* from s join w using (source_id, u) where k = 2),
+  two as (select source_id from w where k = 2) select coalesce(x.t, y.t) as span_type, count(*) filter (x.t is not null and y.t is not null) as n_both, count(*) filter (y.t is null) as n_first_only, count(*) filter (x.t is null) as n_second_only
+  from (select * from x where source_id in (select source_id from two)) x full join y on x.source_id = y.source_id and x.f is not distinct from y.f and x.a = y.a and x.b = y.b and x.t is not distinct from y.t group by 1""")
+def span_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans that both, or one, of the first two reviewers with spans of each source set, by type (A-23, A-27)."""
+    kind = "array<struct<field:string,start:int,end:int,type:string>>"
+    r = table(spark, sf_dir, "direct_label_reviews").where("status = 'submitted'").select("source_id", F.lower(F.trim("user_id")).alias("u"), F.explode(F.try_variant_get(F.try_parse_json("annotation_json"), "$.spans", kind)).alias("p"))
+    s = r.select("source_id", "u", "p.field", "p.start", "p.end", "p.type").distinct()
+    users = s.groupBy("source_id").agg(F.slice(F.array_sort(F.collect_set("u")), 1, 2).alias("w")).where("size(w) = 2")
+    who = F.when(F.col("u") == F.col("w")[0], 1).when(F.col("u") == F.col("w")[1], 2)
+    k = s.join(users, "source_id").withColumn("k", who).where("k is not null").groupBy("source_id", "field", "start", "end", "type").agg(F.sum("k").alias("k"))
+    return k.groupBy(F.col("type").alias("span_type")).agg(F.count_if(F.col("k") == 3).alias("n_both"), F.count_if(F.col("k") == 1).alias("n_first_only"), F.count_if(F.col("k") == 2).alias("n_second_only"))
+
+
+#: A span of an annotation: field, start, end, type.
+Span = tuple[str, int, int, str]
+
+
+def matched_spans(left: list[Span], right: list[Span]) -> tuple[int, int, float, float]:
+    """Pairs, those of one type, and summed overlap of the assignment with most pairs, then overlap, then equal types;
+    and the greatest overlap that pairs of one type can sum up to. Spans of different fields don't overlap."""
+    over = [[iou([a[1:3]], [b[1:3]]) if a[0] == b[0] else 0.0 for b in right] for a in left]
+    best = ranked_assignment([[(1.0, w, float(a[3] == b[3])) if w > 0 else () for b, w in zip(right, row, strict=True)] for a, row in zip(left, over, strict=True)])
+    typed = [[w if a[3] == b[3] else 0.0 for b, w in zip(right, row, strict=True)] for a, row in zip(left, over, strict=True)]
+    return len(best), sum(left[i][3] == right[j][3] for i, j in best), sum(over[i][j] for i, j in best), sum(typed[i][j] for i, j in heaviest_assignment(typed))
+
+
+@query()
+def matched_span_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of the first two reviewers of each source assigned one to one: by pairs, overlap and type in that order, and by the
+    most overlap of one type (M-01, M-03, M-05, A-27)."""
+    kind = "array<struct<field:string,start:int,end:int,type:string>>"
+    r = table(spark, sf_dir, "direct_label_reviews").where("status = 'submitted'").select("source_id", F.lower(F.trim("user_id")).alias("u"), "revision", F.try_variant_get(F.try_parse_json("annotation_json"), "$.spans", kind).alias("s")).where("s is not null")
+    two = r.groupBy("source_id", "u").agg(F.max(F.struct("revision", "s"))["s"].alias("s")).groupBy("source_id").agg(F.slice(F.array_sort(F.collect_list(F.struct("u", "s"))), 1, 2).alias("o")).where("size(o) = 2")
+    columns = ["source_id", "n_first", "n_second", "n_matched", "n_same_type", "overlap", "typed_overlap"]
+
+    def part(batches):
+        for b in batches:
+            out = []
+            for key, o in zip(b["source_id"], b["o"], strict=True):
+                x, y = [sorted({(s["field"] or "", s["start"] or 0, s["end"] or 0, s["type"] or "") for s in side["s"]}) for side in o]
+                out.append((key, len(x), len(y), *matched_spans(x, y)))
+            yield pd.DataFrame(out, columns=columns)
+
+    return two.mapInPandas(part, "source_id string, n_first int, n_second int, n_matched int, n_same_type int, overlap double, typed_overlap double")
