@@ -10,13 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 MODULES = ("authored", "consensus", "conversations", "groups", "language", "leakage", "packing", "pii", "splits")
 
 
-def _modules() -> list:
-    return [importlib.import_module(f"missive.llm.{m}") for m in MODULES]
+# Imported here, so that the whole subpackage can or cannot be imported, whatever package is missing.
+_LOADED = [importlib.import_module(f"missive.llm.{m}") for m in MODULES]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {k: f for m in _modules() for k, f in vars(m).items() if k[0] == "p" and k[1:2].isdigit() and callable(f)}
+    return {k: f for m in _LOADED for k, f in vars(m).items() if k[0] == "p" and k[1:2].isdigit() and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: s for m in _modules() if hasattr(m, "oracle_sql") for k, s in m.oracle_sql().items()}
+    return {k: s for m in _LOADED if hasattr(m, "oracle_sql") for k, s in m.oracle_sql().items()}
