@@ -413,7 +413,7 @@ def boilerplate(lines: DataFrame, texts: DataFrame, cut: Cut, only: DataFrame |
     return hit if nodes else lines.join(hit, "node").select("source_id", "line_no")
 
 
-def authored(mails: DataFrame, clocks: DataFrame, cut: Cut, ties: DataFrame | None = None, only: DataFrame | None = None) -> DataFrame:
+def authored(mails: DataFrame, clocks: DataFrame, cut: Cut, ties: DataFrame | None = None, only: DataFrame | None = None, times: DataFrame | None = None) -> DataFrame:
     """(source_id, told, n_own) of each source_id of mails, cut: the lines that are not newly written, and how many are.
 
     mails(source_id, source_name, thread_id, message_id, in_reply_to, references_json, subject, sender, recipients_json,
@@ -421,13 +421,17 @@ def authored(mails: DataFrame, clocks: DataFrame, cut: Cut, ties: DataFrame | No
     first (quote marks, headers, introductions, signatures, notices); what is left is held against earlier mails and
     the sender's other mails (inherited()). Of rows with one source_id the first imported counts. Null and empty
     bodies have no lines; null subjects count as one, null senders as different ones. With only(source_id), sentences
-    of its mails alone are held against others, and those of the rest are told by form.
+    of its mails alone are held against others, and those of the rest are told by form. times(row_id, utc_micros) gives
+    the mails' instants where they are known already.
     """
     ties = tied(mails, cut) if ties is None else ties
     raw = cut.keep(parsed(mails.where("source_id is not null")))
-    zones = clocks.groupBy("source_name").agg(F.max("home_zone").alias("_zone"), F.max("day_first").alias("_first"))
     about = mails.select("source_id", F.unix_micros(F.col("imported_at").cast("timestamp")).alias("imported_at"), _base(F.col("subject")).alias("subject"), _sender(F.col("sender")).alias("sender"), _people(F.col("recipients_json")).alias("people"), "source_name", F.col("sent_timestamp").alias("_text"))
-    about = with_instant(about.join(zones, "source_name", "left"), "_text", "_first", "_zone", "instant")
+    if times is None:
+        zones = clocks.groupBy("source_name").agg(F.max("home_zone").alias("_zone"), F.max("day_first").alias("_first"))
+        about = with_instant(about.join(zones, "source_name", "left"), "_text", "_first", "_zone", "instant")
+    else:
+        about = about.join(times.select(F.col("row_id").alias("source_id"), F.col("utc_micros").alias("instant")), "source_id", "left")
     about = about.groupBy("source_id").agg(F.min_by(F.struct("subject", F.nullif("sender", F.lit("")).alias("sender"), "people", F.coalesce("instant", "imported_at").alias("at")), "imported_at").alias("m"))
     one = raw.groupBy("source_id").agg(F.min_by(F.struct("told", "n_own", "own", "own_text"), F.struct("imported_at", "body_hash")).alias("p"))
     one = cut.keep(one.join(about, "source_id").join(ties.select("source_id", "channel"), "source_id", "left").select("source_id", "channel", "m.*", "p.*"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from missive.functions.ids import bare
 from missive.llm.authored import authored
-from missive.llm.channels import address, channels, stated, tied
+from missive.llm.channels import address, channels, stated
 from missive.operators.ordering import numbered, sessions
 from missive.operators.timestamps import instants
 from missive.session import Cut, table
@@ -18,7 +18,7 @@ from missive.session import Cut, table
 WITHIN = 0.95
 
 
-def conversations(mails: DataFrame, times: DataFrame, written: DataFrame | Callable[[DataFrame], DataFrame], cut: Cut, placed: DataFrame | None = None) -> DataFrame:
+def conversations(mails: DataFrame, times: DataFrame, written: DataFrame | Callable[[DataFrame], DataFrame], cut: Cut, placed: DataFrame | None = None, told: DataFrame | None = None) -> DataFrame:
     """(source_id, conversation_id, turn_no, speaker_no) of every mail of each kept conversation.
 
     mails(source_id, thread_id, message_id, in_reply_to, references_json, sender, imported_at), times(row_id,
@@ -28,9 +28,10 @@ def conversations(mails: DataFrame, times: DataFrame, written: DataFrame | Calla
     every mail has a sender, an instant and newly written text, and every in_reply_to names a mail of the table with
     an earlier instant. Turns are numbered by instant (ties by source_id), speakers by first appearance. Of rows with
     one source_id the first imported counts; null and empty ids tie nothing; empty tables give an empty result. placed
-    is channels() of these mails where it is known already.
+    is channels() of these mails, and told stated(), where they are known already.
     """
-    one = cut.keep(stated(mails).join(times.select(F.col("row_id").alias("source_id"), F.col("utc_micros").alias("at")), "source_id", "left"))
+    told = stated(mails) if told is None else told
+    one = cut.keep(told.join(times.select(F.col("row_id").alias("source_id"), F.col("utc_micros").alias("at")), "source_id", "left"))
     placed = channels(one.select("source_id", "thread", "message", "named"), cut) if placed is None else placed
     rows = cut.keep(one.join(placed, "source_id").select("source_id", "channel", "speaker", "at", "replies", "is_reply"))
     known = one.where("message is not null").groupBy("message").agg(F.min("at").alias("said"))
@@ -61,8 +62,10 @@ def _times(mails: DataFrame, clocks: DataFrame, cut: Cut) -> DataFrame:
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per mail of each kept conversation: source_id, conversation_id, turn_no, speaker_no."""
     cut, mails, clocks = Cut(spark), table(spark, sf_dir, "emails"), table(spark, sf_dir, "source_clocks")
-    placed = tied(mails, cut)
-    return conversations(mails, _times(mails, clocks, cut), lambda asked: authored(mails, clocks, cut, placed, asked), cut, placed)
+    told = cut.keep(stated(mails))
+    placed = channels(told.select("source_id", "thread", "message", "named"), cut)
+    times = _times(mails, clocks, cut)
+    return conversations(mails, times, lambda asked: authored(mails, clocks, cut, placed, asked, times), cut, placed, told)
 
 
 def sessionized(mails: DataFrame, times: DataFrame, cut: Cut) -> DataFrame:
