@@ -10,6 +10,9 @@ from missive.functions.ids import bare
 from missive.operators.graph import components
 from missive.session import Cut
 
+#: Without effect since nearest_earlier() needs no list of values; kept for callers that set it.
+MANY = 32
+
 
 def star_edges(rows: DataFrame, key: str, by: str, cut: Cut) -> tuple[DataFrame, DataFrame]:
     """Edges (a, b) that tie the rows of rows(key, by) with one value of ``by`` to the first of them.
