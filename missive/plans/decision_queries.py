@@ -24,7 +24,7 @@ _SPLIT = "case when substr(h, 1, 2) < 'cc' then 'train' when substr(h, 1, 2) < '
   p as (select record_id, case when dataset = 'manual' then 'test' when dataset = 'synthetic' then 'train' else {_SPLIT} end as split, g from s), o as (select g, max(case split when 'test' then 3 when 'validation' then 2 else 1 end) as k from p group by g)
   select record_id, case k when 3 then 'test' when 2 then 'validation' else 'train' end as split from p join o using (g)""")
 def grouped_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Splits by hash of the group; a group with a protected record goes to test as a whole (T-06, T-07)."""
+    """Splits by hash of the group; a group with a protected record goes to test as a whole (in place of T-06: no greedy balancing)."""
     r = table(spark, sf_dir, "leakage_records").select("record_id", F.coalesce(F.concat(F.lit("g|"), "leakage_group_id"), F.concat(F.lit("r|"), "record_id")).alias("g"), "dataset").distinct()
     h = F.substring(rank_key("2026", F.col("g")), 1, 2)
     place = F.when(F.col("dataset") == "manual", 3).when(F.col("dataset") == "synthetic", 1).when(h < "cc", 1).when(h < "e6", 2).otherwise(3)
@@ -36,7 +36,7 @@ def grouped_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""with g as (select leakage_group_id as g, count(distinct record_id) as n from leakage_records where leakage_group_id is not null group by 1), r as (select g, n, row_number() over (order by n desc, g) - 1 as i from g)
   select g as group_id, (case when (i // 5) % 2 = 0 then i % 5 else 4 - i % 5 end)::bigint as fold, n as n_records from r""")
 def balanced_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Groups, the largest first, dealt to five folds there and back (T-09, T-10)."""
+    """Groups, the largest first, dealt to five folds there and back (T-09, by size alone)."""
     g = table(spark, sf_dir, "leakage_records").where("leakage_group_id is not null").groupBy(F.col("leakage_group_id").alias("group_id")).agg(F.count_distinct("record_id").alias("n_records"))
     r = numbered(g.withColumn("all", F.lit(0)).withColumn("order", -F.col("n_records")), ["all"], ["order", "group_id"], "i", Cut(spark))
     i = F.col("i") - 1

@@ -103,7 +103,7 @@ def short_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
   k as (select a, count(*) as n_links from e group by a)
   select t.doc_id, coalesce(c.class_id, t.doc_id) as class_id, coalesce(k.n_links, 0) as n_links from t left join r using (j) left join c on c.x = r.first left join k on k.a = r.first""")
 def near_duplicate_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents in classes of shared five-word shingles at 0.8, with their links (J-09 to J-14, F-12)."""
+    """Documents in classes of shared five-word shingles at 0.8, with their links (F-12, J-09 without subjects)."""
     return near_duplicates(table(spark, sf_dir, "documents"), "doc_id", "text", Cut(spark))
 
 
@@ -243,7 +243,7 @@ def shared_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
   p as (select query_id, v.vec_id, round(list_cosine_similarity(q.e, v.e), 6) as similarity from q join v on v.vec_id <> q.query_id),
   r as (select *, row_number() over (partition by query_id order by similarity desc, vec_id) as rank from p) select query_id, rank, similarity from r where rank <= 5""")
 def cosine_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The similarities of the five nearest of all vectors to every fiftieth (J-30, M-16, M-17)."""
+    """The similarities of the five nearest of all vectors to every fiftieth (J-30 and M-17 in part)."""
     v = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
     found = cosine_top(v, v.where("vec_id % 50 = 0"), "vec_id", "embedding", 5)
     return found.select("query_id", "rank", F.round("similarity", 6).alias("similarity"))
