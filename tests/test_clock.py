@@ -1,12 +1,16 @@
+import os
 from datetime import datetime
+from pathlib import Path
 from zoneinfo import ZoneInfo
 
 import pytest
 from pyspark.sql import functions as F
 
-from missive.operators.timestamps import choose_zones, normalise, read_times, zone_scores
+from missive.operators.timestamps import choose_zones, histories, normalise, p7_zones, read_times, zone_scores
 from missive.session import Cut
 
+SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.01")
+
 STATED = "source_name string, home_zone string, day_first boolean"
 ROWS = "origin string, row_id string, source_name string, text string, message_id string, received long"
 
@@ -52,3 +56,10 @@ def test_zone_is_estimated_from_receipt_and_copies(spark):
 def test_empty(spark, candidates):
     times = Cut(spark).keep(read_times(spark.createDataFrame([], ROWS), spark.createDataFrame([], STATED)))
     assert normalise(times, choose_zones(zone_scores(times, candidates), spark.createDataFrame([], STATED))).count() == 0
+
+
+@pytest.mark.skipif(not Path(SF).exists(), reason="no tables")
+def test_withheld_zones_are_found_among_all(spark):
+    got = p7_zones(spark, SF).collect()
+    assert len(histories()) > 200 and len(got) >= 10
+    assert all(r["violations"] <= r["home_violations"] for r in got) and all(r["violations"] <= 1 + r["rows_compared"] // 500 for r in got)
