@@ -11,6 +11,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+# Shuffle files of a table that is written are not read again; else they stay until the driver collects its garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, as ``spark.checkpoint.dir`` names it.
 
@@ -43,7 +47,12 @@ class Cut:
     def keep(self, df: DataFrame) -> DataFrame:
         self.made += 1
         path = f"{self.root}/{self.made}"
-        df.write.parquet(path)
+        before = self.spark.conf.get(CLEANUP, None)
+        self.spark.conf.set(CLEANUP, "true")
+        try:
+            df.write.parquet(path)
+        finally:
+            self.spark.conf.set(CLEANUP, before) if before is not None else self.spark.conf.unset(CLEANUP)
         back = self.spark.read.schema(df.schema).parquet(path)
         back._cut_path = path
         return back

@@ -111,3 +111,22 @@ def test_paired_bootstrap(spark):
     assert got["micro"]["delta"] == pytest.approx(1 - right, abs=1e-5) and 0 < got["micro"]["low"] < got["micro"]["delta"] < got["micro"]["high"] < 1
     assert sorted(map(tuple, paired_bootstrap(df.repartition(5), ["x", "y"], 200).collect())) == sorted(map(tuple, got.values()))
     assert paired_bootstrap(df.limit(0), ["x", "y"], 20).count() == 0
+
+
+@pytest.mark.parametrize("least", [0.8, 0.9])
+def test_bits_bound_the_overlap(spark, least):
+    """Bits let go most pairs that are too far apart, and none that is near, whatever the sizes of the sets."""
+    from missive.operators.similarity import _bits, _lacking
+
+    rnd = random.Random(3)
+    rows = []
+    for n in (1, 9, 40, 150, 900):
+        base = [rnd.getrandbits(64) - 2**63 for _ in range(n)]
+        for changed in (0, 0.05, 0.1, 0.9):
+            rows.append((base, [rnd.getrandbits(64) - 2**63 if rnd.random() < changed else x for x in base]))
+    df = spark.createDataFrame(rows, "a array<long>, b array<long>")
+    got = df.withColumns({"ma": _bits(df.a), "mb": _bits(df.b)}).select("a", "b", _lacking("ma", "mb").alias("k"))
+    for a, b, k in got.collect():
+        assert k <= len(set(a) - set(b))
+        if 9 <= len(a) <= 150 and len(set(a) & set(b)) < len(a) / 2:
+            assert len(a) - k < len(a) * least
