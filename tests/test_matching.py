@@ -130,3 +130,15 @@ def test_bits_bound_the_overlap(spark, least):
         assert k <= len(set(a) - set(b))
         if 9 <= len(a) <= 150 and len(set(a) & set(b)) < len(a) / 2:
             assert len(a) - k < len(a) * least
+
+
+def test_kept_tables_leave_no_shuffle_files(spark):
+    import time
+
+    files = lambda: spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().size()
+    before, cut = files(), Cut(spark)
+    kept = cut.keep(spark.range(1000).selectExpr("id % 7 as k").groupBy("k").count())
+    end = time.time() + 10
+    while files() > before and time.time() < end:
+        time.sleep(0.2)
+    assert files() <= before and kept.count() == 7
