@@ -5,7 +5,9 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
+from itertools import accumulate, chain
 
 import numpy as np
 import pandas as pd
@@ -14,7 +16,7 @@ from pyspark.sql import functions as F
 
 from missive.functions.clock import with_instant
 from missive.llm.channels import tied
-from missive.llm.mailparts import _GREETING, LINE, OWN, QUOTED, parts
+from missive.llm.mailparts import _GREETING, LINE, OWN, QUOTED, parts, split
 from missive.session import Cut, table
 
 #: Words that a sentence needs to be told by its fingerprint: shorter ones are told by their exact words.
@@ -46,8 +48,9 @@ def fingerprints(lines: list[list[str]]) -> np.ndarray:
     """64-bit SimHash of each list of words."""
     if not lines:
         return np.zeros(0, dtype=np.int64)
-    known: dict[str, int] = {}
-    at = np.array([known.setdefault(w, len(known)) for words in lines for w in words])
+    said = list(chain.from_iterable(lines))
+    known = {w: i for i, w in enumerate(dict.fromkeys(said))}
+    at = np.fromiter(map(known.__getitem__, said), dtype=np.int64, count=len(said))
     x = np.array([zlib.crc32(w.encode()) for w in known], dtype=np.uint64)
     size = np.array([len(w) for w in lines])
     start = np.concatenate([[0], size.cumsum()[:-1]])
@@ -55,7 +58,10 @@ def fingerprints(lines: list[list[str]]) -> np.ndarray:
         x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
     x ^= x >> np.uint64(31)
     bits = np.unpackbits(x.view(np.uint8).reshape(-1, 8), axis=1)
-    votes = 2 * np.add.reduceat(bits[at], start, axis=0, dtype=np.int32)
+    if size.max() < 256:  # bytes side by side are added as longs, since none overflows
+        votes = 2 * np.add.reduceat(bits.view(np.uint64)[at], start, axis=0).view(np.uint8).astype(np.int32)
+    else:
+        votes = 2 * np.add.reduceat(bits[at], start, axis=0, dtype=np.int32)
     tie = bits[at[start]]  # of as many votes for a bit as against it, the first word's
     return np.packbits((votes > size[:, None]) | ((votes == size[:, None]) & (tie == 1)), axis=1).view(np.int64).ravel()
 
@@ -85,11 +91,11 @@ def sentences(own: list[tuple[int, str]]) -> list[tuple[int, int, str]]:
             run.append(own[k])
             k += 1
         text = " ".join(x for _, x in run)
-        ends = np.cumsum([len(x) + 1 for _, x in run])
+        ends = list(accumulate(len(x) + 1 for _, x in run))
         at = 0
         for stop in [*(m.end() for m in _STOP.finditer(text) if not _SHORT.search(text, max(0, m.start() - 4), m.start())), len(text)]:
             if s := text[at:stop].rstrip():
-                first, last = np.searchsorted(ends, (at, at + len(s) - 1), "right")
+                first, last = bisect_right(ends, at), bisect_right(ends, at + len(s) - 1)
                 out.append((run[first][0], run[last][0], s))
             at = stop
     return out
@@ -107,10 +113,11 @@ def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         rows, words, long, exact, lines, texts = [], [], [], [], [], []
         for body in b["body_raw"]:
-            told, own = [], []
-            raw = LINE.split(body or "")
+            told, own, raw = [], [], None
             for i, (s, kind) in enumerate(parts(body), 1):
                 if kind != OWN:
+                    if not s:
+                        raw = split(body) if raw is None else raw
                     if s or raw[i - 1].strip():
                         told.append(i)
                 elif s:
@@ -164,18 +171,21 @@ _PAIRS = "node long, node2 long, more boolean"
 SKETCH = ("node", "print", "size", "low", "high")
 
 
-def _grouped(rows: DataFrame, cut: Cut) -> DataFrame:
+def _grouped(rows: DataFrame, cut: Cut, sizes: DataFrame | None = None) -> DataFrame:
     """rows(place, other, node, print, ...) with the group they are compared in, and its table (-1: in all of them).
 
+    sizes(place, n) has the rows of each place, or parts of them, where that is known without making rows.
+
     A group is a place. Of a place with more than HOT rows it is a part of the prints in one table, and of a part with
     more than HOT rows a pair of shares, so that none is larger and every two rows that may match meet.
     """
 
-    def crowded(rows: DataFrame) -> DataFrame:
-        return cut.keep(rows.groupBy("group").agg(F.count("*").alias("n")).where(f"n > {HOT}").select("group", F.ceil(F.col("n") / HOT).cast("int").alias("shares")))
+    def crowded(sizes: DataFrame) -> DataFrame:
+        return cut.keep(sizes.groupBy("group").agg(F.sum("n").alias("n")).where(f"n > {HOT}").select("group", F.ceil(F.col("n") / HOT).cast("int").alias("shares")))
 
+    one = F.lit(1).cast("long").alias("n")
     rows = rows.withColumnRenamed("place", "group").withColumn("table", F.lit(-1))
-    hot = crowded(rows)
+    hot = crowded(rows.select("group", one) if sizes is None else sizes.select(F.col("place").alias("group"), "n"))
     if hot.isEmpty():
         return rows
     rest = rows.join(hot, "group", "left_anti")
@@ -183,7 +193,7 @@ def _grouped(rows: DataFrame, cut: Cut) -> DataFrame:
     kept = [c for c in rows.columns if c not in ("group", "table")]
     split = rows.join(hot.select("group"), "group", "left_semi").select(*kept, F.explode(parts).alias("p")).select("p.group", *kept, "p.table")
     shares = F.coalesce("shares", F.lit(1))
-    split = split.join(crowded(split), "group", "left").withColumn("_own", F.pmod(F.xxhash64("node"), shares)).withColumn("_any", F.explode(F.sequence(F.lit(0), shares - 1)))
+    split = split.join(crowded(split.select("group", one)), "group", "left").withColumn("_own", F.pmod(F.xxhash64("node"), shares)).withColumn("_any", F.explode(F.sequence(F.lit(0), shares - 1)))
     pair = F.when(F.col("shares").isNull(), F.col("group")).when(F.col("other"), F.xxhash64("group", "_any", "_own")).otherwise(F.xxhash64("group", F.col("_own").cast("int"), F.col("_any").cast("long")))
     return rest.unionByName(split.select(pair.alias("group"), *kept, "table"))
 
@@ -241,6 +251,18 @@ def _near_pairs(rows: pd.DataFrame, most: int | None) -> Iterator[pd.DataFrame]:
     yield from r.given(*r.near(np.nonzero(~r.other)[0], np.nonzero(r.other)[0]), most)
 
 
+def _enough(rows: pd.DataFrame, most: int | None) -> Iterator[pd.DataFrame]:
+    """Of rows with n, the mails of each print: near-matches of rows that may have BOILERPLATE mails with all of theirs.
+
+    A part of a split place has not all matches of a row, so there all are given.
+    """
+    r, n = _Rows(rows), rows["n"].to_numpy()
+    i, j = r.near(np.nonzero(~r.other)[0], np.nonzero(r.other)[0])
+    mails = n + np.bincount(i, weights=n[j], minlength=len(n))
+    may = (mails[i] >= BOILERPLATE) | (r.table[i] >= 0)
+    yield from r.given(i[may], j[may], most)
+
+
 def _earlier(rows: pd.DataFrame, most: int | None) -> Iterator[pd.DataFrame]:
     """Of rows with told, at, author and long: earlier rows by another author; node2 is -1 where one has the same words."""
     r = _Rows(rows)
@@ -277,7 +299,7 @@ def _earlier(rows: pd.DataFrame, most: int | None) -> Iterator[pd.DataFrame]:
     yield from r.given(i[before], j[before], most)
 
 
-def near_matches(asked: DataFrame, others: DataFrame, cut: Cut, most: int | None = None, by: Callable = _near_pairs) -> DataFrame:
+def near_matches(asked: DataFrame, others: DataFrame, cut: Cut, most: int | None = None, by: Callable = _near_pairs, sizes: DataFrame | None = None) -> DataFrame:
     """(node, node2, more), distinct but for more: of asked and others(place, *SKETCH), the near-matches of one place.
 
     Hamming partition tables: prints are cut into TABLES parts, and those with a part in common are compared. That
@@ -285,7 +307,8 @@ def near_matches(asked: DataFrame, others: DataFrame, cut: Cut, most: int | None
     changed word of LONG usually moves. Rows move once, to the task of their place, where the tables stand; places of
     more than HOT rows are split (_grouped()), and no print is left out. With ``most``, about so many matches of an
     asked row are given, and more says whether it has others. Pairs that can't be within EDITS by their lengths and bags
-    are left out. A row doesn't match itself (equal nodes). ``by`` chooses among whole groups of rows.
+    are left out. A row doesn't match itself (equal nodes). ``by`` chooses among whole groups of rows. sizes as
+    in _grouped().
     """
     columns = [c for c in asked.columns if c != "place"]
     rows = asked.select("place", F.lit(False).alias("other"), *columns).unionAll(others.select("place", F.lit(True), *columns))
@@ -303,7 +326,7 @@ def near_matches(asked: DataFrame, others: DataFrame, cut: Cut, most: int | None
         if held:
             yield from by(pd.concat(held), most)
 
-    return _grouped(rows, cut).repartition("group").sortWithinPartitions("group").mapInPandas(part, _PAIRS)
+    return _grouped(rows, cut, sizes).repartition("group").sortWithinPartitions("group").mapInPandas(part, _PAIRS)
 
 
 def _same(pairs: DataFrame, texts: DataFrame, cut: Cut) -> DataFrame:
@@ -348,22 +371,23 @@ def inherited(lines: DataFrame, texts: DataFrame, cut: Cut, ties: DataFrame | No
     named = F.transform(F.array_distinct("people"), lambda x: F.xxhash64(F.lit("author"), F.col("subject"), x))
     author = F.xxhash64(F.lit("author"), "subject", "sender")
     # Places are chosen by mails first: sentences only go to those where another sender's earlier mail may be met.
-    mails = cut.keep(slim.select("source_id", "subject", "sender", "people", "at", "channel").distinct())
+    mails = cut.keep(slim.groupBy("source_id", "subject", "sender", "people", "at", "channel").agg(F.count("*").alias("n")))
     asking = mails if only is None else mails.join(only.select("source_id"), "source_id", "left_semi")
-    asks = asking.select("source_id", "sender", "at", F.explode(F.concat(F.when(F.size("people") > 0, named).otherwise(F.array(by_subject)), by_channel)).alias("place"))
-    has = mails.where("sender is not null").select("source_id", "sender", "at", F.explode(F.concat(F.array(author, by_subject), by_channel)).alias("place"))
+    asks = asking.select("source_id", "sender", "at", "n", F.explode(F.concat(F.when(F.size("people") > 0, named).otherwise(F.array(by_subject)), by_channel)).alias("place"))
+    has = mails.where("sender is not null").select("source_id", "sender", "at", "n", F.explode(F.concat(F.array(author, by_subject), by_channel)).alias("place"))
     met = has.groupBy("place").agg(F.min("at").alias("oldest"), F.min("sender").alias("x"), F.max("sender").alias("y")).join(asks.groupBy("place").agg(F.max("at").alias("newest")), "place").where("oldest < newest")
     met = cut.keep(met)
-    asks = cut.keep(asks.join(met, "place").where("oldest < at and (sender is null or x <> sender or y <> sender)").select("source_id", "place").distinct())
-    has = cut.keep(has.join(met.join(asks.select("place").distinct(), "place", "left_semi"), "place").where("at < newest").select("source_id", "place").distinct())
+    asks = cut.keep(asks.join(met, "place").where("oldest < at and (sender is null or x <> sender or y <> sender)").groupBy("source_id", "place").agg(F.max("n").alias("n")))
+    has = cut.keep(has.join(met.join(asks.select("place").distinct(), "place", "left_semi"), "place").where("at < newest").groupBy("source_id", "place").agg(F.max("n").alias("n")))
     told = F.when(F.col("long"), F.col("exact")).otherwise(F.coalesce("exact", "print")).alias("told")
     writer = F.when(F.col("sender").isNotNull(), F.xxhash64("sender")).otherwise(F.lit(0).cast("long")).alias("author")
     row = [*SKETCH, told, "at", writer, "long"]
-    known = slim.where("sender is not null").select("source_id", *row).join(has, "source_id").drop("source_id")
+    known = slim.where("sender is not null").select("source_id", *row).join(has.drop("n"), "source_id").drop("source_id")
+    sizes = asks.select("place", "n").unionAll(has.select("place", "n"))
 
     def found(asks: DataFrame, slim: DataFrame, most: int | None) -> tuple[DataFrame, DataFrame]:
-        wanted = slim.select("source_id", *row).join(asks, "source_id").drop("source_id")
-        pairs = cut.keep(near_matches(wanted, known.select(wanted.columns), cut, most, _earlier))
+        wanted = slim.select("source_id", *row).join(asks.drop("n"), "source_id").drop("source_id")
+        pairs = cut.keep(near_matches(wanted, known.select(wanted.columns), cut, most, _earlier, sizes))
         near = _same(pairs.where("node2 >= 0"), lines.select("node", "text"), cut)
         return cut.keep(pairs.where("node2 < 0").select("node").unionAll(near.select("node")).distinct()), pairs.where("more").select("node").distinct()
 
@@ -391,7 +415,7 @@ def boilerplate(lines: DataFrame, texts: DataFrame, cut: Cut, only: DataFrame |
     counted = cut.keep(each.groupBy("place", "print").agg(F.count("*").alias("n"), F.min("line").alias("line")).select("place", "print", "n", "line.*"))
     few = counted.where(f"n < {BOILERPLATE}")
     few = few if only is None else few.join(mine.select("place", "print").distinct(), ["place", "print"], "left_semi")
-    small, columns = counted.select("node", "n"), ["place", *SKETCH]
+    small, columns = counted.select("node", "n"), ["place", *SKETCH, "n"]
 
     def reached(pairs: DataFrame) -> DataFrame:
         """The nodes that BOILERPLATE mails have, by the near-matches in pairs(node, node2)."""
@@ -403,11 +427,11 @@ def boilerplate(lines: DataFrame, texts: DataFrame, cut: Cut, only: DataFrame |
         mails = same.join(each.select("place", "print", "mail").join(ends, ["place", "print"]), "node2")
         return cut.keep(mails.groupBy("node").agg(F.count_distinct("mail").alias("n")).where(f"n >= {BOILERPLATE}").select("node"))
 
-    first = cut.keep(near_matches(few.select(columns), counted.select(columns), cut, FIRST))
+    first = cut.keep(near_matches(few.select(columns), counted.select(columns), cut, FIRST, _enough))
     common = counted.where(f"n >= {BOILERPLATE}").select("node").unionAll(reached(first))
     more = cut.keep(first.where("more").select("node").distinct().join(common, "node", "left_anti"))
     if not more.isEmpty():
-        common = common.unionAll(reached(cut.keep(near_matches(few.join(more, "node", "left_semi").select(columns), counted.select(columns), cut))))
+        common = common.unionAll(reached(cut.keep(near_matches(few.join(more, "node", "left_semi").select(columns), counted.select(columns), cut, None, _enough))))
     common = cut.keep(counted.join(common.distinct(), "node", "left_semi").select("place", "print"))
     hit = mine.join(common, ["place", "print"]).select("node")
     return hit if nodes else lines.join(hit, "node").select("source_id", "line_no")

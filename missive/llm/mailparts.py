@@ -80,13 +80,18 @@ def _is_header_block(lines: list[str], i: int) -> int:
     return j - i if "from" in kinds and len(kinds) >= 3 else 0
 
 
+def split(body: str | None) -> list[str]:
+    """The lines of a body; CRLF, CR and LF each end one."""
+    return LINE.split(body or "") if "\r" in (body or "") else (body or "").split("\n")
+
+
 def parts(body: str) -> list[tuple[str, int]]:
     """(line without quote marks, OWN, QUOTED or CLOSING) of each line; CRLF, CR and LF each end one.
 
     Signatures run from their separator or closing formula, or from a name before contact lines, to the blank line
     or quotation behind them. Null bodies have no lines.
     """
-    raw = LINE.split(body or "")
+    raw = split(body)
     n = len(raw)
     marks = [_PREFIX.match(x) for x in raw]
     bare = [(x[m.end() :] if m else x).strip() for x, m in zip(raw, marks, strict=True)]

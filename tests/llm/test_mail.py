@@ -271,3 +271,23 @@ def test_spans_are_kept_in_linear_time():
     assert Finder._keep([(0, 2, "A"), (5, 9, "A")], [(1, 3, "B"), (2, 5, "B"), (3, 4, "B"), (8, 10, "B"), (9, 10, "B")]) == [(0, 2, "A"), (2, 5, "B"), (5, 9, "A"), (9, 10, "B")]
     many = [(i, i + 1, "B") for i in range(200_000)]
     assert len(Finder._keep([], many)) == 200_000
+
+
+def test_matches_without_enough_mails_are_let_go():
+    """Near-matches that can't make a sentence boilerplate are not given; of split places all are."""
+    import pandas as pd
+
+    from missive.llm.authored import _enough
+
+    rows = pd.DataFrame({"group": [1] * 4, "other": [False, False, True, True], "node": [1, 2, 3, 4], "print": [7, 7 << 40, 7, 7 << 40], "size": 50, "low": 0, "high": 0, "n": [1, 1, 4, 2], "table": -1})
+    given = lambda r: sorted((a, b) for f in _enough(r, None) for a, b in zip(f["node"], f["node2"], strict=True))
+    every = given(rows.assign(n=5))
+    assert (1, 3) in every and (2, 4) in every
+    assert given(rows.assign(n=1)) == [] and given(rows.assign(n=1, table=0)) != []
+
+
+def test_long_sentences_keep_their_prints():
+    from missive.llm.authored import fingerprints
+
+    short, long = ["alpha", "beta", "gamma"] * 5, [f"w{k % 7}" for k in range(700)]
+    assert fingerprints([short, long])[0] == fingerprints([short])[0] and fingerprints([short, long])[1] == fingerprints([long])[0]
