@@ -41,7 +41,8 @@ _SHORT = re.compile(r"(?:\b(?:Dr|Mr|Ms|Sr|St|Mrs|No|Nr)|\b[A-ZÀ-Þ])$")
 _ITEM = re.compile(r"(?:[-*•·+–]|\(?\w{1,2}[.)])\s")
 #: What PARSED.own holds of each sentence, one after the other; long is -1 where a sentence is never inherited.
 FIELDS = ("begin", "end", "long", "print", "exact", "size", "low", "high")
-PARSED = "source_id string, imported_at long, told array<int>, n_own int, own array<long>, own_text array<string>, body_hash int"
+# n_print counts the sentences that may be inherited.
+PARSED = "source_id string, imported_at long, told array<int>, n_own int, n_print int, own array<long>, own_text array<string>, body_hash int"
 
 
 def fingerprints(lines: list[list[str]]) -> np.ndarray:
@@ -135,7 +136,8 @@ def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 exact.append(_digest(w))
                 if long[-1]:
                     words.append(w)
-            rows.append((told, len(own), len(said), 0 if body is None else zlib.crc32(body.encode(errors="replace")) - 2**31))
+            n_print = sum(x >= 0 for x in long[len(long) - len(said) :])
+            rows.append((told, len(own), len(said), n_print, 0 if body is None else zlib.crc32(body.encode(errors="replace")) - 2**31))
         table = np.zeros((len(texts), len(FIELDS)), dtype=np.int64)
         if texts:
             table[:, :2], table[:, 2], table[:, 3], table[:, 4], table[:, 5] = lines, long, exact, exact, [len(t) for t in texts]
@@ -143,8 +145,8 @@ def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             table[:, 6:] = bags(texts)
         at = np.cumsum([0] + [r[2] for r in rows])
         yield pd.DataFrame({
-            "source_id": b["source_id"], "imported_at": b["imported_at"], "told": [r[0] for r in rows], "n_own": [r[1] for r in rows], "own": [table[x:y].ravel() for x, y in zip(at, at[1:], strict=False)],
-            "own_text": [texts[x:y] for x, y in zip(at, at[1:], strict=False)], "body_hash": [r[3] for r in rows],
+            "source_id": b["source_id"], "imported_at": b["imported_at"], "told": [r[0] for r in rows], "n_own": [r[1] for r in rows], "n_print": [r[3] for r in rows], "own": [table[x:y].ravel() for x, y in zip(at, at[1:], strict=False)],
+            "own_text": [texts[x:y] for x, y in zip(at, at[1:], strict=False)], "body_hash": [r[4] for r in rows],
         })
 
 
@@ -311,7 +313,11 @@ def near_matches(asked: DataFrame, others: DataFrame, cut: Cut, most: int | None
     in _grouped().
     """
     columns = [c for c in asked.columns if c != "place"]
-    rows = asked.select("place", F.lit(False).alias("other"), *columns).unionAll(others.select("place", F.lit(True), *columns))
+    return _met(asked.select("place", F.lit(False).alias("other"), *columns).unionAll(others.select("place", F.lit(True), *columns)), cut, most, by, sizes)
+
+
+def _met(rows: DataFrame, cut: Cut, most: int | None, by: Callable, sizes: DataFrame | None = None) -> DataFrame:
+    """near_matches() of rows(place, other, *SKETCH): of those that are not other, among those that are."""
 
     def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
@@ -341,17 +347,26 @@ def _same(pairs: DataFrame, texts: DataFrame, cut: Cut) -> DataFrame:
     return same
 
 
-def _filled(lines: DataFrame, texts: DataFrame, cut: Cut) -> DataFrame:
-    """lines with a node each, their texts, and where they lack them: long, alike in size, and told by prints alone."""
+def _filled(lines: DataFrame, texts: DataFrame, cut: Cut, only: DataFrame | None) -> DataFrame:
+    """lines with a node each, whether they are asked about, their texts, and where they lack them: long, alike in size, and told by prints alone."""
     if "node" in lines.columns:
         return lines
+    lines = _asked(lines, only)
     for name, value in (("long", F.lit(True)), ("size", F.lit(0)), ("low", F.lit(0).cast("long")), ("high", F.lit(0).cast("long")), ("exact", F.xxhash64("source_id", "line_no")), ("channel", F.lit(None).cast("long"))):
         lines = lines if name in lines.columns else lines.withColumn(name, value)
     lines = lines.drop("text").join(texts.select("source_id", "line_no", "text"), ["source_id", "line_no"], "left")
     return cut.keep(lines.withColumn("node", F.monotonically_increasing_id()))
 
 
-def inherited(lines: DataFrame, texts: DataFrame, cut: Cut, ties: DataFrame | None = None, only: DataFrame | None = None) -> DataFrame:
+def _asked(rows: DataFrame, only: DataFrame | None) -> DataFrame:
+    """rows with a column asked: whether only(source_id) names them, true for all if it is null."""
+    if only is None:
+        return rows.withColumn("asked", F.lit(True))
+    named = only.select("source_id").distinct().withColumn("asked", F.lit(True))
+    return rows.join(named, "source_id", "left").withColumn("asked", F.coalesce("asked", F.lit(False)))
+
+
+def inherited(lines: DataFrame, texts: DataFrame, cut: Cut, ties: DataFrame | None = None, only: DataFrame | None = None, mails: DataFrame | None = None) -> DataFrame:
     """(source_id, line_no, why) of lines(source_id, subject, sender, people, at, line_no, print) not newly written.
 
     A line is a sentence, line_no its number in the mail. 'inherited': an earlier mail by another sender has the
@@ -360,20 +375,21 @@ def inherited(lines: DataFrame, texts: DataFrame, cut: Cut, ties: DataFrame | No
     That mail has the same channel in ties(source_id, channel), or the same base subject
     and a sender whom this mail is addressed to (people), or any if it names no address. Where a column
     long says that a sentence is not, its words must be the same. Repeated sentences are met once. Lines that authored()
-    made have texts and channels already.
+    made have texts and channels already, and a column asked in place of only; mails has their mails, with asked and the
+    number n of sentences with a print, which are counted from lines otherwise.
     'boilerplate': boilerplate() has it. Null senders inherit, but nothing is inherited
     from them. only(source_id) names the mails that are asked about, null all.
     """
-    lines = _filled(lines if ties is None else lines.join(ties.select("source_id", "channel"), "source_id", "left"), texts, cut)
+    lines = _filled(lines if ties is None else lines.join(ties.select("source_id", "channel"), "source_id", "left"), texts, cut, only)
     slim = lines.where("print is not null")
     by_channel = F.when(F.col("channel").isNotNull(), F.array(F.xxhash64(F.lit("channel"), "channel"))).otherwise(F.array().cast("array<bigint>"))
     by_subject = F.xxhash64(F.lit("subject"), "subject")
     named = F.transform(F.array_distinct("people"), lambda x: F.xxhash64(F.lit("author"), F.col("subject"), x))
     author = F.xxhash64(F.lit("author"), "subject", "sender")
     # Places are chosen by mails first: sentences only go to those where another sender's earlier mail may be met.
-    mails = cut.keep(slim.groupBy("source_id", "subject", "sender", "people", "at", "channel").agg(F.count("*").alias("n")))
-    asking = mails if only is None else mails.join(only.select("source_id"), "source_id", "left_semi")
-    asks = asking.select("source_id", "sender", "at", "n", F.explode(F.concat(F.when(F.size("people") > 0, named).otherwise(F.array(by_subject)), by_channel)).alias("place"))
+    counted = None if mails is not None else cut.keep(slim.groupBy("source_id", "subject", "sender", "people", "at", "channel").agg(F.count("*").alias("n"), F.max("asked").alias("asked")))
+    mails = counted if mails is None else mails
+    asks = mails.where("asked").select("source_id", "sender", "at", "n", F.explode(F.concat(F.when(F.size("people") > 0, named).otherwise(F.array(by_subject)), by_channel)).alias("place"))
     has = mails.where("sender is not null").select("source_id", "sender", "at", "n", F.explode(F.concat(F.array(author, by_subject), by_channel)).alias("place"))
     met = has.groupBy("place").agg(F.min("at").alias("oldest"), F.min("sender").alias("x"), F.max("sender").alias("y")).join(asks.groupBy("place").agg(F.max("at").alias("newest")), "place").where("oldest < newest")
     met = cut.keep(met)
@@ -382,21 +398,22 @@ def inherited(lines: DataFrame, texts: DataFrame, cut: Cut, ties: DataFrame | No
     told = F.when(F.col("long"), F.col("exact")).otherwise(F.coalesce("exact", "print")).alias("told")
     writer = F.when(F.col("sender").isNotNull(), F.xxhash64("sender")).otherwise(F.lit(0).cast("long")).alias("author")
     row = [*SKETCH, told, "at", writer, "long"]
-    known = slim.where("sender is not null").select("source_id", *row).join(has.drop("n"), "source_id").drop("source_id")
+    places = asks.select("source_id", "place", F.lit(False).alias("other")).unionAll(has.select("source_id", "place", F.lit(True)))
     sizes = asks.select("place", "n").unionAll(has.select("place", "n"))
 
-    def found(asks: DataFrame, slim: DataFrame, most: int | None) -> tuple[DataFrame, DataFrame]:
-        wanted = slim.select("source_id", *row).join(asks.drop("n"), "source_id").drop("source_id")
-        pairs = cut.keep(near_matches(wanted, known.select(wanted.columns), cut, most, _earlier, sizes))
+    def found(slim: DataFrame, most: int | None) -> tuple[DataFrame, DataFrame]:
+        rows = slim.select("source_id", "asked", *row).join(places, "source_id").where("other or asked").select("place", "other", *SKETCH, "told", "at", "author", "long")
+        pairs = cut.keep(_met(rows, cut, most, _earlier, sizes))
         near = _same(pairs.where("node2 >= 0"), lines.select("node", "text"), cut)
         return cut.keep(pairs.where("node2 < 0").select("node").unionAll(near.select("node")).distinct()), pairs.where("more").select("node").distinct()
 
-    hits, more = found(asks, slim, FIRST)
+    hits, more = found(slim, FIRST)
     more = cut.keep(more.join(hits, "node", "left_anti"))
     if not more.isEmpty():
-        hits = hits.unionAll(found(asks, slim.join(more, "node", "left_semi"), None)[0])
-    cut.drop(mails, met, asks, has)
-    hits = hits.distinct().withColumn("why", F.lit("inherited")).unionAll(boilerplate(lines, texts, cut, only, True).withColumn("why", F.lit("boilerplate")))
+        again = slim.join(more.withColumn("again", F.lit(True)), "node", "left")
+        hits = hits.unionAll(found(again.withColumn("asked", F.col("asked") & F.col("again").isNotNull()), None)[0])
+    cut.drop(counted, met, asks, has)
+    hits = hits.distinct().withColumn("why", F.lit("inherited")).unionAll(boilerplate(lines, texts, cut, None, True).withColumn("why", F.lit("boilerplate")))
     return lines.select("node", "source_id", "line_no").join(cut.keep(hits), "node").select("source_id", "line_no", "why")
 
 
@@ -408,13 +425,11 @@ def boilerplate(lines: DataFrame, texts: DataFrame, cut: Cut, only: DataFrame |
     FIRST near-matches settle, as in a family of one template, needs no others. Sentences that are not long and null
     senders have none. only(source_id) names the mails that are asked about, null all. With nodes, node is given.
     """
-    lines = _filled(lines, texts, cut)
-    said = lines.where("sender is not null and print is not null and long").select(F.xxhash64("sender").alias("place"), F.xxhash64("source_id").alias("mail"), *SKETCH)
-    mine = said if only is None else said.join(only.select(F.xxhash64("source_id").alias("mail")), "mail", "left_semi")
-    each = cut.keep(said.groupBy("place", "print", "mail").agg(F.min(F.struct("node", "size", "low", "high")).alias("line")))
-    counted = cut.keep(each.groupBy("place", "print").agg(F.count("*").alias("n"), F.min("line").alias("line")).select("place", "print", "n", "line.*"))
-    few = counted.where(f"n < {BOILERPLATE}")
-    few = few if only is None else few.join(mine.select("place", "print").distinct(), ["place", "print"], "left_semi")
+    lines = _filled(lines, texts, cut, only)
+    said = lines.where("sender is not null and print is not null and long").select(F.xxhash64("sender").alias("place"), F.xxhash64("source_id").alias("mail"), "asked", *SKETCH)
+    each = said.groupBy("place", "print", "mail").agg(F.min(F.struct("node", "size", "low", "high")).alias("line"), F.max("asked").alias("asked"))
+    counted = cut.keep(each.groupBy("place", "print").agg(F.count("*").alias("n"), F.min("line").alias("line"), F.max("asked").alias("asked")).select("place", "print", "n", "asked", "line.*"))
+    few = counted.where(f"asked and n < {BOILERPLATE}")
     small, columns = counted.select("node", "n"), ["place", *SKETCH, "n"]
 
     def reached(pairs: DataFrame) -> DataFrame:
@@ -424,7 +439,7 @@ def boilerplate(lines: DataFrame, texts: DataFrame, cut: Cut, only: DataFrame |
         same = _same(alike.join(enough.select("node"), "node", "left_semi"), lines.select("node", "text"), cut)
         same = cut.keep(same.unionAll(same.select("node", "node").distinct()))
         ends = cut.keep(counted.select("place", "print", F.col("node").alias("node2")).join(same.select("node2").distinct(), "node2", "left_semi"))
-        mails = same.join(each.select("place", "print", "mail").join(ends, ["place", "print"]), "node2")
+        mails = same.join(said.select("place", "print", "mail").join(ends, ["place", "print"]), "node2")
         return cut.keep(mails.groupBy("node").agg(F.count_distinct("mail").alias("n")).where(f"n >= {BOILERPLATE}").select("node"))
 
     first = cut.keep(near_matches(few.select(columns), counted.select(columns), cut, FIRST, _enough))
@@ -433,11 +448,12 @@ def boilerplate(lines: DataFrame, texts: DataFrame, cut: Cut, only: DataFrame |
     if not more.isEmpty():
         common = common.unionAll(reached(cut.keep(near_matches(few.join(more, "node", "left_semi").select(columns), counted.select(columns), cut, None, _enough))))
     common = cut.keep(counted.join(common.distinct(), "node", "left_semi").select("place", "print"))
-    hit = mine.join(common, ["place", "print"]).select("node")
+    cut.drop(counted)
+    hit = said.where("asked").join(common, ["place", "print"]).select("node")
     return hit if nodes else lines.join(hit, "node").select("source_id", "line_no")
 
 
-def authored(mails: DataFrame, clocks: DataFrame, cut: Cut, ties: DataFrame | None = None, only: DataFrame | None = None, times: DataFrame | None = None) -> DataFrame:
+def authored(mails: DataFrame, clocks: DataFrame, cut: Cut, ties: DataFrame | None = None, only: DataFrame | None = None, times: DataFrame | None = None, bare: bool = False) -> DataFrame:
     """(source_id, told, n_own) of each source_id of mails, cut: the lines that are not newly written, and how many are.
 
     mails(source_id, source_name, thread_id, message_id, in_reply_to, references_json, subject, sender, recipients_json,
@@ -446,7 +462,8 @@ def authored(mails: DataFrame, clocks: DataFrame, cut: Cut, ties: DataFrame | No
     the sender's other mails (inherited()). Of rows with one source_id the first imported counts. Null and empty
     bodies have no lines; null subjects count as one, null senders as different ones. With only(source_id), sentences
     of its mails alone are held against others, and those of the rest are told by form. times(row_id, utc_micros) gives
-    the mails' instants where they are known already.
+    the mails' instants where they are known already. With bare, all that need be right is whether n_own is 0: mails with
+    a sentence that is never inherited, as a salutation, have a line left whatever else is found, and are told by form.
     """
     ties = tied(mails, cut) if ties is None else ties
     raw = cut.keep(parsed(mails.where("source_id is not null")))
@@ -457,23 +474,26 @@ def authored(mails: DataFrame, clocks: DataFrame, cut: Cut, ties: DataFrame | No
     else:
         about = about.join(times.select(F.col("row_id").alias("source_id"), F.col("utc_micros").alias("instant")), "source_id", "left")
     about = about.groupBy("source_id").agg(F.min_by(F.struct("subject", F.nullif("sender", F.lit("")).alias("sender"), "people", F.coalesce("instant", "imported_at").alias("at")), "imported_at").alias("m"))
-    one = raw.groupBy("source_id").agg(F.min_by(F.struct("told", "n_own", "own", "own_text"), F.struct("imported_at", "body_hash")).alias("p"))
-    one = cut.keep(one.join(about, "source_id").join(ties.select("source_id", "channel"), "source_id", "left").select("source_id", "channel", "m.*", "p.*"))
+    one = raw.groupBy("source_id").agg(F.min_by(F.struct("told", "n_own", "n_print", "own", "own_text"), F.struct("imported_at", "body_hash")).alias("p"))
+    one = _asked(one.join(about, "source_id").join(ties.select("source_id", "channel"), "source_id", "left"), only).select("source_id", "channel", "asked", "m.*", "p.*")
+    one = cut.keep(one.withColumn("asked", F.col("asked") & (F.col("n_print") == F.size("own_text"))) if bare else one)
     cut.drop(raw)
-    own = one.where("size(own_text) > 0").select("source_id", "channel", "subject", "sender", "people", "at", "own", F.posexplode("own_text").alias("line_no", "text"))
+    own = one.where("size(own_text) > 0").select("source_id", "channel", "subject", "sender", "people", "at", "asked", "own", F.posexplode("own_text").alias("line_no", "text"))
     field = {n: F.get("own", F.col("line_no") * len(FIELDS) + k) for k, n in enumerate(FIELDS)}
     short = {n: field[n].cast("int") for n in ("begin", "end", "size")} | {"long": F.when(field["long"] >= 0, field["long"] == 1), "print": F.when(field["long"] >= 0, field["print"]), "exact": F.when(field["long"] >= 0, field["exact"])}
-    own = own.select("source_id", "channel", "subject", "sender", "people", "at", "line_no", *[c.alias(n) for n, c in (field | short).items()], "text")
+    own = own.select("source_id", "channel", "subject", "sender", "people", "at", "asked", "line_no", *[c.alias(n) for n, c in (field | short).items()], "text")
     lines = cut.keep(own.withColumn("node", F.monotonically_increasing_id()))
+    rest = cut.keep(one.drop("own", "own_text"))
+    cut.drop(one)
     # A line is not newly written if none of its sentences is.
-    hits = cut.keep(inherited(lines, lines, cut, None, only).select("source_id", "line_no").distinct().withColumn("hit", F.lit(True)))
+    hits = cut.keep(inherited(lines, lines, cut, None, None, rest.where("n_print > 0").withColumnRenamed("n_print", "n")).select("source_id", "line_no").distinct().withColumn("hit", F.lit(True)))
     marked = lines.join(hits.select("source_id").distinct(), "source_id", "left_semi").join(hits, ["source_id", "line_no"], "left")
     marked = marked.select("source_id", F.explode(F.sequence("begin", "end")).alias("line_no"), F.coalesce("hit", F.lit(False)).alias("hit"))
     more = marked.groupBy("source_id", "line_no").agg(F.min("hit").alias("hit")).where("hit").groupBy("source_id").agg(F.collect_set("line_no").alias("more"))
-    out = one.join(more, "source_id", "left")
+    out = rest.join(more, "source_id", "left")
     extra = F.array_except("more", "told")
     done = cut.keep(out.select("source_id", F.when(F.col("more").isNull(), F.col("told")).otherwise(F.array_union("told", "more")).alias("told"), (F.col("n_own") - F.coalesce(F.when(F.col("more").isNotNull(), F.size(extra)), F.lit(0))).alias("n_own")))
-    cut.drop(one, lines)
+    cut.drop(rest, lines)
     return done
 
 

@@ -291,3 +291,38 @@ def test_long_sentences_keep_their_prints():
 
     short, long = ["alpha", "beta", "gamma"] * 5, [f"w{k % 7}" for k in range(700)]
     assert fingerprints([short, long])[0] == fingerprints([short])[0] and fingerprints([short, long])[1] == fingerprints([long])[0]
+
+
+def test_texts_are_written_once_and_only_open_questions_are_asked(spark):
+    """Where pairs are sought, one written table has texts; with bare, sentences of mails that keep a line anyway are not sought."""
+
+    class Watched(Cut):
+        def __init__(self, spark):
+            super().__init__(spark)
+            self.live, self.texts, self.asked = {}, [], None
+
+        def keep(self, df):
+            if df.columns == ["node", "node2", "more"]:
+                self.texts.append(sum("text" in c or "own_text" in c for c in self.live.values()))
+            out = super().keep(df)
+            self.live[out._cut_path] = out.columns
+            if {"source_id", "place", "n"} == set(out.columns) and self.asked is None:
+                self.asked = {r[0] for r in out.collect()}
+            return out
+
+        def drop(self, *frames):
+            for f in frames:
+                self.live.pop(getattr(f, "_cut_path", None), None)
+            super().drop(*frames)
+
+    rows = [("m1", {"body_raw": PASSED}), ("m2", {**B, "body_raw": "Hi Ann,\n" + PASSED}), ("m3", {**B, "body_raw": PASSED}), ("m4", {**B, "body_raw": ""})]
+    plain = {"source_name": "s", "subject": "Plan", "sender": "a@x.example", "recipients_json": '["b@x.example"]'}
+    data = [{**plain, "imported_at": datetime(2020, 2, n), **r, "source_id": i} for n, (i, r) in enumerate(rows, 1)]
+    mails = spark.createDataFrame([tuple(r.get(f.split()[0]) for f in EMAILS.split(", ")) for r in data], EMAILS)
+    done = {}
+    for bare in (False, True):
+        cut = Watched(spark)
+        found = authored(mails, spark.createDataFrame([("s", "UTC", True)], CLOCKS), cut, **({"bare": True} if bare else {}))
+        done[bare] = {r["source_id"]: r["n_own"] for r in found.collect()}
+        assert set(cut.texts) == {1} and ("m2" in cut.asked) is not bare and "m3" in cut.asked
+    assert {k: n == 0 for k, n in done[True].items()} == {k: n == 0 for k, n in done[False].items()} == {"m1": False, "m2": False, "m3": True, "m4": True}
