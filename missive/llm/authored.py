@@ -11,6 +11,7 @@ from itertools import accumulate, chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,10 +40,10 @@ _STOP = re.compile(r"[.!?]+[\"')\]’”»]*\s+")
 # What a stop ends that is no sentence; so does one behind a single capital.
 _SHORT = re.compile(r"(?:\b(?:Dr|Mr|Ms|Sr|St|Mrs|No|Nr)|\b[A-ZÀ-Þ])$")
 _ITEM = re.compile(r"(?:[-*•·+–]|\(?\w{1,2}[.)])\s")
-#: What PARSED.own holds of each sentence, one after the other; long is -1 where a sentence is never inherited.
-FIELDS = ("begin", "end", "long", "print", "exact", "size", "low", "high")
-# n_print counts the sentences that may be inherited.
-PARSED = "source_id string, imported_at long, told array<int>, n_own int, n_print int, own array<long>, own_text array<string>, body_hash int"
+#: What is told of a mail; n_print counts the sentences that may be inherited, n_said all of them.
+TOLD = "told array<int>, n_own int, n_print int, n_said int, body_hash int"
+#: What is told of a sentence; long, print and exact are null where it is never inherited.
+SAID = "line_no int, begin int, end int, long boolean, print long, exact long, size int, low long, high long, text string"
 
 
 def fingerprints(lines: list[list[str]]) -> np.ndarray:
@@ -92,7 +93,7 @@ def sentences(own: list[tuple[int, str]]) -> list[tuple[int, int, str]]:
             run.append(own[k])
             k += 1
         text = " ".join(x for _, x in run)
-        ends = list(accumulate(len(x) + 1 for _, x in run))
+        ends = list(accumulate(len(x) + 1 for _, x in run)) if len(run) > 1 else [len(text) + 1]
         at = 0
         for stop in [*(m.end() for m in _STOP.finditer(text) if not _SHORT.search(text, max(0, m.start() - 4), m.start())), len(text)]:
             if s := text[at:stop].rstrip():
@@ -110,11 +111,11 @@ def _digest(w: list[str]) -> int:
     return int.from_bytes(hashlib.blake2b(" ".join(w).encode(errors="replace"), digest_size=8).digest(), "big", signed=True)
 
 
-def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        rows, words, long, exact, lines, texts = [], [], [], [], [], []
-        for body in b["body_raw"]:
-            told, own, raw = [], [], None
+        told, n_told, n_own, n_print, n_said, hashes, words, long, exact, begin, end, texts = [], [], [], [], [], [], [], [], [], [], [], []
+        for body in b.column("body_raw").to_pylist():
+            before, own, raw = len(told), [], None
             for i, (s, kind) in enumerate(parts(body), 1):
                 if kind != OWN:
                     if not s:
@@ -123,36 +124,52 @@ def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                         told.append(i)
                 elif s:
                     own.append((i, s))
-            said = sentences(own)
+            said, none = sentences(own), 0
             for i, j, s in said:
                 w = _WORD.findall(s.lower())
-                lines.append((i, j))
+                begin.append(i)
+                end.append(j)
                 texts.append(s)
                 if not w or (len(w) < LONG and _salutes(w, s)):  # never inherited, but its lines are the sender's own
                     long.append(-1)
                     exact.append(0)
+                    none += 1
                     continue
                 long.append(int(len(w) >= LONG))
                 exact.append(_digest(w))
                 if long[-1]:
                     words.append(w)
-            n_print = sum(x >= 0 for x in long[len(long) - len(said) :])
-            rows.append((told, len(own), len(said), n_print, 0 if body is None else zlib.crc32(body.encode(errors="replace")) - 2**31))
-        table = np.zeros((len(texts), len(FIELDS)), dtype=np.int64)
+            n_told.append(len(told) - before)
+            n_own.append(len(own))
+            n_said.append(len(said))
+            n_print.append(len(said) - none)
+            hashes.append(0 if body is None else zlib.crc32(body.encode(errors="replace")) - 2**31)
+        lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(n_told)]).astype(np.int32), pa.array(told, pa.int32()))
+        kept = [(b.column(k), f.type) for k, f in enumerate(b.schema) if f.name != "body_raw"]
+        names = [f.name for f in b.schema if f.name != "body_raw"]
+        mails = [lists, *[pa.array(x, pa.int32()) for x in (n_own, n_print, n_said, hashes)]]
+        count = np.asarray(n_said, dtype=np.int64)
+        mail = np.repeat(b.column("mail").to_numpy(zero_copy_only=False), count)
+        size, kind, same, bag = np.array([len(x) for x in texts], dtype=np.int32), np.array(long, dtype=np.int8), np.array(exact, dtype=np.int64), bags(texts)
+        prints = same.copy()
+        prints[kind == 1] = fingerprints(words)
+        at = np.arange(len(texts)) - np.repeat(count.cumsum() - count, count)
+        never = kind < 0
+        columns = [
+            pa.array(at, pa.int32()), pa.array(begin, pa.int32()), pa.array(end, pa.int32()), pa.array(kind == 1, mask=never), pa.array(prints, mask=never), pa.array(same, mask=never),
+            pa.array(size), *[pa.array(np.ascontiguousarray(bag[:, k])) for k in (0, 1)], pa.array(texts, pa.string()),
+        ]
+        names += [x.split()[0] for x in f"{TOLD}, {SAID}".split(", ")]
+        yield pa.RecordBatch.from_arrays([*[c for c, _ in kept], *mails, *[pa.nulls(b.num_rows, c.type) for c in columns]], names)
         if texts:
-            table[:, :2], table[:, 2], table[:, 3], table[:, 4], table[:, 5] = lines, long, exact, exact, [len(t) for t in texts]
-            table[table[:, 2] == 1, 3] = fingerprints(words)
-            table[:, 6:] = bags(texts)
-        at = np.cumsum([0] + [r[2] for r in rows])
-        yield pd.DataFrame({
-            "source_id": b["source_id"], "imported_at": b["imported_at"], "told": [r[0] for r in rows], "n_own": [r[1] for r in rows], "n_print": [r[3] for r in rows], "own": [table[x:y].ravel() for x, y in zip(at, at[1:], strict=False)],
-            "own_text": [texts[x:y] for x, y in zip(at, at[1:], strict=False)], "body_hash": [r[4] for r in rows],
-        })
+            own = [pa.array(mail) if n == "mail" else pa.nulls(len(texts), kind) for n, (_, kind) in zip(names, kept, strict=False)]
+            yield pa.RecordBatch.from_arrays([*own, *[pa.nulls(len(texts), c.type) for c in mails], *columns], names)
 
 
 def parsed(mails: DataFrame) -> DataFrame:
-    """Each row of mails(source_id, body_raw, imported_at) with its lines told apart by form (PARSED)."""
-    return mails.select("source_id", F.unix_micros(F.col("imported_at").cast("timestamp")).alias("imported_at"), "body_raw").mapInPandas(_parse, PARSED)
+    """For each row of mails(mail, body_raw, ...), mail being its number: a row with its other columns and TOLD, where line_no is null, and one with mail and SAID of each sentence of its own."""
+    kept = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in mails.schema if f.name != "body_raw")
+    return mails.mapInArrow(_parse, f"{kept}, {TOLD}, {SAID}")
 
 
 def _sender(c: Column) -> Column:
@@ -167,8 +184,30 @@ def _base(c: Column) -> Column:
     return F.xxhash64(F.lower(F.regexp_replace(F.coalesce(c, F.lit("")), r"(?i)^(?:\s*(?:re|fwd?|aw|wg|sv|tr|rv|enc|antw)\s*:)+\s*", "")))
 
 
+def _author(rows: DataFrame) -> Column:
+    """A number for each sender, null for none."""
+    return F.col("author") if "author" in rows.columns else F.when(F.col("sender").isNotNull(), F.xxhash64("sender"))
+
+
+def _named(rows: DataFrame) -> DataFrame:
+    """rows(subject, sender, people) with these as numbers instead: author, and the places by subject, author and those named."""
+    named = F.transform(F.array_distinct("people"), lambda x: F.xxhash64(F.lit("author"), F.col("subject"), x))
+    by = (F.xxhash64(F.lit("subject"), "subject").alias("by_subject"), F.xxhash64(F.lit("author"), "subject", "sender").alias("by_author"), named.alias("named"))
+    return rows.select(*[c for c in rows.columns if c not in ("subject", "sender", "people")], _author(rows).alias("author"), *by)
+
+
+def _placed(rows: DataFrame) -> DataFrame:
+    """_named() rows with a channel, and the places where a mail asks and where it has its sentences instead."""
+    by_channel = F.when(F.col("channel").isNotNull(), F.array(F.xxhash64(F.lit("channel"), "channel"))).otherwise(F.array().cast("array<bigint>"))
+    asks = F.concat(F.when(F.size("named") > 0, F.col("named")).otherwise(F.array("by_subject")), by_channel)
+    has = F.when(F.col("author").isNotNull(), F.concat(F.array("by_author", "by_subject"), by_channel))
+    return rows.select(*[c for c in rows.columns if c not in ("by_subject", "by_author", "named", "channel")], asks.alias("asks_at"), has.alias("has_at"))
+
+
 _BITS = 64 // TABLES
 _PAIRS = "node long, node2 long, more boolean"
+# With the mails of both, and whether the group has all matches of node.
+_COUNTED = f"{_PAIRS}, n long, n2 long, whole boolean"
 #: What a sentence is compared by: its print, its length and its bags().
 SKETCH = ("node", "print", "size", "low", "high")
 
@@ -216,15 +255,20 @@ class _Rows:
             key = (self.group << np.uint64(_BITS)) | part(self.prints, k)
             a, b = (x[(self.table[x] == k) | (self.table[x] < 0)] for x in (left, right))
             b = b[np.argsort(key[b], kind="stable")]
+            prints = self.prints[b]
             low, high = np.searchsorted(key[b], key[a], "left"), np.searchsorted(key[b], key[a], "right")
             total, at = np.cumsum(high - low), 0
             while at < len(a):  # about four million candidates at a time
                 to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + 4_000_000, "right")))
                 n = (high - low)[at:to]
-                i = np.repeat(a[at:to], n)
-                j = b[np.repeat(low[at:to] - np.concatenate([[0], n.cumsum()[:-1]]), n) + np.arange(n.sum())]
-                x, most = self.prints[i] ^ self.prints[j], np.maximum(self.size[i], self.size[j]) * EDITS
-                near = (np.bitwise_count(x) <= DISTANCE) & (np.abs(self.size[i] - self.size[j]) <= most) & (self.node[i] != self.node[j])
+                ends = n.cumsum()
+                j = np.repeat(low[at:to] - (ends - n), n) + np.arange(n.sum())
+                x = np.repeat(self.prints[a[at:to]], n) ^ prints[j]
+                # Few are within DISTANCE: what else is asked is asked of these.
+                few = np.flatnonzero(np.bitwise_count(x) <= DISTANCE)
+                i, j, x = a[at + np.searchsorted(ends, few, "right")], b[j[few]], x[few]
+                most = np.maximum(self.size[i], self.size[j]) * EDITS
+                near = (np.abs(self.size[i] - self.size[j]) <= most) & (self.node[i] != self.node[j])
                 for before in range(k):  # found in an earlier table
                     near &= part(x, before) != 0
                 i, j, most = i[near], j[near], most[near]
@@ -235,8 +279,8 @@ class _Rows:
                 at = to
         return np.concatenate([g[0] for g in got]), np.concatenate([g[1] for g in got])
 
-    def given(self, i: np.ndarray, j: np.ndarray, most: int | None) -> Iterator[pd.DataFrame]:
-        """The pairs as _PAIRS, at most ``most`` of each row of i, if given."""
+    def given(self, i: np.ndarray, j: np.ndarray, most: int | None, n: np.ndarray | None = None) -> Iterator[pd.DataFrame]:
+        """The pairs as _PAIRS, at most ``most`` of each row of i, if given; with n, the mails of each row, as _COUNTED."""
         order = np.argsort(i, kind="stable")
         i, j = i[order], j[order]
         begin, many = np.searchsorted(i, i, "left"), np.zeros(len(i), dtype=bool)
@@ -245,7 +289,8 @@ class _Rows:
             i, j, many = i[rank < most], j[rank < most], many[rank < most]
         for at in range(0, len(i), 100_000):
             x, y = i[at : at + 100_000], j[at : at + 100_000]
-            yield pd.DataFrame({"node": self.node[x], "node2": self.node[y], "more": many[at : at + 100_000]})
+            counted = {} if n is None else {"n": n[x], "n2": n[y], "whole": self.table[x] < 0}
+            yield pd.DataFrame({"node": self.node[x], "node2": self.node[y], "more": many[at : at + 100_000], **counted})
 
 
 def _near_pairs(rows: pd.DataFrame, most: int | None) -> Iterator[pd.DataFrame]:
@@ -262,7 +307,7 @@ def _enough(rows: pd.DataFrame, most: int | None) -> Iterator[pd.DataFrame]:
     i, j = r.near(np.nonzero(~r.other)[0], np.nonzero(r.other)[0])
     mails = n + np.bincount(i, weights=n[j], minlength=len(n))
     may = (mails[i] >= BOILERPLATE) | (r.table[i] >= 0)
-    yield from r.given(i[may], j[may], most)
+    yield from r.given(i[may], j[may], most, n)
 
 
 def _earlier(rows: pd.DataFrame, most: int | None) -> Iterator[pd.DataFrame]:
@@ -332,7 +377,7 @@ def _met(rows: DataFrame, cut: Cut, most: int | None, by: Callable, sizes: DataF
         if held:
             yield from by(pd.concat(held), most)
 
-    return _grouped(rows, cut, sizes).repartition("group").sortWithinPartitions("group").mapInPandas(part, _PAIRS)
+    return _grouped(rows, cut, sizes).repartition("group").sortWithinPartitions("group").mapInPandas(part, _COUNTED if by is _enough else _PAIRS)
 
 
 def _same(pairs: DataFrame, texts: DataFrame, cut: Cut) -> DataFrame:
@@ -381,22 +426,19 @@ def inherited(lines: DataFrame, texts: DataFrame, cut: Cut, ties: DataFrame | No
     from them. only(source_id) names the mails that are asked about, null all.
     """
     lines = _filled(lines if ties is None else lines.join(ties.select("source_id", "channel"), "source_id", "left"), texts, cut, only)
+    texts = lines if "text" in lines.columns else texts
     slim = lines.where("print is not null")
-    by_channel = F.when(F.col("channel").isNotNull(), F.array(F.xxhash64(F.lit("channel"), "channel"))).otherwise(F.array().cast("array<bigint>"))
-    by_subject = F.xxhash64(F.lit("subject"), "subject")
-    named = F.transform(F.array_distinct("people"), lambda x: F.xxhash64(F.lit("author"), F.col("subject"), x))
-    author = F.xxhash64(F.lit("author"), "subject", "sender")
     # Places are chosen by mails first: sentences only go to those where another sender's earlier mail may be met.
-    counted = None if mails is not None else cut.keep(slim.groupBy("source_id", "subject", "sender", "people", "at", "channel").agg(F.count("*").alias("n"), F.max("asked").alias("asked")))
+    counted = None if mails is not None else cut.keep(_placed(_named(slim.groupBy("source_id", "subject", "sender", "people", "at", "channel").agg(F.count("*").alias("n"), F.max("asked").alias("asked")))))
     mails = counted if mails is None else mails
-    asks = mails.where("asked").select("source_id", "sender", "at", "n", F.explode(F.concat(F.when(F.size("people") > 0, named).otherwise(F.array(by_subject)), by_channel)).alias("place"))
-    has = mails.where("sender is not null").select("source_id", "sender", "at", "n", F.explode(F.concat(F.array(author, by_subject), by_channel)).alias("place"))
-    met = has.groupBy("place").agg(F.min("at").alias("oldest"), F.min("sender").alias("x"), F.max("sender").alias("y")).join(asks.groupBy("place").agg(F.max("at").alias("newest")), "place").where("oldest < newest")
+    asks = mails.where("asked").select("source_id", "author", "at", "n", F.explode("asks_at").alias("place"))
+    has = mails.select("source_id", "author", "at", "n", F.explode("has_at").alias("place"))
+    met = has.groupBy("place").agg(F.min("at").alias("oldest"), F.min("author").alias("x"), F.max("author").alias("y")).join(asks.groupBy("place").agg(F.max("at").alias("newest")), "place").where("oldest < newest")
     met = cut.keep(met)
-    asks = cut.keep(asks.join(met, "place").where("oldest < at and (sender is null or x <> sender or y <> sender)").groupBy("source_id", "place").agg(F.max("n").alias("n")))
+    asks = cut.keep(asks.join(met, "place").where("oldest < at and (author is null or x <> author or y <> author)").groupBy("source_id", "place").agg(F.max("n").alias("n")))
     has = cut.keep(has.join(met.join(asks.select("place").distinct(), "place", "left_semi"), "place").where("at < newest").groupBy("source_id", "place").agg(F.max("n").alias("n")))
     told = F.when(F.col("long"), F.col("exact")).otherwise(F.coalesce("exact", "print")).alias("told")
-    writer = F.when(F.col("sender").isNotNull(), F.xxhash64("sender")).otherwise(F.lit(0).cast("long")).alias("author")
+    writer = F.coalesce(_author(lines), F.lit(0).cast("long")).alias("author")
     row = [*SKETCH, told, "at", writer, "long"]
     places = asks.select("source_id", "place", F.lit(False).alias("other")).unionAll(has.select("source_id", "place", F.lit(True)))
     sizes = asks.select("place", "n").unionAll(has.select("place", "n"))
@@ -404,7 +446,7 @@ def inherited(lines: DataFrame, texts: DataFrame, cut: Cut, ties: DataFrame | No
     def found(slim: DataFrame, most: int | None) -> tuple[DataFrame, DataFrame]:
         rows = slim.select("source_id", "asked", *row).join(places, "source_id").where("other or asked").select("place", "other", *SKETCH, "told", "at", "author", "long")
         pairs = cut.keep(_met(rows, cut, most, _earlier, sizes))
-        near = _same(pairs.where("node2 >= 0"), lines.select("node", "text"), cut)
+        near = _same(pairs.where("node2 >= 0"), texts.select("node", "text"), cut)
         return cut.keep(pairs.where("node2 < 0").select("node").unionAll(near.select("node")).distinct()), pairs.where("more").select("node").distinct()
 
     hits, more = found(slim, FIRST)
@@ -426,17 +468,21 @@ def boilerplate(lines: DataFrame, texts: DataFrame, cut: Cut, only: DataFrame |
     senders have none. only(source_id) names the mails that are asked about, null all. With nodes, node is given.
     """
     lines = _filled(lines, texts, cut, only)
-    said = lines.where("sender is not null and print is not null and long").select(F.xxhash64("sender").alias("place"), F.xxhash64("source_id").alias("mail"), "asked", *SKETCH)
+    texts = lines if "text" in lines.columns else texts
+    said = lines.where(_author(lines).isNotNull()).where("print is not null and long").select(_author(lines).alias("place"), F.xxhash64("source_id").alias("mail"), "asked", *SKETCH)
     each = said.groupBy("place", "print", "mail").agg(F.min(F.struct("node", "size", "low", "high")).alias("line"), F.max("asked").alias("asked"))
     counted = cut.keep(each.groupBy("place", "print").agg(F.count("*").alias("n"), F.min("line").alias("line"), F.max("asked").alias("asked")).select("place", "print", "n", "asked", "line.*"))
     few = counted.where(f"asked and n < {BOILERPLATE}")
-    small, columns = counted.select("node", "n"), ["place", *SKETCH, "n"]
+    columns = ["place", *SKETCH, "n"]
 
     def reached(pairs: DataFrame) -> DataFrame:
-        """The nodes that BOILERPLATE mails have, by the near-matches in pairs(node, node2)."""
-        alike = cut.keep(pairs.join(small, "node").join(small.toDF("node2", "n2"), "node2"))
-        enough = alike.groupBy("node").agg((F.sum("n2") + F.first("n")).alias("most")).where(f"most >= {BOILERPLATE}")
-        same = _same(alike.join(enough.select("node"), "node", "left_semi"), lines.select("node", "text"), cut)
+        """The nodes that BOILERPLATE mails have, by the near-matches in pairs(node, node2, n, n2, whole)."""
+        open_ = pairs.where("not whole")  # parts of split places don't know all matches
+        enough = open_.groupBy("node").agg((F.sum("n2") + F.first("n")).alias("most")).where(f"most >= {BOILERPLATE}")
+        alike = pairs.where("whole").select("node", "node2").unionAll(open_.join(enough, "node", "left_semi").select("node", "node2"))
+        # Edits are the same both ways, so each two texts are compared once.
+        same = _same(alike.select(F.least("node", "node2").alias("node"), F.greatest("node", "node2").alias("node2")), texts.select("node", "text"), cut)
+        same = same.unionAll(same.select(F.col("node2").alias("node"), F.col("node").alias("node2")))
         same = cut.keep(same.unionAll(same.select("node", "node").distinct()))
         ends = cut.keep(counted.select("place", "print", F.col("node").alias("node2")).join(same.select("node2").distinct(), "node2", "left_semi"))
         mails = same.join(said.select("place", "print", "mail").join(ends, ["place", "print"]), "node2")
@@ -466,34 +512,33 @@ def authored(mails: DataFrame, clocks: DataFrame, cut: Cut, ties: DataFrame | No
     a sentence that is never inherited, as a salutation, have a line left whatever else is found, and are told by form.
     """
     ties = tied(mails, cut) if ties is None else ties
-    raw = cut.keep(parsed(mails.where("source_id is not null")))
-    about = mails.select("source_id", F.unix_micros(F.col("imported_at").cast("timestamp")).alias("imported_at"), _base(F.col("subject")).alias("subject"), _sender(F.col("sender")).alias("sender"), _people(F.col("recipients_json")).alias("people"), "source_name", F.col("sent_timestamp").alias("_text"))
+    about = mails.where("source_id is not null").select("source_id", F.unix_micros(F.col("imported_at").cast("timestamp")).alias("imported_at"), _base(F.col("subject")).alias("subject"), F.nullif(_sender(F.col("sender")), F.lit("")).alias("sender"), _people(F.col("recipients_json")).alias("people"), "source_name", F.col("sent_timestamp").alias("_text"), "body_raw")
     if times is None:
         zones = clocks.groupBy("source_name").agg(F.max("home_zone").alias("_zone"), F.max("day_first").alias("_first"))
         about = with_instant(about.join(zones, "source_name", "left"), "_text", "_first", "_zone", "instant")
     else:
-        about = about.join(times.select(F.col("row_id").alias("source_id"), F.col("utc_micros").alias("instant")), "source_id", "left")
-    about = about.groupBy("source_id").agg(F.min_by(F.struct("subject", F.nullif("sender", F.lit("")).alias("sender"), "people", F.coalesce("instant", "imported_at").alias("at")), "imported_at").alias("m"))
-    one = raw.groupBy("source_id").agg(F.min_by(F.struct("told", "n_own", "n_print", "own", "own_text"), F.struct("imported_at", "body_hash")).alias("p"))
-    one = _asked(one.join(about, "source_id").join(ties.select("source_id", "channel"), "source_id", "left"), only).select("source_id", "channel", "asked", "m.*", "p.*")
-    one = cut.keep(one.withColumn("asked", F.col("asked") & (F.col("n_print") == F.size("own_text"))) if bare else one)
-    cut.drop(raw)
-    own = one.where("size(own_text) > 0").select("source_id", "channel", "subject", "sender", "people", "at", "asked", "own", F.posexplode("own_text").alias("line_no", "text"))
-    field = {n: F.get("own", F.col("line_no") * len(FIELDS) + k) for k, n in enumerate(FIELDS)}
-    short = {n: field[n].cast("int") for n in ("begin", "end", "size")} | {"long": F.when(field["long"] >= 0, field["long"] == 1), "print": F.when(field["long"] >= 0, field["print"]), "exact": F.when(field["long"] >= 0, field["exact"])}
-    own = own.select("source_id", "channel", "subject", "sender", "people", "at", "asked", "line_no", *[c.alias(n) for n, c in (field | short).items()], "text")
-    lines = cut.keep(own.withColumn("node", F.monotonically_increasing_id()))
-    rest = cut.keep(one.drop("own", "own_text"))
-    cut.drop(one)
+        about = about.withColumn("instant", F.lit(None).cast("long"))
+    about = _named(about.select("source_id", "imported_at", "instant", "subject", "sender", "people", "body_raw", F.monotonically_increasing_id().alias("mail")))
+    raw = cut.keep(parsed(about).withColumn("node", F.monotonically_increasing_id()))
+    facts = ("mail", "instant", "author", "by_subject", "by_author", "named", "told", "n_own", "n_print", "n_said")
+    one = raw.where("line_no is null").groupBy("source_id").agg(F.min_by(F.struct("imported_at", *facts), F.struct("imported_at", "body_hash")).alias("m")).select("source_id", "m.*")
+    if times is not None:
+        one = one.drop("instant").join(times.select(F.col("row_id").alias("source_id"), F.col("utc_micros").alias("instant")), "source_id", "left")
+    one = _asked(one.join(ties.select("source_id", "channel"), "source_id", "left"), only).withColumn("at", F.coalesce("instant", "imported_at")).drop("instant", "imported_at")
+    one = one.withColumn("asked", F.col("asked") & (F.col("n_print") == F.col("n_said"))) if bare else one
+    rest = cut.keep(_placed(one))
+    # Texts stay where they are: sentences move without them.
+    said = raw.where("line_no is not null").select("mail", "node", *[x.split()[0] for x in SAID.split(", ")][:-1])
+    lines = cut.keep(said.join(rest.where("n_said > 0").select("mail", "source_id", "author", "at", "asked"), "mail").drop("mail"))
     # A line is not newly written if none of its sentences is.
-    hits = cut.keep(inherited(lines, lines, cut, None, None, rest.where("n_print > 0").withColumnRenamed("n_print", "n")).select("source_id", "line_no").distinct().withColumn("hit", F.lit(True)))
+    hits = cut.keep(inherited(lines, raw.where("line_no is not null"), cut, None, None, rest.where("n_print > 0").withColumnRenamed("n_print", "n")).select("source_id", "line_no").distinct().withColumn("hit", F.lit(True)))
     marked = lines.join(hits.select("source_id").distinct(), "source_id", "left_semi").join(hits, ["source_id", "line_no"], "left")
     marked = marked.select("source_id", F.explode(F.sequence("begin", "end")).alias("line_no"), F.coalesce("hit", F.lit(False)).alias("hit"))
     more = marked.groupBy("source_id", "line_no").agg(F.min("hit").alias("hit")).where("hit").groupBy("source_id").agg(F.collect_set("line_no").alias("more"))
     out = rest.join(more, "source_id", "left")
     extra = F.array_except("more", "told")
     done = cut.keep(out.select("source_id", F.when(F.col("more").isNull(), F.col("told")).otherwise(F.array_union("told", "more")).alias("told"), (F.col("n_own") - F.coalesce(F.when(F.col("more").isNotNull(), F.size(extra)), F.lit(0))).alias("n_own")))
-    cut.drop(rest, lines)
+    cut.drop(rest, lines, raw)
     return done
 
 

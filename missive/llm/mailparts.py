@@ -93,15 +93,16 @@ def parts(body: str) -> list[tuple[str, int]]:
     """
     raw = split(body)
     n = len(raw)
-    marks = [_PREFIX.match(x) for x in raw]
+    marks = [_PREFIX.match(x) if ">" in x or "|" in x else None for x in raw]
     bare = [(x[m.end() :] if m else x).strip() for x, m in zip(raw, marks, strict=True)]
     kind = [OWN] * n
     quoted = [bool(m) for m in marks]
     # A single marked line that nothing introduces, or a row of a table, is the sender's own.
-    for i in range(n):
-        if quoted[i] and _TABLE.match(raw[i].strip()) and not _PREFIX.match(bare[i]):
+    marked = [i for i in range(n) if quoted[i]]
+    for i in marked:
+        if _TABLE.match(raw[i].strip()) and not _PREFIX.match(bare[i]):
             quoted[i] = not (raw[i].lstrip()[0] == "|" and bare[i].count("|") >= 1)
-    i = 0
+    i = 0 if marked else n
     introduced = False
     while i < n:
         if not quoted[i]:
@@ -117,7 +118,7 @@ def parts(body: str) -> list[tuple[str, int]]:
         introduced = True
         i = j
     # A line that a mailer wrapped off a marked one has lost its mark.
-    for i in range(1, n - 1):
+    for i in range(1, n - 1) if marked else ():
         if not quoted[i] and bare[i] and quoted[i - 1] and bare[i - 1] and marks[i + 1] and not re.search(r"[.!?:,–-]$", bare[i - 1]) and len(bare[i - 1]) > 20:
             quoted[i] = True
     text = [b if not q else "" for b, q in zip(bare, quoted, strict=True)]

@@ -13,6 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 # Shuffle files of a table that is written are not read again; else they stay until the driver collects its garbage.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+# Methods of more bytes are never compiled by the JVM: such stages are better run as smaller ones.
+LIMIT = "spark.sql.codegen.hugeMethodLimit"
+WRITING = {CLEANUP: "true", LIMIT: "8000"}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -47,12 +50,14 @@ class Cut:
     def keep(self, df: DataFrame) -> DataFrame:
         self.made += 1
         path = f"{self.root}/{self.made}"
-        before = self.spark.conf.get(CLEANUP, None)
-        self.spark.conf.set(CLEANUP, "true")
+        before = {k: self.spark.conf.get(k, None) for k in WRITING}
         try:
+            for k, v in WRITING.items():
+                self.spark.conf.set(k, v)
             df.write.parquet(path)
         finally:
-            self.spark.conf.set(CLEANUP, before) if before is not None else self.spark.conf.unset(CLEANUP)
+            for k, v in before.items():
+                self.spark.conf.set(k, v) if v is not None else self.spark.conf.unset(k)
         back = self.spark.read.schema(df.schema).parquet(path)
         back._cut_path = path
         return back

@@ -326,3 +326,55 @@ def test_texts_are_written_once_and_only_open_questions_are_asked(spark):
         done[bare] = {r["source_id"]: r["n_own"] for r in found.collect()}
         assert set(cut.texts) == {1} and ("m2" in cut.asked) is not bare and "m3" in cut.asked
     assert {k: n == 0 for k, n in done[True].items()} == {k: n == 0 for k, n in done[False].items()} == {"m1": False, "m2": False, "m3": True, "m4": True}
+
+
+def test_sentences_move_without_their_texts(spark):
+    """Texts stand with the parsed mails alone; what else is written of sentences has none."""
+    kept = []
+
+    class Watched(Cut):
+        def keep(self, df):
+            kept.append(df.columns)
+            return super().keep(df)
+
+    rows = [{"source_id": f"m{k}", "source_name": "s", "subject": "Plan", "sender": f"{'ab'[k % 2]}@x.example", "imported_at": datetime(2020, 2, k + 1), "body_raw": PASSED} for k in range(2)]
+    rows += [{**rows[1], "imported_at": datetime(2020, 3, 1), "body_raw": "Another body.\n> quoted"}, {**rows[1], "source_id": None}]
+    mails = spark.createDataFrame([tuple(r.get(f.split()[0]) for f in EMAILS.split(", ")) for r in rows], EMAILS)
+    done = authored(mails, spark.createDataFrame([("s", "UTC", True)], CLOCKS), Watched(spark))
+    assert sorted((r["source_id"], r["told"], r["n_own"]) for r in done.collect()) == [("m0", [], 1), ("m1", [1], 0)]  # of m1 the first imported counts
+    assert sum("text" in c and "body_hash" in c for c in kept) == 1 and not any("own_text" in c for c in kept) and not any("text" in c and "at" in c for c in kept)
+
+
+def test_near_matches_are_all_pairs_within_bounds():
+    """The pairs of two groups, held against a plain count over every two rows; with n, each pair has the mails of both."""
+    import pandas as pd
+
+    from missive.llm.authored import EDITS, TABLES, _enough, _near_pairs
+
+    rnd, base = random.Random(9), [random.Random(k).getrandbits(64) for k in range(4)]
+    prints = [base[k % 4] ^ sum(1 << b for b in rnd.sample(range(64), rnd.randint(0, 24))) for k in range(120)]
+    size, low = [rnd.randint(60, 75) for _ in prints], [rnd.randint(0, 12) for _ in prints]
+    group, n = [k % 2 for k in range(120)], [rnd.randint(1, 6) for _ in prints]
+    one = pd.DataFrame({"group": group, "node": range(120), "print": np.array(prints, dtype=np.uint64).view(np.int64), "size": size, "low": low, "high": 0, "n": n, "table": -1})
+    rows = pd.concat([one.assign(other=False), one.assign(other=True)])
+    want = set()
+    for a in range(120):
+        for b in range(120):
+            x, most = prints[a] ^ prints[b], max(size[a], size[b]) * EDITS
+            part = any((x >> (64 // TABLES * k)) & 0xFF == 0 for k in range(TABLES))
+            if a != b and group[a] == group[b] and part and x.bit_count() <= DISTANCE and abs(size[a] - size[b]) <= most and abs(low[a] - low[b]) <= most:
+                want.add((a, b))
+    got = [(int(a), int(b)) for f in _near_pairs(rows, None) for a, b in zip(f["node"], f["node2"], strict=True)]
+    assert len(want) > 100 and set(got) == want and len(got) == len(want)
+    counted = {(int(a), int(b)): (x, y, w) for f in _enough(rows, None) for a, b, x, y, w in zip(f["node"], f["node2"], f["n"], f["n2"], f["whole"], strict=True)}
+    assert counted and all(v == (n[a], n[b], True) and (a, b) in want for (a, b), v in counted.items())
+
+
+def test_tables_are_written_by_methods_that_are_compiled(spark, monkeypatch):
+    """Stages whose methods the JVM would never compile are cut smaller while a table is written, and only then."""
+    from missive.session import LIMIT
+
+    cut, before, seen = Cut(spark), spark.conf.get(LIMIT), []
+    plain = type(spark.range(1).write).parquet
+    monkeypatch.setattr(type(spark.range(1).write), "parquet", lambda self, path: (seen.append(spark.conf.get(LIMIT)), plain(self, path))[1])
+    assert cut.keep(spark.range(3)).count() == 3 and seen == ["8000"] and spark.conf.get(LIMIT) == before
