@@ -79,7 +79,7 @@ _REASON = """case when ordered and words_a >= 20 and chars_a >= 120 then 'ordere
 @query(f"with {_PAIRS}, x as (select a, b, n_shared, {_REASON} as reason from p) select a, b, n_shared, reason from x where reason is not null")
 def leakage_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of distinct texts by ordered containment, near shingles or containment of a long body, in that order (J-10, J-11, J-12)."""
-    pairs, _ = similar_pairs(table(spark, sf_dir, "documents"), "doc_id", "text", Cut(spark))
+    pairs, _ = similar_pairs(table(spark, sf_dir, "documents"), "doc_id", "text", Cut(spark), words=20)  # as all reasons ask for
     return pairs.select("a", "b", F.col("n_shared").cast("long").alias("n_shared"), F.expr(_REASON.replace("1.0", "1.0D")).alias("reason")).where("reason is not null")
 
 
@@ -87,7 +87,7 @@ def leakage_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cross_source_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near texts under different sources, by shingles alone (J-13)."""
     d = table(spark, sf_dir, "documents")
-    pairs, _ = similar_pairs(d, "doc_id", "text", Cut(spark))
+    pairs, _ = similar_pairs(d, "doc_id", "text", Cut(spark), words=20)  # 16 shingles have as many
     of = d.groupBy("doc_id").agg(F.max("source").alias("source"))
     both = pairs.join(of.toDF("a", "x"), "a").join(of.toDF("b", "y"), "b").where("x <> y and n_a >= 16 and n_a / n_b >= 0.85 and n_shared / (n_a + n_b - n_shared) >= 0.9")
     return both.select("a", "b", F.col("n_shared").cast("long").alias("n_shared"))

@@ -182,3 +182,41 @@ def test_near_duplicates_move_no_whole_sets(spark, monkeypatch, buckets):
     got = {r["id"]: r["n_links"] for r in similarity.near_duplicates(df, "id", "text", Cut(spark)).collect()}
     assert got == {k: links[w] for k, w in of.items()} and any(links.values())
     assert max(written) < 4 * sum(map(len, sets.values()))
+
+
+@pytest.mark.parametrize("postings", [3000, 1 << 21])
+def test_similar_pairs_write_few_others(spark, monkeypatch, postings):
+    """Texts of the same phrases share rare shingles with many; hardly any pair is written that isn't one, in however many blocks."""
+    from missive.operators import similarity
+
+    monkeypatch.setattr(similarity, "POSTINGS", postings, raising=False)
+    rnd = random.Random(5)
+    phrases = [" ".join(f"p{k}x{i}" for i in range(9)) for k in range(12)]
+    texts = [" ".join(rnd.sample(phrases, 5)) for _ in range(150)] + [" ".join(rnd.choice(phrases) for _ in range(400)), "x " * 400]
+    for t in texts[:20]:
+        texts += [t.upper() + " and more", t.replace("x8", "y", 1), " ".join(f"v{rnd.randrange(5000)}" for _ in range(900)) + " " + t]
+    rows = [(k, t) for k, t in enumerate(texts)] + [(7, ""), (9, texts[0] + " zz"), (300, texts[1])]
+    of, first = {}, {}
+    for k, t in rows:
+        of[k] = max(of.get(k, ()), tuple(t.lower().split()))
+    for k in sorted(of):
+        first.setdefault(of[k], k)
+    sets = {k: {w[i : i + 5] for i in range(len(w) - 4)} for w, k in first.items()}
+    joined = {k: f" {' '.join(w)} " for w, k in first.items()}
+    want = {}
+    for a, b in itertools.permutations(sets, 2):
+        if (len(sets[a]), a) < (len(sets[b]), b) and (n := len(sets[a] & sets[b])) >= 0.9 * len(sets[a]):
+            want[a, b] = (len(sets[a]), len(sets[b]), n, joined[a] in joined[b], len(joined[b].split()), max(len(t.strip()) for k, t in rows if k == a))
+    written = []
+    keep = Cut.keep
+
+    def kept(self, df):
+        back = keep(self, df)
+        if {"a", "b"} <= set(back.columns):
+            written.append(back.count())
+        return back
+
+    monkeypatch.setattr(Cut, "keep", kept)
+    pairs, _ = similarity.similar_pairs(spark.createDataFrame(rows, "id long, t string").repartition(3), "id", "t", Cut(spark))
+    assert {(r["a"], r["b"]): (r["n_a"], r["n_b"], r["n_shared"], r["ordered"], r["words_b"], r["chars_a"]) for r in pairs.collect()} == want and len(want) > 60
+    assert max(written) < 2 * len(want)
